@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import audio_digests
 from .licence_texts import EQUAL_SPELLINGS, NOTICES, TEXTS
 from .licences import COPYRIGHT_LINE, LOWER, OTHER_ASCII, UPPER, scan_licences
+from .near_duplicates import near_duplicate_classes
+from .packing import pack_documents
 from .scratch import documents
+from .secrets import secret_digests
 from .sharding import histogram_shards
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), with_ids=False)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(documents(spark, sf_dir))
+
+
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_digests(documents(spark, sf_dir))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(documents(spark, sf_dir))
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text_digest", "license_id", "notices")
 
@@ -48,5 +68,12 @@ SELECT d.doc_id, sha256({_normalised_sql('d.text')}) AS text_digest, k.license_i
 FROM documents d LEFT JOIN known k ON k.digest = sha256({_normalised_sql('d.text')}) LEFT JOIN hit h ON h.doc_id = d.doc_id
 """
 
-QUERIES = {"op9_licences": op9_licences, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
+    "op7_audio": op7_audio,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_licences": op9_licences,
+    "op10_sharding": op10_sharding,
+}
 ORACLES = {"op9_licences": OP9_SQL}
