@@ -55,13 +55,23 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[raw]
+
+
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, row offsets into them) of the rows whose bytes lie at `offs` in `raw`."""
+    return placed_words(raw, offs)[:2]
+
+
+def placed_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Also the words' first bytes, counted from offs[0]."""
     base = int(offs[0])
     data = _LOWER[raw[base : int(offs[-1])]]
     at = offs - base
     if not len(data):
-        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, U64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[at] = True
@@ -69,7 +79,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= ~solid[:-1] | begins[1:-1]
     starts = np.flatnonzero(start)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, U64), np.zeros(len(offs), np.int64), starts
     packed = data[solid]
     rank = np.cumsum(solid, dtype=np.int64) - 1
     first = rank[starts]
@@ -80,7 +90,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     powers[1:] = _BASE
     np.multiply.accumulate(powers, out=powers)
     sums = np.add.reduceat(_BYTE_VALUE[packed] * powers[place], first)
-    return mix64(sums), np.searchsorted(starts, at)
+    return mix64(sums), np.searchsorted(starts, at), starts
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audio import audio_digests
+from .decontamination import find_leaks
+from .language_model import interpolated_scores
 from .licence_texts import EQUAL_SPELLINGS, NOTICES, TEXTS
 from .licences import COPYRIGHT_LINE, LOWER, OTHER_ASCII, UPPER, scan_licences
 from .near_duplicates import near_duplicate_classes
@@ -13,6 +15,7 @@ from .packing import pack_documents
 from .scratch import documents
 from .secrets import secret_digests
 from .sharding import histogram_shards
+from .training_order import write_training_order
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_training_order(documents(spark, sf_dir))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(documents(spark, sf_dir))
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(documents(spark, sf_dir))
 
@@ -71,6 +86,9 @@ FROM documents d LEFT JOIN known k ON k.digest = sha256({_normalised_sql('d.text
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
+    "op5_training_order": op5_training_order,
+    "op6_language_model": op6_language_model,
     "op7_audio": op7_audio,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_licences": op9_licences,
