@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .scratch import documents
 from .secrets import secret_digests
 from .sharding import histogram_shards
+from .toxicity import toxicity_scores
 from .training_order import write_training_order
 
 
@@ -30,6 +31,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_training_order(documents(spark, sf_dir))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_training_order": op5_training_order,
     "op6_language_model": op6_language_model,
     "op7_audio": op7_audio,
