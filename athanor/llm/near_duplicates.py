@@ -6,9 +6,10 @@ the smallest value over the set.  Bands of coordinates make buckets, and documen
 compared on their full shingle sets.
 
 Equal sets are one class from the start.  In a bucket the class that shares most buckets with others (the
-hub) is compared with all the rest; components are formed; the next hub follows for what still lies in other
-components; and once little is left, all pairs of a bucket that lie in different components are compared.  No
-bucket is capped and none is gathered into a task: these are joins on the bucket's key.
+hub) is compared with all the rest, and components are formed.  What then still lies outside a bucket's main
+component is compared with the whole bucket: pair by pair in small buckets, and in large ones block by
+block, where all intersections of two blocks are found at once and only links that join components come out.
+No bucket is capped and none is gathered into one task.
 
 Recall: documents with similarity 0.75 share none of 40 bands of 5 with probability 2e-5.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, contracted
 from .kernels import U64, mix64, shingle_sets, slices, text_buffers, words
 from .scratch import Scratch
 
@@ -40,9 +41,10 @@ class NearDup:
     percent: int = 75
     bands: int = 40
     rows: int = 5
-    #: Hub rounds at most, and candidate pairs per bucket membership below which the rest is compared at once.
-    hubs: int = 6
-    pairs_per_member: int = 2
+    #: Buckets up to this size are compared pair by pair, larger ones block by block of so many members and shingles.
+    small: int = 32
+    block: int = 64
+    block_shingles: int = 32_000
     #: Ids up to this many are broadcast to pick texts; more are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
@@ -148,6 +150,28 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def block_links(one: list[dict], two: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between members (id, root, shingles) of two blocks that lie in different components, as many as
+    join the same components: all intersections at once, by the shingles that the blocks share."""
+    sets = [[np.frombuffer(m["shingles"], U64) for m in side] for side in (one, two)]
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    flat = [np.concatenate(side) for side in sets]
+    owner = [np.repeat(np.arange(len(x)), x) for x in sizes]
+    order = np.argsort(flat[1], kind="stable")
+    right, at = flat[1][order], owner[1][order]
+    a = np.searchsorted(right, flat[0])
+    n = np.searchsorted(right, flat[0], side="right") - a
+    place = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    both = np.bincount(np.repeat(owner[0], n) * len(two) + at[place], minlength=len(one) * len(two)).reshape(len(one), len(two))
+    close = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+    roots = [np.array([m["root"] for m in side]) for side in (one, two)]
+    close &= roots[0][:, None] != roots[1][None, :]
+    ids = [np.array([m["id"] for m in side], np.int64) for side in (one, two)]
+    a, b = np.nonzero(close)
+    node, root = contracted(ids[0][a], ids[1][b])
+    return list(zip(node.tolist(), root.tolist()))
+
+
 def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) -> DataFrame | None:
     """(node, root) of the classes that links join, or None without a shared bucket."""
     degree = scratch.write(member.groupBy("id").agg(F.sum("c").alias("degree")), "degree")
@@ -157,41 +181,43 @@ def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) ->
     ids = degree.select("id")
     wanted = docs.join(F.broadcast(ids) if n <= p.broadcast_ids else ids, "id", "left_semi").filter("text is not null")
     sets = scratch.write(full_sets(wanted, p).dropDuplicates(["id"]), "sets")
-    member = scratch.write(member.join(degree, "id"), "ranked")
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    roots: DataFrame | None = None
-    hub: DataFrame | None = None
+    rank = F.struct("degree", (-F.col("id")).alias("back"))
+    ranked = member.join(degree, "id")
+    hub = scratch.write(ranked.groupBy("key").agg(F.max(rank).alias("rank"), F.max_by("n", rank).alias("hub_n")), "hub").select("key", (-F.col("rank.back")).alias("hub"), "hub_n")
     size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
-    for turn in range(p.hubs + 1):
-        now = member if roots is None else member.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        if roots is None:
-            now = now.withColumn("root", F.col("id"))
-        else:  # buckets that lie in one component are done
-            open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("in_all")).filter("lo < hi").select("key", "in_all")
-            now = scratch.write(now.join(open_, "key"), f"open-{turn}")
-            in_root = now.groupBy("key", "root", "in_all").agg(F.count(F.lit(1)).alias("k"))
-            left = in_root.agg(F.sum(F.col("k") * (F.col("in_all") - F.col("k")) / 2)).first()[0] or 0
-            if not left:
-                break
-        last = turn == p.hubs or (roots is not None and left <= p.pairs_per_member * member.count())
-        rank = F.struct("degree", (-F.col("id")).alias("back"))
-        if last:
-            other = now.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-            pairs = now.join(other, "key").filter((F.col("id") < F.col("hub")) & (F.col("root") != F.col("hub_root")) & size)
-        else:
-            todo = now if hub is None else now.join(hub.select("key", F.col("rank").alias("before")), "key").filter(rank < F.col("before"))
-            hub = scratch.write(todo.groupBy("key").agg(F.max(rank).alias("rank"), F.max_by("n", rank).alias("hub_n"), F.max_by("root", rank).alias("hub_root")), f"hub-{turn}")
-            pairs = now.join(hub.select("key", (-F.col("rank.back")).alias("hub"), "hub_n", "hub_root"), "key").filter((F.col("id") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & size)
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{turn}")
-        good = scratch.write(confirmed(pairs, sets, p.percent), f"links-{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
-        roots = components(links, scratch, f"roots-{turn}")
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if last:
-            break
-    return roots
+    unordered = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+    stars = member.join(hub, "key").filter((F.col("id") != F.col("hub")) & size).select(*unordered).distinct()
+    links = scratch.write(confirmed(stars, sets, p.percent), "star-links")
+    roots = components(links, scratch, "stars")
+
+    # What still lies in several components of a bucket.
+    placed = member.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    open_ = counts.groupBy("key").agg(F.max_by("root", "k").alias("main"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    now = scratch.write(placed.join(open_, "key"), "open")
+    small = now.filter(F.col("c") <= p.small)
+    other = small.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+    pairs = small.join(other, "key").filter((F.col("id") < F.col("hub")) & (F.col("root") != F.col("hub_root")) & size).select(*unordered).distinct()
+    more = scratch.write(confirmed(pairs, sets, p.percent), "pair-links")
+    blocks = F.greatest(F.ceil(F.col("c") / p.block), F.ceil(F.col("total") / p.block_shingles))
+    large = now.filter(F.col("c") > p.small).withColumn("block", F.pmod(F.xxhash64("id"), blocks)).join(sets, "id")
+    entry = F.collect_list(F.struct("id", "root", "shingles"))
+    rest = large.filter("root <> main").groupBy("key", "block").agg(entry.alias("one")).select("key", "one")
+    whole = large.groupBy("key", "block").agg(entry.alias("two")).select("key", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1)):
+                found = block_links(one.as_py(), two.as_py(), p.percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    wide = scratch.write(rest.join(whole, "key").select("one", "two").mapInArrow(run, "a long, b long"), "block-links")
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(known.unionByName(more).unionByName(wide), scratch, "roots")
+
+
+def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDup = NearDup()) -> DataFrame:
+    """`df` with one document of each component, that of the smallest id; repeated rows of it are one."""
+    dropped = near_duplicate_classes(df, id_col, text_col, p).filter("not kept").select(id_col).distinct()
+    rest = df.join(dropped, id_col, "left_anti")
+    return rest.filter(F.col(id_col).isNull()).unionByName(rest.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
