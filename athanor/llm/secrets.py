@@ -135,3 +135,28 @@ def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def redact_secrets(df: DataFrame, text_col: str = "text", reach: int = 400, mark: str = "<{}>") -> DataFrame:
+    """`df` with every found span of the text replaced by its kind; overlapping spans are replaced as one, under
+    the first one's kind.  Texts without a span, null included, stay as they are."""
+    names = df.columns
+    where = names.index(text_col)
+
+    def clean(text: str | None) -> str | None:
+        strong = strong_spans(text) if text else []
+        every = sorted(strong + linked_spans(text, strong, reach) if text else [], key=lambda s: (s[0], _ORDER[s[2]]))
+        out, at = [], 0
+        for a, b, kind in every:
+            if a >= at:
+                out += [text[at:a], mark.format(kind)]
+            at = max(at, b)
+        return "".join([*out, text[at:]]) if every else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[where] = pa.array([clean(t) for t in columns[where].to_pylist()], columns[where].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, df.schema)
