@@ -71,21 +71,21 @@ def curve_positions(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dims: in
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """(id, key, n, ids as little-endian 16- or 32-bit bytes) of every document."""
-    wide = "<u2" if _vocabulary(tokenizer_path) <= 1 << 16 else "<u4"
+    wide = tokens.id_kind(tokenizer_path)
     size = _vocabulary(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = [tokens.encode_document(t, tokenizer_path, end_id) for t in part.column(1).to_pylist()]
+                own = [tokens.encode_document(t, tokenizer_path, end_id, wide) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([len(x) for x in own])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(curve_positions(np.concatenate(own), ends, size)),
                         pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([x.astype(wide).tobytes() for x in own], pa.binary()),
+                        pa.array([x.tobytes() for x in own], pa.binary()),
                     ],
                     ["id", "key", "n", "ids"],
                 )
@@ -105,7 +105,7 @@ def pack_documents(
     `with_ids` the ids themselves (binary, little-endian unsigned 32-bit)."""
     spark = df.sparkSession
     tokenizer_path = tokenizer_path or tokens.default_path()
-    stride = 2 if _vocabulary(tokenizer_path) <= 1 << 16 else 4
+    wide = tokens.id_kind(tokenizer_path)
     table = Scratch(spark, "packing").write(tokenised(df, id_col, text_col, tokenizer_path, end_id), "ids")
     total = table.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, math.ceil(total / RANGE_TOKENS))
@@ -115,7 +115,7 @@ def pack_documents(
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("row", "start", "length", "crc", "sequence", "offset", "ids")}
             for i, raw in enumerate(batch.column(3)):
-                ids = np.frombuffer(raw.as_buffer(), dtype=f"<u{stride}").astype("<u4")
+                ids = np.frombuffer(raw.as_buffer(), dtype=wide).astype("<u4")
                 start = 0
                 while start < len(ids):
                     sequence, offset = divmod(at, length)

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from functools import cache
 
 import numpy as np
 
-_LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
-
-
 @cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -37,17 +33,30 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(text: str, path: str) -> np.ndarray:
+def _has_long_run(text: str, size: int = 2000) -> bool:
+    """Whether a stretch of `size` characters has no white space, or nothing else; a run of twice that has one."""
+    if len(text) < 2 * size:
+        return False
+    for at in range(0, len(text), size):
+        if text.find(" ", at, at + size) < 0 or text[at : at + size].isspace():
+            return True
+    return False
+
+
+def encode(text: str, path: str) -> list[int]:
     """The ids of `text`.  Where the vocabulary also lies there as ranks they are used, since they give the
     same ids several times faster; texts with very long unbroken runs go to the tokenizer itself."""
-    if not text:
-        return np.zeros(0, np.uint32)
     ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks) and (len(text) < 4000 or not _LONG_RUN.search(text)):
-        return np.asarray(_ranks(ranks).encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
-    return np.asarray(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    if os.path.exists(ranks) and not _has_long_run(text):
+        return _ranks(ranks).encode_ordinary(text)
+    return _tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
-def encode_document(text: str | None, path: str, end: int) -> np.ndarray:
+def encode_document(text: str | None, path: str, end: int, kind: str = "<u4") -> np.ndarray:
     """The ids of a document and its end id; null text counts as empty."""
-    return np.append(encode(text or "", path), np.uint32(end))
+    return np.array([*encode(text, path), end] if text else [end], dtype=kind)
+
+
+def id_kind(path: str) -> str:
+    """The narrowest unsigned little-endian type of the vocabulary's ids."""
+    return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
