@@ -6,8 +6,8 @@ bits, walked along its cycle until it lands below the number of sequences.  P is
 dealt to shards by division alone, without sampling or sorting globally, and every shard file holds its
 slots at a fixed stride: slot s lies at (s - first slot) * stride, which makes reads sequential and resumable.
 
-Ids are counted in a first pass and written in a second; the second checks that each partition has the same
-documents as before.  `df` must therefore be a stored table.
+Sequences are written once, compressed, so that they can be counted before they are dealt; the exchange and
+the shards follow from that table.
 
 Cases: null and empty texts hold the end id alone; the last sequence of a partition is padded; repeated rows
 are written as often as they occur; an empty table gives no shard and no row.
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,12 +34,12 @@ from .scratch import Scratch
 
 @dataclass(frozen=True)
 class Order:
-    length: int = 1024
+    length: int = 2048
     key: int = 0x0DDBA11
     rounds: int = 6
     end_id: int = 1
     pad_id: int = 0
-    shard_slots: int = 8192
+    shard_slots: int = 4096
 
 
 def feistel(x: np.ndarray, count: int, key: int, rounds: int) -> np.ndarray:
@@ -61,22 +62,49 @@ def feistel(x: np.ndarray, count: int, key: int, rounds: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _summed(state: int, ids: list, lengths: list[int]) -> int:
-    return zlib.crc32("".join(f"{i}:{n};" for i, n in zip(ids, lengths)).encode(), state)
+#: Sequences that are compressed together in the intermediate table.
+UNIT = 16
 
 
-def _counts(docs: DataFrame, path: str, o: Order) -> list:
-    """(partition, documents' checksum, sequences) of each partition with documents."""
+def _sequences(docs: DataFrame, path: str, o: Order, kind: str) -> DataFrame:
+    """Units of up to UNIT sequences: part, at (number of the first in its partition), and per sequence its length, crc,
+    doc_ids, doc_starts and offsets; `ids` holds all their ids, compressed."""
+    wide = tokens.id_kind(path)
+    own = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    many = lambda t: pa.list_(pa.list_(t))
+    schema = pa.schema([("part", pa.int64()), ("at", pa.int64()), ("n", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("doc_ids", many(own)), ("doc_starts", many(pa.int64())), ("offsets", many(pa.int64())), ("ids", pa.binary())])
+
+    def unit(ids: np.ndarray, at: int, pieces: list[tuple]) -> pa.RecordBatch:
+        n = -(-len(ids) // o.length)
+        meta: list[list] = [[[] for _ in range(n)] for _ in range(3)]
+        for i, a, b in pieces:
+            for s in range(max(a, 0) // o.length, min(n, -(-b // o.length))):
+                begin = max(a, s * o.length)
+                for column, value in zip(meta, (i, begin - a, begin - s * o.length)):
+                    column[s].append(value)
+        blobs = [ids[s * o.length : (s + 1) * o.length] for s in range(n)]
+        row = TaskContext.get().partitionId(), at, [len(x) for x in blobs], [zlib.crc32(x.astype("<u4").tobytes()) for x in blobs], *meta, zstandard.ZstdCompressor(level=9).compress(ids.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = state = 0
+        at, rest, pieces, size = 0, np.zeros(0, wide), [], UNIT * o.length
         for batch in batches:
-            sizes = [len(tokens.encode_document(t.as_py(), path, o.end_id)) for t in batch.column(1)]
-            n, state = n + sum(sizes), _summed(state, batch.column(0).to_pylist(), sizes)
-        if n:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "sum": pa.array([state], pa.int64()), "n": pa.array([-(-n // o.length)], pa.int64())})
+            for k in range(0, batch.num_rows, 256):
+                fresh = [tokens.encode_document(t, path, o.end_id, wide) for t in batch.column(1).slice(k, 256).to_pylist()]
+                begin = len(rest)
+                for i, x in zip(batch.column(0).slice(k, 256).to_pylist(), fresh):
+                    pieces.append((i, begin, begin + len(x)))
+                    begin += len(x)
+                rest = np.concatenate([rest, *fresh])
+                while len(rest) >= size:
+                    yield unit(rest[:size], at, pieces)
+                    at, rest = at + UNIT, rest[size:]
+                    pieces = [(i, a - size, b - size) for i, a, b in pieces if b > size]
+        if len(rest):
+            yield unit(rest, at, pieces)
 
-    return sorted(docs.mapInArrow(run, "part long, sum long, n long").collect())
+    lists = f"doc_ids array<array<{kind}>>, doc_starts array<array<long>>, offsets array<array<long>>"
+    return docs.mapInArrow(run, f"part long, at long, n array<long>, crc array<long>, {lists}, ids binary")
 
 
 def write_training_order(df: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, o: Order = Order()) -> DataFrame:
@@ -89,96 +117,64 @@ def write_training_order(df: DataFrame, folder: str | None = None, id_col: str =
     """
     spark = df.sparkSession
     path = tokenizer_path or tokens.default_path()
-    folder = (folder or Scratch(spark, "order").path("shards")).rstrip("/")
-    width = 2 if tokens._tokenizer(path).get_vocab_size() <= 1 << 16 else 4
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(spark, "order")
+    folder = (folder or scratch.path("shards")).rstrip("/")
+    wide = tokens.id_kind(path)
     kind = df.schema[id_col].dataType.simpleString()
-    counted = _counts(docs, path, o)
-    count = sum(r["n"] for r in counted)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = scratch.write(_sequences(docs, path, o, kind), "sequences")
     # One row per scan partition: the driver plans a task for each of them anyway.
-    plan, first = {}, 0
-    for r in counted:
-        plan[r["part"]] = (first, r["sum"])
-        first += r["n"]
-    meta = f"doc_ids array<{kind}>, doc_starts array<long>, offsets array<long>"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at, expected = plan.get(part, (0, 0))
-        state, rest = 0, np.zeros(0, np.uint32)
-        pieces: list[tuple] = []
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(k, 256).to_pylist()
-                own = [tokens.encode_document(t.as_py(), path, o.end_id) for t in batch.column(1).slice(k, 256)]
-                state = _summed(state, ids, [len(x) for x in own])
-                begin = len(rest)
-                for i, x in zip(ids, own):
-                    pieces.append((i, begin, begin + len(x)))
-                    begin += len(x)
-                rest = np.concatenate([rest, *own])
-                full = len(rest) // o.length
-                if full:
-                    yield rows(rest[: full * o.length], at, full, pieces)
-                    at, rest = at + full, rest[full * o.length :]
-                    pieces = [(i, a - full * o.length, b - full * o.length) for i, a, b in pieces if b > full * o.length]
-        if state != expected:
-            raise RuntimeError("the table changed between two reads; store it first")
-        if len(rest):
-            yield rows(rest, at, 1, pieces)
+    counted = dict(table.groupBy("part").agg(F.sum(F.size("n"))).collect())
+    first = dict(zip(sorted(counted), np.cumsum([0, *(counted[k] for k in sorted(counted))]).tolist()))
+    count = sum(counted.values())
 
-    def rows(ids: np.ndarray, at: int, n: int, pieces: list[tuple]) -> pa.RecordBatch:
-        slots = feistel(np.arange(at, at + n), count, o.key, o.rounds)
-        out: dict[str, list] = {"doc_ids": [[] for _ in range(n)], "doc_starts": [[] for _ in range(n)], "offsets": [[] for _ in range(n)]}
-        for i, a, b in pieces:
-            for s in range(max(a, 0) // o.length, min(n, -(-b // o.length))):
-                begin = max(a, s * o.length)
-                out["doc_ids"][s].append(i)
-                out["doc_starts"][s].append(begin - a)
-                out["offsets"][s].append(begin - s * o.length)
-        blobs = [ids[s * o.length : (s + 1) * o.length] for s in range(n)]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(slots),
-                pa.array(slots // o.shard_slots),
-                pa.array([len(x) for x in blobs], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in blobs], pa.int64()),
-                *(pa.array(out[c], t) for c, t in zip(out, (pa.list_(to_arrow[kind]), pa.list_(pa.int64()), pa.list_(pa.int64())))),
-                pa.array([x.astype(f"<u{width}").tobytes() for x in blobs], pa.binary()),
-            ],
-            names,
-        )
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, at, n, crc, *meta, ids = (c[k].as_py() for c in batch.columns)
+                raw = zstandard.ZstdDecompressor().decompress(ids)
+                slots = feistel(np.arange(first[part] + at, first[part] + at + len(n)), count, o.key, o.rounds)
+                step = o.length * np.dtype(wide).itemsize
+                packed = [squeeze.compress(raw[s * step : (s + 1) * step]) for s in range(len(n))]
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // o.shard_slots), *(pa.array(x, t.value_type) for x, t in zip((n, crc, *meta), batch.schema.types[2:7])), pa.array(packed, pa.binary())], [*names, "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = name = sink = target = None
+        out = name = target = None
         for batch in batches:
-            shards = batch.column(1).to_pylist()
-            for shard, ids in zip(shards, batch.column(7).to_pylist()):
+            slots, shards, sizes = (batch.column(k).to_pylist() for k in (0, 1, 2))
+            for shard, n, ids in zip(shards, sizes, batch.column(7)):
                 if shard != name:
                     if out is not None:
-                        _finish(sink, out, target)
+                        _finish(out, target)
                     name, target = shard, f"{folder}/shard-{shard:08d}.bin"
-                    sink, place = fs.FileSystem.from_uri(target)
-                    sink.create_dir(place.rpartition("/")[0], recursive=True)
-                    out = sink.open_output_stream(f"{place}.{TaskContext.get().taskAttemptId()}")
-                out.write(ids + np.full(o.length - len(ids) // width, o.pad_id, f"<u{width}").tobytes())
-            position = pa.array([s % o.shard_slots * o.length * width for s in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], position, *batch.columns[2:7]], [*names[:2], "position", *names[2:7]])
+                    out = _open(target)
+                out.write(zstandard.ZstdDecompressor().decompress(ids.as_buffer()) + np.full(o.length - n, o.pad_id, wide).tobytes())
+            position = pa.array([s % o.shard_slots * o.length * np.dtype(wide).itemsize for s in slots], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], position, *batch.columns[2:7]], [*names[:2], "position", *names[2:]])
         if out is not None:
-            _finish(sink, out, target)
+            _finish(out, target)
 
-    def _finish(sink, out, target: str) -> None:
-        out.close()
-        place = fs.FileSystem.from_uri(target)[1]
-        sink.move(f"{place}.{TaskContext.get().taskAttemptId()}", place)
-
-    to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    names = ["slot", "shard", "length", "ids_crc32", "doc_ids", "doc_starts", "offsets", "ids"]
-    sequences = docs.mapInArrow(cut, f"slot long, shard long, length long, ids_crc32 long, {meta}, ids binary")
+    names = ["slot", "shard", "length", "ids_crc32", "doc_ids", "doc_starts", "offsets"]
+    rest = f"doc_ids array<{kind}>, doc_starts array<long>, offsets array<long>"
+    placed = table.mapInArrow(place, f"slot long, shard long, length long, ids_crc32 long, {rest}, ids binary")
     shards = max(1, -(-count // o.shard_slots))
     # Slots are a permutation, so every shard but the last gets exactly shard_slots sequences.
-    dealt = sequences.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, f"slot long, shard long, position long, length long, ids_crc32 long, {meta}")
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    return dealt.mapInArrow(write, f"slot long, shard long, position long, length long, ids_crc32 long, {rest}")
+
+
+def _open(target: str):
+    """A file beside `target`, named by the attempt, so that a second attempt can't harm a whole file."""
+    sink, place = fs.FileSystem.from_uri(target)
+    sink.create_dir(place.rpartition("/")[0], recursive=True)
+    return sink.open_output_stream(f"{place}.{TaskContext.get().taskAttemptId()}")
+
+
+def _finish(out, target: str) -> None:
+    out.close()
+    sink, place = fs.FileSystem.from_uri(target)
+    sink.move(f"{place}.{TaskContext.get().taskAttemptId()}", place)
 
 
 def read_slots(folder: str, first: int, count: int, width: int = 2, o: Order = Order()) -> np.ndarray:
