@@ -7,7 +7,9 @@ bucket is verified by its exact edit distance inside the window and a margin.  T
 follows from the target recall.
 
 Windows stand where a word pair of an item occurs, shifted by the pair's place in the item; a copy within the
-edit limit keeps pairs, since the limit is a fifth of the bytes.  Items of one word stand on that word.
+edit limit keeps pairs, since the limit is a fifth of the bytes.  Pairs of short words, which any text holds,
+propose a window only where two of an item agree on it, unless the item has no other.  Items of one word stand
+on that word.
 Items much longer than `segment` bytes are looked for in pieces of that size.
 
 A-Z count as a-z.  Cases: null and empty texts and items without words match nothing; repeated rows and equal
@@ -32,12 +34,15 @@ from .kernels import U64, lowered, mix64, ngrams, placed_words, slices, text_buf
 @dataclass(frozen=True)
 class Leaks:
     edit_percent: int = 20
-    samples: int = 5
+    samples: int = 6
     walks: int = 3
     recall: float = 0.99
     #: Share of sampled places that differ for a copy at half the edit limit, from the walks' distortion.
     differ: float = 0.3
     segment: int = 600
+    #: A word pair of so many bytes proposes a window alone; shorter ones must agree in twos, up to a shift.
+    strong_bytes: int = 11
+    shift: int = 24
     block_bytes: int = 16 << 20
 
     @property
@@ -47,6 +52,7 @@ class Leaks:
 
 #: Lengths from which a class of items starts; places are sampled in the part of the walk that its shortest item fills.
 CLASSES = (1, 24, 40, 64, 96, 144, 216, 324, 486)
+GRAM = 4
 
 
 def edit_search(pattern: bytes, text: bytes) -> tuple[int, int]:
@@ -93,9 +99,10 @@ class Index:
             raw = lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes()
             parts = [raw] if len(raw) <= p.segment else [raw[i : i + p.segment * 2 // 3] for i in range(0, len(raw) - p.segment // 3, p.segment * 2 // 3)]
             self.pieces += [(item, x) for x in parts if x.strip(b" \t\n\x0b\x0c\r")]
+        self.grams = [[x[i : i + GRAM] for i in range(len(x) - GRAM + 1)] for _, x in self.pieces]
         self.lengths = np.array([len(x) for _, x in self.pieces], np.int64)
         self.classes = np.searchsorted(CLASSES, self.lengths, side="right") - 1
-        anchors, owners, shifts = [], [], []
+        anchors, owners, shifts, strong = [], [], [], []
         for k, (_, text) in enumerate(self.pieces):
             raw = np.frombuffer(text, np.uint8)
             hashes, _, starts = placed_words(raw, np.array([0, len(raw)]))
@@ -103,10 +110,13 @@ class Index:
             anchors.append(grams)
             owners.append(np.full(len(grams), k))
             shifts.append(starts[: len(grams)])
+            ends = np.append(starts[2:], len(raw)) if len(hashes) > 1 else np.array([len(raw)])
+            long = ends - starts[: len(grams)] >= p.strong_bytes
+            strong.append(long | ~long.any())
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         anchors = join(anchors, U64)
         order = np.argsort(anchors, kind="stable")
-        self.anchors, self.owners, self.shifts = anchors[order], join(owners, np.int64)[order], join(shifts, np.int64)[order]
+        self.anchors, self.owners, self.shifts, self.strong = anchors[order], join(owners, np.int64)[order], join(shifts, np.int64)[order], join(strong, bool)[order]
         self.single = any(len(x.split()) == 1 for _, x in self.pieces)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.anchors >> U64(44)).astype(np.int64)] = True
@@ -149,8 +159,8 @@ class Index:
         salt = (np.arange(len(plan), dtype=U64) * U64(len(CLASSES)) + U64(c) + U64(1)) * U64(0xD1B54A32D192ED03)
         return mix64(out + salt[:, None]).T
 
-    def windows(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, piece, first byte in `raw`) of the windows that anchors propose."""
+    def windows(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, piece, first byte in `raw`, strong) of the windows that anchors propose."""
         for i, j in slices(offs):
             hashes, rows, starts = placed_words(raw, offs[i : j + 1])
             if not len(hashes):
@@ -167,7 +177,18 @@ class Index:
                 each = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 piece, row = self.owners[each], np.repeat(row, n) + i
                 at = int(offs[i]) + np.repeat(starts[hit], n) - self.shifts[each]
-                yield row, piece, np.maximum(at, offs[row])
+                yield row, piece, np.maximum(at, offs[row]), self.strong[each]
+
+    def _supported(self, row: np.ndarray, piece: np.ndarray, at: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct windows that a long pair proposes, or two pairs at nearly the same place."""
+        order = np.lexsort((at, piece, row))
+        row, piece, at, strong = row[order], piece[order], at[order], strong[order]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]) | (at[1:] - at[:-1] > self.p.shift)))
+        group = np.cumsum(new) - 1
+        votes = np.bincount(group)
+        good = (votes >= 2) | (np.bincount(group, weights=strong) > 0)
+        own = good[group] & (new | np.concatenate(([True], at[1:] != at[:-1])))
+        return row[own], piece[own], at[own]
 
     def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, distance) in bytes of `raw`, the best match of each row and item."""
@@ -176,9 +197,9 @@ class Index:
         found = list(self.windows(raw, offs))
         if not found:
             return []
-        row, piece, at = (np.concatenate(x) for x in zip(*found))
-        _, first = np.unique(np.stack((row, piece, at)), axis=1, return_index=True)
-        row, piece, at = row[first], piece[first], at[first]
+        row, piece, at = self._supported(*(np.concatenate(x) for x in zip(*found)))
+        if not len(row):
+            return []
         base, data = int(offs[0]), lowered(raw[int(offs[0]) : int(offs[-1])])
         met: dict[tuple[int, int], list[int]] = {}
         for c in np.unique(self.classes[piece]).tolist():
@@ -200,7 +221,12 @@ class Index:
                 if old and old[0] == 0:
                     break
                 lo, hi = max(int(offs[r]), start - limit), min(int(offs[r + 1]), start + len(text) + limit)
-                span = edit_span(text, data[lo - base : hi - base].tobytes(), limit)
+                region = data[lo - base : hi - base].tobytes()
+                # Every edit breaks at most GRAM of the item's byte grams, so a match keeps the others.
+                there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
+                if sum(g in there for g in self.grams[k]) < len(self.grams[k]) - GRAM * limit:
+                    continue
+                span = edit_span(text, region, limit)
                 if span and (not old or (span[0], lo + span[1]) < (old[0], old[1])):
                     best[r, item] = span[0], lo + span[1], lo + span[2]
         return [(r, item, a, b, d) for (r, item), (d, a, b) in sorted(best.items())]
