@@ -148,7 +148,7 @@ def _dealkylation(partner: str, name: str, extra: tuple[Pattern, ...] = ()) -> R
     for which, h, kinds in (("methyl", 3, ("carboxylic", "carbonyl", "alcohol")), ("methylene", 2, ("carboxylic", "carbonyl", "alcohol")), ("methine", 1, ("carbonyl", "alcohol"))):
         for kind in kinds:
             out.append(arrow(f"{which}_{kind}", f"[#6H{h}:1][{partner}:2]", forms[kind][0], adds=forms[kind][1], leave=1 if which == "methyl" else None))
-    return Rule(name, (*out, *extra), examples=("COc1ccccc1", "CN(C)c1ccccc1"))
+    return Rule(name, (*out, *extra), examples=("CN(C)c1ccccc1",))
 
 
 #: Leaving a carbon fully substituted, a carbon-carbon bond, or an aminal.
