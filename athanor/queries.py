@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chem import examples
+from .chem.molecule import canonical_smiles
+from .chem.search import Search
 from .functions import bags, curies, mass, scores
-from .operators import graph, joins, sites
+from .operators import graph, joins, metabolize, sites
 from .plans import relations
 from .plans.algebra import count_linear_extensions
 
@@ -288,12 +291,40 @@ def counters_rollup(spark, sf):
     return e.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in ("click", "view", "purchase")), F.count(F.lit(1)).alias("billed"))
 
 
+# --- molecules --------------------------------------------------------------------------------------------
+
+
+def chem_products(spark, sf):
+    """The worked examples whose product the rule gives, found by canonical text."""
+    rows = [(k, *r, canonical_smiles(r[2])) for k, r in enumerate(examples.PRODUCTS)]
+    table = spark.createDataFrame(rows, "case int, rule string, smiles string, product string, want string")
+    made = None
+    for rule in sorted({r[0] for r in examples.PRODUCTS}):
+        one = metabolize.metabolize(table.filter(F.col("rule") == rule), catalog=rule)
+        made = one if made is None else made.unionByName(one)
+    return made.filter(F.array_contains("products", F.col("want"))).select("rule", F.col("smiles").alias("reactant"), "product").distinct()
+
+
+def chem_paths(spark, sf):
+    """Which of the worked searches reach their target."""
+    cases = [c for suite in (examples.MID, examples.LARGER, examples.HARD) for c in suite]
+    found, _ = metabolize.find_paths(spark.createDataFrame(cases, "query_id string, reactant string, target string"), "Default", Search(max_nodes=400))
+    return found.filter("exact").select(F.col("query_id").alias("name")).distinct()
+
+
+def chem_first_products(spark, sf):
+    """The products of ethane and of propane under hydroxylation, by number."""
+    df = spark.createDataFrame([("CC",), ("CCC",), ("c1ccccc1",)], "smiles string")
+    return metabolize.metabolize(df, catalog="Hydroxylation").groupBy("smiles").agg(F.count(F.lit(1)).alias("n_products"), F.max(F.size("orbit")).cast("bigint").alias("largest_orbit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bag_formula, bag_delta, bag_l1, bag_heavy_l1, bag_apply_delta, weighted_mass, mz_within, unique_sites, emission_dedup, fold_or, layer_stats, pair_compose, bfs_levels, bfs_target_gate,
         net_parents, net_children, net_counts, net_degrees, net_prune, net_reaches, net_closest, net_step_path, net_simple_paths, transition_edges, plan_closure, plan_reduction, plan_linearizations,
         maybe_allows, residual_class, score_log_neg_pc, field_cost, order_key_topk, diversity_rank, sssom_resolve, counters_rollup,
+        chem_products, chem_paths, chem_first_products,
     )
 }
 
@@ -302,6 +333,7 @@ _BFS_SQL = f"""WITH RECURSIVE {_SUPPLY_SQL}, walk(node, level) AS (SELECT 'p' ||
 UNION SELECT e.b, level + 1 FROM walk JOIN e ON e.a = node WHERE level < 3 {{gate}}) SELECT node, min(level) AS level FROM walk GROUP BY node"""
 _PRECEDES_SQL = """p AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
 UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0)"""
+_quoted = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 _ARMS_SQL = "arm AS (SELECT l_orderkey, (l_orderkey % 3)::VARCHAR AS side, string_agg((l_partkey % 7)::VARCHAR, '.' ORDER BY (l_partkey % 7)::VARCHAR) AS fold FROM lineitem GROUP BY l_orderkey)"
 
 ORACLES = {
@@ -353,6 +385,9 @@ SELECT n_regionkey, (factorial((1 + k + leaves)::INT) / ((1 + k + leaves) * hook
     "sssom_resolve": """WITH c AS (SELECT page_id, url, CASE WHEN starts_with(url, 'https://') THEN 'ex:' || substr(url, 9) WHEN starts_with(url, 'http://') THEN 'plain:' || substr(url, 8) ELSE url END AS curie FROM pages),
 s AS (SELECT *, list_filter(string_split(regexp_replace(curie, '^[A-Za-z0-9_.-]+:/*', ''), '/'), lambda x: x <> '') AS steps FROM c)
 SELECT page_id, curie, url AS iri, len(steps)::BIGINT AS n_segments, coalesce(steps[1], '') AS root FROM s""",
+    "chem_products": f"SELECT * FROM (VALUES {_quoted(examples.PRODUCTS)}) v(rule, reactant, product)",
+    "chem_paths": f"SELECT * FROM (VALUES {_quoted([c[:1] for s in (examples.MID, examples.LARGER, examples.HARD) for c in s])}) v(name)",
+    "chem_first_products": "SELECT * FROM (VALUES ('CC', 1, 2), ('CCC', 2, 2), ('c1ccccc1', 1, 6)) v(smiles, n_products, largest_orbit)",
     "counters_rollup": """SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_click, count(*) FILTER (WHERE event_type = 'view') AS n_view,
 count(*) FILTER (WHERE event_type = 'purchase') AS n_purchase, count(*) AS billed FROM events GROUP BY user_id""",
 }
