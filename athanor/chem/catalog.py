@@ -369,8 +369,8 @@ def catalogs() -> dict[str, Catalog]:
     """The composed catalogs by name."""
     stable = _set("StableOxygenation", "Hydroxylation", "Epoxidation", "NitrogenOxidation", "SulfurOxidation")
     unstable = _set("UnstableOxygenation", "Dealkylation", "OxidativeDehalogenation")
-    dehydrogenation = _set("DehydrogenationColor", "Dehydrogenation")
-    hydrolysis = _set("HydrolysisColor", "Dephosphorylation", "EpoxideOpening", "Hydrolysis")
+    dehydrogenation = _set("Dehydrogenation", "Dehydrogenation")
+    hydrolysis = _set("Hydrolysis", "Dephosphorylation", "EpoxideOpening", "Hydrolysis")
     reduction = _set("Reduction", "Hydrogenation", "Dehydration", "NitrogenReduction", "SulfurReduction", "OxygenReduction", "ReductiveDehalogenation")
     core = Catalog("PhaseOneCore", (stable, unstable, dehydrogenation, hydrolysis, reduction))
     r = rules()
@@ -388,8 +388,33 @@ def catalogs() -> dict[str, Catalog]:
 
 
 def resolve(name: str) -> Rule | Catalog:
-    """A catalog or a leaf rule by name."""
-    return catalogs().get(name) or rules()[name]
+    """A leaf rule or a catalog by name; a leaf goes before a group of its name."""
+    return rules().get(name) or catalogs()[name]
+
+
+def bound(rule: str, pattern: str) -> Rule:
+    """The rule with one of its patterns alone (an end of a pair meets only ends of that pattern)."""
+    whole = rules()[rule]
+    return replace(whole, patterns=(whole[pattern],))
+
+
+def paths() -> dict[str, str]:
+    """Every path of names that leads somewhere, from a leaf or a catalog on, with what is there."""
+    out: dict[str, str] = {}
+
+    def walk(at: Rule | Catalog, path: str) -> None:
+        out[path] = "rule" if isinstance(at, Rule) else "catalog"
+        if isinstance(at, Rule):
+            out.update({f"{path}/{p.name}": "pattern" for p in at.patterns})
+        else:
+            for m in at.members:
+                walk(m, f"{path}/{m.name}")
+
+    for c in catalogs().values():
+        walk(c, c.name)
+    for r in rules().values():
+        walk(r, r.name)
+    return out
 
 
 def as_catalog(what: str | Rule | Catalog | list[str]) -> Catalog:

@@ -121,3 +121,22 @@ def test_stream(spark, tmp_path):
     arriving = spark.readStream.schema("smiles string").parquet(str(tmp_path / "in"))
     expand_stream(arriving, str(tmp_path / "out"), str(tmp_path / "check"), "Hydroxylation", once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_identifiers_and_formula_check(spark):
+    from athanor.operators.catalogs import formula_mismatches, resolve_identifiers
+
+    df = spark.createDataFrame([("x:PhaseOne/StableOxygenation/Hydroxylation/h",), ("x:Tautomerization",), ("x:PhaseOne/Dehydrogenation/Dehydrogenation",), ("x:Nothing/here",)], "c string")
+    assert [r.kind for r in resolve_identifiers(df, "c").orderBy("c").collect()] == [None, "rule", "pattern", "rule"]
+    mols = spark.createDataFrame([("CCO",), ("c1ccccc1",)], "smiles string")
+    rules = ["Hydroxylation", "Epoxidation"]
+    assert formula_mismatches(metabolize.find_sites(mols, catalog=rules), metabolize.emit(mols, catalog=rules)).count() == 0
+
+
+def test_command_line(capsys):
+    from athanor.__main__ import main
+
+    assert main(["find", "Oc1ccc(O)cc1", "O=C1C=CC(=O)C=C1"]) == 0
+    assert capsys.readouterr().out.startswith("exact")
+    assert main(["products", "CC", "--rules", "Hydroxylation"]) == 0
+    assert main(["find", "CC", "c1ccccc1", "--rules", "Hydroxylation", "--max-nodes", "3"]) == 1
