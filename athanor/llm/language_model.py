@@ -10,9 +10,10 @@ Layout.  Texts are read in chunks of a few million tokens.  A chunk lists its di
 as sorted hashes with their counts, cut into ranges of the hash space; a range meets those of all other
 chunks, and a chunk gets back the totals of what other chunks hold too (what it alone holds it knows).
 Both ways carry distinct n-grams of chunks, not occurrences, and every task handles a chunk or a range of
-bounded size.  Ranges are as many as the corpus needs.
+bounded size.  Ranges are as many as the corpus needs.  What goes back is in the chunk's own order, so it needs no
+hashes.
 
-Words are told apart by 64-bit hashes.  Cases: null text counts as empty and is one end token; a null id
+Words are told apart by 64-bit hashes, pairs by as many bits as the corpus needs (48 at least).  Cases: null text counts as empty and is one end token; a null id
 belongs to the fold of the empty string; repeated rows count as often as they occur; unseen words have the
 uniform share; an empty table gives an empty result.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, mix64, slices, text_buffers, words
-from .scratch import Scratch
+from .scratch import Scratch, release
 
 END = U64(0x452821E638D01376) & ~U64(1)
 PAIR = U64(0xC2B2AE3D27D4EB4F)
@@ -48,8 +49,8 @@ class Interpolation:
     buckets: int = 24
     rounds: int = 15
     least: float = 1e-4
-    chunk_tokens: int = 3_000_000
-    range_entries: int = 2_500_000
+    chunk_tokens: int = 1_500_000
+    range_entries: int = 1_000_000
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -72,28 +73,34 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, U64), dtype=U64)
 
 
+def _shift(size: int) -> int:
+    """How many low bits of a pair's hash are given up: the rest tells apart the pairs of a corpus of `size` bytes
+    but for a handful of collisions, and takes less room."""
+    return 64 - min(64, max(48, 2 * math.ceil(math.log2(max(size, 1) / 6 + 1)) - 4))
+
+
 def fold(id_: object, folds: int) -> int:
     return zlib.crc32(("" if id_ is None else str(id_)).encode()) % folds
 
 
-def _grams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Pair hashes (odd) of each token with the one before it; a text begins after an end."""
+def _grams(tokens: np.ndarray, first: np.ndarray, shift: int) -> np.ndarray:
+    """Pair hashes of each token with the one before it, without their low bits; a text begins after an end."""
     before = np.concatenate(([END], tokens[:-1]))
     before[first] = END
-    return mix64(before * PAIR + tokens) | U64(1)
+    return mix64(before * PAIR + tokens) >> U64(shift)
 
 
-def _entries(local: np.ndarray, vocabulary: np.ndarray, lengths: np.ndarray, folds: np.ndarray, p: Interpolation):
-    """The chunk's distinct n-grams with the counts (learning, deleted), and each token's place among pairs."""
+def _entries(local: np.ndarray, vocabulary: np.ndarray, lengths: np.ndarray, folds: np.ndarray, p: Interpolation, shift: int):
+    """The chunk's distinct pairs, each token's place among them, and the counts (learning, deleted) of pairs and words."""
     learn = np.repeat(folds != p.score_fold, lengths)
     deleted = np.repeat(folds == p.deleted_fold, lengths)
-    pairs, place = np.unique(_grams(vocabulary[local], np.cumsum(lengths) - lengths), return_inverse=True)
+    pairs, place = np.unique(_grams(vocabulary[local], np.cumsum(lengths) - lengths, shift), return_inverse=True)
     count = lambda at, n: np.stack([np.bincount(at, weights=w, minlength=n).astype(np.uint32) for w in (learn, deleted)])
     return pairs, place, count(place, len(pairs)), count(local, len(vocabulary))
 
 
-def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
-    """Rows of kind d (a chunk's documents) and e (one hash range of a chunk's n-grams)."""
+def _chunks(df: DataFrame, p: Interpolation, ranges: int, shift: int) -> DataFrame:
+    """Rows of kind d (a chunk's documents) and e (one hash range of a chunk's words and pairs)."""
 
     def emit(chunk: int, tokens: list, lengths: list, ids: list) -> Iterator[dict]:
         vocabulary, local, seen = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
@@ -107,14 +114,13 @@ def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
         values = np.array([0 if x is None else x for x in ids], np.int64)
         back = np.argsort(vocabulary)
         yield {"kind": "d", "chunk": chunk, "bucket": 0, "n": len(local), "p": [_pack(values), _pack(null), _pack(sizes.astype(np.uint32)), _pack(local.astype(np.uint32)), _pack_sorted(vocabulary[back]), _pack(back.astype(np.uint32))]}
-        pairs, _, pair_counts, word_counts = _entries(local, vocabulary, sizes, folds, p)
-        every = np.concatenate((pairs, vocabulary))
-        order = np.argsort(every)
-        every, counts = every[order], np.concatenate((pair_counts, word_counts), axis=1)[:, order]
-        cuts = np.searchsorted(every, _bounds(ranges))
-        for b, (i, j) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(every)])):
-            if j > i:
-                yield {"kind": "e", "chunk": chunk, "bucket": b, "n": j - i, "p": [_pack_sorted(every[i:j]), _pack(counts[0, i:j]), _pack(counts[1, i:j])]}
+        pairs, _, pair_counts, word_counts = _entries(local, vocabulary, sizes, folds, p, shift)
+        words_, word_counts = vocabulary[back], word_counts[:, back]
+        cuts = [[0, *np.searchsorted(x, _bounds(ranges) >> U64(by)).tolist(), len(x)] for x, by in ((words_, 0), (pairs, shift))]
+        for b in range(ranges):
+            (i, j), (k, m) = ((c[b], c[b + 1]) for c in cuts)
+            if j > i or m > k:
+                yield {"kind": "e", "chunk": chunk, "bucket": b, "n": j - i + m - k, "p": [_pack_sorted(words_[i:j]), *map(_pack, word_counts[:, i:j]), _pack_sorted(pairs[k:m]), *map(_pack, pair_counts[:, k:m])]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, 0
@@ -150,30 +156,38 @@ def _bounds(ranges: int) -> np.ndarray:
 TOTALS = ("tokens", "kinds", "tokens_left", "kinds_left")
 
 
-def _totals(table: pa.Table) -> pa.Table:
-    """One hash range: its sums (kind s), and for every chunk the totals of n-grams that others hold too (r)."""
-    parts = [[x.as_py() for x in row] for row in table["p"]]
-    hashes = [_unpack_sorted(x[0]) for x in parts]
-    chunk = np.repeat(table["chunk"].to_numpy(), [len(x) for x in hashes])
+def _summed(hashes: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct hashes' sums; and for each entry, as given, its place among them and whether another chunk holds it."""
     every = np.concatenate(hashes)
-    counts = [np.concatenate([_unpack(x[k], np.uint32) for x in parts]).astype(np.int64) for k in (1, 2)]
     order = np.argsort(every, kind="stable")
-    every, chunk = every[order], chunk[order]
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    sums = [np.add.reduceat(c[order], first) for c in counts]
-    word = (every[first] & U64(1)) == 0
-    left = sums[0] - sums[1]
-    rows = [{"kind": "s", "chunk": -1, "p": None, "s": [int(sums[0][word].sum()), int((sums[0][word] > 0).sum()), int(left[word].sum()), int((left[word] > 0).sum())]}]
-    held = np.diff(np.append(first, len(every)))
-    wide = np.repeat(held > 1, held)
-    of = np.repeat(np.arange(len(first)), held)[wide]
-    every, chunk = every[wide], chunk[wide]
-    order = np.lexsort((every, chunk))
-    every, chunk, of = every[order], chunk[order], of[order]
-    cuts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(chunk) else np.zeros(0, np.int64)
-    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(chunk)]):
-        rows.append({"kind": "r", "chunk": int(chunk[i]), "p": [_pack_sorted(every[i:j]), *(_pack(s[of[i:j]].astype(U64)) for s in sums)], "s": None})
-    return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("p", pa.list_(pa.binary())), ("s", pa.list_(pa.int64()))]))
+    new = np.concatenate(([True], every[order][1:] != every[order][:-1])) if len(every) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    sums = [np.add.reduceat(np.concatenate(c).astype(np.int64)[order], first) if len(every) else np.zeros(0, np.int64) for c in counts]
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return sums, place, np.bincount(place, minlength=len(first))[place] > 1
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """One hash range: its sums (kind s), and for every chunk (kind r) which of its n-grams others hold too, in the
+    chunk's own order, with their totals."""
+    parts = [[x.as_py() for x in row] for row in table["p"]]
+    back: list[list] = [[] for _ in parts]
+    stats: list[int] = []
+    for at in (0, 3):  # words, then pairs
+        hashes = [_unpack_sorted(x[at]) for x in parts]
+        sums, place, shared = _summed(hashes, [[_unpack(x[at + k], np.uint32) for x in parts] for k in (1, 2)])
+        if not at:
+            left = sums[0] - sums[1]
+            stats = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(left.sum()), int((left > 0).sum())]
+        end = 0
+        for row, own in zip(back, hashes):
+            begin, end = end, end + len(own)
+            mask, where = shared[begin:end], place[begin:end]
+            row += [_pack(np.packbits(mask)), *(_pack(s[where[mask]]) for s in sums)]
+    rows = [{"kind": "s", "chunk": -1, "bucket": -1, "p": None, "s": stats}]
+    rows += [{"kind": "r", "chunk": c, "bucket": b, "p": x, "s": None} for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), back)]
+    return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("p", pa.list_(pa.binary())), ("s", pa.list_(pa.int64()))]))
 
 
 @dataclass
@@ -185,7 +199,7 @@ class Resolved:
     left: np.ndarray  # the same without the deleted fold
 
 
-def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation) -> Resolved:
+def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: int, shift: int) -> Resolved:
     """A chunk's tokens with the counts of the whole corpus."""
     values, null, sizes, local, vocabulary, back = (x.as_py() for x in documents["p"][0])
     lengths, local, back = _unpack(sizes, np.uint32).astype(np.int64), _unpack(local, np.uint32), _unpack(back, np.uint32)
@@ -194,15 +208,15 @@ def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation) -> Resolv
     words_[back] = in_order
     ids = [None if n else v for v, n in zip(_unpack(values, np.int64).tolist(), _unpack(null, np.uint8).tolist())]
     folds = np.array([fold(x, p.folds) for x in ids], np.uint8)
-    pairs, place, pair_counts, word_counts = _entries(local, words_, lengths, folds, p)
+    pairs, place, pair_counts, word_counts = _entries(local, words_, lengths, folds, p, shift)
     pair_counts, word_counts = pair_counts.astype(np.int64), word_counts.astype(np.int64)
-    for row in totals["p"]:
-        hashes, *sums = (x.as_py() for x in row)
-        hashes = _unpack_sorted(hashes)
-        sums = np.stack([_unpack(x, U64).astype(np.int64) for x in sums])
-        odd = (hashes & U64(1)) == 1
-        pair_counts[:, np.searchsorted(pairs, hashes[odd])] = sums[:, odd]
-        word_counts[:, back[np.searchsorted(in_order, hashes[~odd])]] = sums[:, ~odd]
+    cuts = [[0, *np.searchsorted(x, _bounds(ranges) >> U64(by)).tolist(), len(x)] for x, by in ((in_order, 0), (pairs, shift))]
+    for b, row in zip(totals["bucket"].to_pylist(), totals["p"]):
+        blobs = [x.as_py() for x in row]
+        for c, counts, at, names in ((cuts[0], word_counts, 0, back), (cuts[1], pair_counts, 3, None)):
+            i, j = c[b], c[b + 1]
+            own = i + np.flatnonzero(np.unpackbits(_unpack(blobs[at], np.uint8), count=j - i)) if j > i else np.zeros(0, np.int64)
+            counts[:, own if names is None else names[own]] = np.stack([_unpack(x, np.int64) for x in blobs[at + 1 : at + 3]])
     end = int(back[np.searchsorted(in_order, END)])
     before = np.concatenate(([end], local[:-1])).astype(np.int64)
     before[np.cumsum(lengths) - lengths] = end
@@ -238,21 +252,27 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "lm")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, math.ceil(size / 6 / p.range_entries))
+    ranges, shift = max(1, math.ceil(size / 6 / p.range_entries)), _shift(size)
     names = {"kind": "string", "chunk": "long", "bucket": "long", "n": "long", "p": "array<binary>"}
-    _chunks(docs, p, ranges).write.partitionBy("kind").option("compression", "uncompressed").parquet(scratch.path("chunks"))
+    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # both kinds at once, instead of sorting large rows
+    try:
+        _chunks(docs, p, ranges, shift).write.partitionBy("kind").option("compression", "uncompressed").parquet(scratch.path("chunks"))
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", writers)
     read = lambda kind: spark.read.schema(", ".join(f"{k} {v}" for k, v in names.items() if k != "kind")).parquet(f"{scratch.path('chunks')}/kind={kind}")
     if not size and not docs.take(1):
         return spark.createDataFrame([], _score_schema(id_col, df))
-    found = scratch.write(read("e").groupBy("bucket").applyInArrow(_totals, "kind string, chunk long, p array<binary>, s array<long>"), "totals")
+    found = scratch.write(read("e").groupBy("bucket").applyInArrow(_totals, "kind string, chunk long, bucket long, p array<binary>, s array<long>"), "totals")
     scratch.drop("chunks/kind=e")
+    release(spark)
     totals = {k: v or 0 for k, v in zip(TOTALS, found.filter("kind = 's'").agg(*(F.sum(F.col("s")[i]) for i in range(4))).first())}
-    chunk, back = read("d").select("chunk", "p"), found.filter("kind = 'r'").select("chunk", "p")
+    chunk, back = read("d").select("chunk", "p"), found.filter("kind = 'r'").select("chunk", "bucket", "p")
 
     def events(documents: pa.Table, own: pa.Table) -> pa.Table:
         if not documents.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 5, ["pair", "context", "word", "bucket", "n"])
-        r = _resolved(documents, own, p)
+        r = _resolved(documents, own, p, ranges, shift)
         c = r.left[:, np.repeat(r.folds == p.deleted_fold, r.lengths)].copy()
         bucket = _bucket(c[1], p.buckets)
         c[1][c[0] == 0] = 0  # without the pair only the context's bucket counts
@@ -261,13 +281,14 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     seen = chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(events, "pair long, context long, word long, bucket long, n long")
     seen = scratch.write(seen.groupBy("pair", "context", "word", "bucket").agg(F.sum("n").alias("n")), "events")
+    release(spark)
     weights = np.array(learn_weights(seen, totals["tokens_left"], totals["kinds_left"], p))
     tokens, kinds = totals["tokens"], totals["kinds"]
 
     def scores(documents: pa.Table, own: pa.Table) -> pa.Table:
         if not documents.num_rows:
             return out_schema.empty_table()
-        r = _resolved(documents, own, p)
+        r = _resolved(documents, own, p, ranges, shift)
         pair, context, word = r.learned
         w = weights[_bucket(context, p.buckets)]
         share = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)

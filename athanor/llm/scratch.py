@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go now: Spark removes them once its driver has collected what refers
+    to them, which on a driver with much memory may be long after."""
+    for _ in range(2):  # a reference queue is emptied only after the collection that fills it
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
