@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one that adds to the same content what is
-typical of toxic text (words holding a five-character piece that toxic documents have and ordinary ones
-practically lack).  A text is cut into windows of a few words; a window's distance is the length it compresses
-to with the ordinary dictionary less that with the toxic one.  A fixed carrier precedes each window, so that
-short windows are coded by the same means as long ones.  The distances' shares over thresholds, their mean and
-their largest values make a score by a logistic calibration, which sets the threshold to 0.5.
+Two zstandard dictionaries are made: one of ordinary text, its frequent words, and one that adds to the same
+content what is typical of toxic text: the pieces of words that toxic documents hold far more often than
+ordinary ones, by a likelihood ratio.  A text is cut into windows of a few words; a window's distance is the
+length it compresses to with the ordinary dictionary less that with the toxic one.  Every byte is written twice
+before compression, so that a match's fixed cost weighs less, and a fixed carrier precedes each window, so
+that short windows are coded by the same means as long ones.  The distances' shares over thresholds, their mean
+and their largest values make a score by a logistic calibration, which sets the threshold to 0.5.  How typical
+a piece must be is chosen on a part of the examples that the dictionaries have not seen.
 
 The classifier is fitted on at most `toxic_sample` and `ordinary_sample` labelled documents, those with the
 smallest hashed ids; scoring covers every window of every text.
@@ -17,6 +19,7 @@ repeated rows have equal scores; extra columns pass by unless they have a result
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,58 +29,96 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 @dataclass(frozen=True)
 class Toxicity:
     window_words: int = 6
     piece: int = 5
-    ratio: float = 20.0
-    least_share: float = 0.01
+    ratio: float = 5.0
+    significance: float = 20.0
+    #: Shares of the most significant piece's ratio that a piece must reach; one is chosen.
+    shares: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15)
     ordinary_words: int = 6000
-    toxic_bytes: int = 2048
+    ordinary_bytes: int = 24_000
+    toxic_bytes: int = 600
     carrier: int = 64
     level: int = 3
     toxic_sample: int = 2000
     ordinary_sample: int = 8000
+    #: Examples of each kind, at most, for the choice.
+    tuning: tuple[int, int] = (600, 1800)
 
 
 def _lowered(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
-def _pieces(word: bytes, n: int) -> set[bytes]:
-    word = b" " + word
-    return {word[i : i + n] for i in range(len(word) - n + 1)}
+def _pieces(word: bytes, n: int) -> list[bytes]:
+    word = b" " + word + b" "
+    return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def _holders(texts: list[bytes], n: int) -> Counter:
-    """In how many texts a piece occurs."""
-    out: Counter = Counter()
+def _counted(texts: list[bytes], n: int) -> tuple[Counter, Counter]:
+    """How often a piece occurs (a word counts 50 times a text at most), and in how many texts."""
+    times, holders = Counter(), Counter()
     for t in texts:
-        out.update({x for w in set(t.split()) for x in _pieces(w, n)})
-    return out
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], p: Toxicity) -> tuple[bytes, bytes]:
-    """(ordinary content, toxic content)."""
-    words = Counter(w for t in ordinary for w in set(t.split()))
-    plain = b" ".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0]))[-p.ordinary_words :])
-    ours, theirs = _holders(toxic, p.piece), _holders(ordinary, p.piece)
-    least = max(3, int(len(toxic) * p.least_share))
-    typical = {x for x, n in ours.items() if n >= least and n / len(toxic) > p.ratio * (theirs[x] + 0.5) / len(ordinary)}
-    samples = []
-    for t in toxic:
-        kept = [w for w in t.split() if not typical.isdisjoint(_pieces(w, p.piece))]
-        if kept:
-            samples.append(b" " + b" ".join(kept) + b" ")
-    cut = [x[i : i + 64] for x in samples for i in range(0, len(x), 64)]
-    if sum(map(len, samples)) <= 8 * p.toxic_bytes:  # too little for the trainer
-        return plain, b"".join(dict.fromkeys(cut))
-    try:
-        return plain, zstandard.train_dictionary(p.toxic_bytes, cut, k=32, d=8, split_point=1.0, f=20, accel=1).as_bytes()
-    except zstandard.ZstdError:
-        return plain, b"".join(dict.fromkeys(cut))[: p.toxic_bytes]
+        own: Counter = Counter()
+        for w, k in Counter(t.split()).items():
+            for x in _pieces(w, n):
+                own[x] += min(k, 50)
+        times.update(own)
+        holders.update(own.keys())
+    return times, holders
+
+
+def typical_pieces(toxic: list[bytes], ordinary: list[bytes], p: Toxicity) -> dict[bytes, float]:
+    """Pieces of words that toxic texts hold more often, longest stretches first made of them, with their significance."""
+    (often, ours), (rarely, theirs) = _counted(toxic, p.piece), _counted(ordinary, p.piece)
+    a, b = len(toxic), len(ordinary)
+    weight: dict[bytes, float] = {}
+    for x, n in ours.items():
+        m = theirs[x]
+        if often[x] / a > p.ratio * (rarely[x] + 0.5) / b:
+            expected = (n + m) * a / (a + b)
+            g = 2 * (n * math.log(n / expected) + (m * math.log(m / (n + m - expected)) if m else 0))
+            if g >= p.significance:
+                weight[x] = g
+    found: dict[bytes, float] = {}
+    for w in {w for t in toxic for w in t.split()}:
+        spaced, own = b" " + w + b" ", [weight.get(x, 0.0) for x in _pieces(w, p.piece)]
+        least, i = max(own, default=0.0) / 2, 0
+        while least and i < len(own):  # stretches near the word's most significant piece
+            j = i
+            while j < len(own) and own[j] >= least:
+                j += 1
+            if j > i:
+                part = spaced[i : j + p.piece - 1]
+                found[part] = max(found.get(part, 0.0), max(own[i:j]))
+            i = j + 1
+    return found
+
+
+def _doubled(text: bytes) -> bytes:
+    return np.repeat(np.frombuffer(text, np.uint8), 2).tobytes()
+
+
+def ordinary_content(texts: list[bytes], p: Toxicity) -> bytes:
+    words = Counter(w for t in texts for w in set(t.split()))
+    return b" ".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0]))[-p.ordinary_words :])[-p.ordinary_bytes :]
+
+
+def toxic_content(pieces: dict[bytes, float], share: float, p: Toxicity) -> bytes:
+    """The most significant pieces, the first nearest to the window, three times over: at each alignment at which the
+    coder looks into a dictionary."""
+    out, least = b"", share * max(pieces.values(), default=0.0)
+    for x, g in sorted(pieces.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
+        if g < least or len(out) + len(x) > p.toxic_bytes:
+            break
+        if x not in out:
+            out = x + out
+    return b"".join(out + b"\0" * (-len(out) % 3 + k) for k in range(3)) if out else b""
 
 
 @dataclass
@@ -100,52 +141,77 @@ class Scorer:
         if self._tools is None:
             made = []
             for content in (self.plain, self.plain + self.toxic):
-                how = zstandard.ZstdCompressionParameters.from_level(self.p.level, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-                own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                how = zstandard.ZstdCompressionParameters.from_level(self.p.level, min_match=7, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                own = zstandard.ZstdCompressionDict(_doubled(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 own.precompute_compress(compression_params=how)
                 made.append(zstandard.ZstdCompressor(dict_data=own, compression_params=how))
             self._tools = tuple(made)
         return self._tools
 
     def distances(self, text: bytes) -> np.ndarray:
-        words, n, carrier = text.split(), self.p.window_words, self.plain[-self.p.carrier :]
+        words, n, carrier = text.split(), self.p.window_words, _doubled(self.plain)[-self.p.carrier :]
         plain, toxic = (x.compress for x in self._compressors())
-        windows = [b"%b %b " % (carrier, b" ".join(words[i : i + n])) for i in range(0, max(len(words), 1), n)]
+        windows = [carrier + _doubled(b" %b " % b" ".join(words[i : i + n])) for i in range(0, max(len(words), 1), n)]
         return np.array([len(plain(w)) - len(toxic(w)) for w in windows])
 
     def features(self, text: bytes) -> np.ndarray:
         d = self.distances(text)
-        top, n = np.sort(d)[-3:], len(d)
-        shares = [np.count_nonzero(d >= t) / n for t in (2, 3, 4, 6)]
-        return np.array([1, np.log1p(n), d.mean(), *shares, d[d >= 3].sum() / n, np.log1p(np.count_nonzero(d >= 4)), top[-1], top[-2:].mean(), top.mean()])
+        top, n, gained = np.sort(d)[-3:], len(d), d[d > 0].sum()
+        over = {t: np.count_nonzero(d >= t) for t in (2, 4, 6, 8, 12)}
+        return np.array([1, np.log1p(n), d.mean(), *(k / n for k in over.values()), gained / n, *map(np.log1p, (gained, over[2], over[4], over[8])), top[-1], top[-2:].mean(), top.mean()])
 
     def score(self, text: str | None) -> float:
+        return self.score_bytes(_lowered(text))
+
+    def score_bytes(self, text: bytes) -> float:
         if self.constant is not None:
             return self.constant
-        z = float(((self.features(_lowered(text)) - self.centre) / self.scale) @ self.weights)
+        z = float(((self.features(text) - self.centre) / self.scale) @ self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str | None], toxic: list[bool], p: Toxicity = Toxicity()) -> Scorer:
-    lowered = [_lowered(t) for t in texts]
-    bad, good = [t for t, y in zip(lowered, toxic) if y], [t for t, y in zip(lowered, toxic) if not y]
-    if not bad or not good:
-        return Scorer(p, constant=float(bool(bad)))
-    out = Scorer(p, *dictionaries(bad, good, p))
-    if not out.plain:
-        return Scorer(p, constant=len(bad) / len(lowered))
-    x, y = np.array([out.features(t) for t in lowered]), np.array(toxic, float)
+def _calibrated(out: Scorer, texts: list[bytes], toxic: np.ndarray) -> Scorer:
+    """With the logistic weights of these examples."""
+    x = np.array([out.features(t) for t in texts])
     out.centre, out.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     out.centre[0], out.scale[0] = 0, 1
     x = (x - out.centre) / out.scale
     w = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps of the ridge-penalised likelihood
         q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w = w + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - q) - 0.1 * w)
+        w = w + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (toxic - q) - 0.1 * w)
     out.weights = w
     return out
 
 
+def _loss(scorer: Scorer, texts: list[bytes], toxic: np.ndarray) -> float:
+    q = np.clip([scorer.score_bytes(t) for t in texts], 1e-6, 1 - 1e-6)
+    return float(-(toxic * np.log(q) + (1 - toxic) * np.log(1 - q)).mean())
+
+
+def fit(texts: list[str | None], toxic: list[bool], p: Toxicity = Toxicity()) -> Scorer:
+    lowered = [_lowered(t) for t in texts]
+    bad, good = [t for t, y in zip(lowered, toxic) if y], [t for t, y in zip(lowered, toxic) if not y]
+    if not bad or not good:
+        return Scorer(p, constant=float(bool(bad)))
+    plain = ordinary_content(good, p)
+    if not plain:
+        return Scorer(p, constant=len(bad) / len(lowered))
+    share = p.shares[0]
+    some, other = bad[: p.tuning[0]], good[: p.tuning[1]]
+    if min(len(some), len(other)) >= 40:
+        learn_ = some[: len(some) * 3 // 4], other[: len(other) * 3 // 4]
+        test = some[len(learn_[0]) :] + other[len(learn_[1]) :]
+        truth = np.array([1.0] * (len(some) - len(learn_[0])) + [0.0] * (len(other) - len(learn_[1])))
+        pieces = typical_pieces(*learn_, p)
+        losses = []
+        for s in p.shares:
+            tried = _calibrated(Scorer(p, plain, toxic_content(pieces, s, p)), learn_[0] + learn_[1], np.array([1.0] * len(learn_[0]) + [0.0] * len(learn_[1])))
+            losses.append((_loss(tried, test, truth), s))
+        share = min(losses)[1]
+    return _calibrated(Scorer(p, plain, toxic_content(typical_pieces(bad, good, p), share, p)), lowered, np.array(toxic, float))
+
+
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, keep: Column, p: Toxicity) -> Scorer:
     """Fit on a bounded sample of the labelled rows for which `keep` holds."""
     known = labels.filter(keep & F.col(label_col).isNotNull()).select(id_col, label_col)
@@ -169,7 +235,7 @@ def scored(df: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: boo
             scores = pa.array([own.score(t.as_py()) for t in batch.column(where)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), scores], [*(names[i] for i in out), "score"])
 
-    schema = kept.select(*(names[i] for i in out)).schema.add("score", "double")
+    schema = StructType([*(kept.schema.fields[i] for i in out), StructField("score", DoubleType())])
     return kept.mapInArrow(run, schema)
 
 
