@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # The patterns of strong spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -114,7 +115,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", reach: int = 400) -> Dat
                 found.append([{"kind": k, "start": a, "end": b} for a, b, k in sorted(every, key=lambda s: (s[0], _ORDER[s[2]], s[1]))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "spans"])
 
-    schema = kept.schema.add("spans", "array<struct<kind:string,start:bigint,end:bigint>>")
+    schema = StructType([*kept.schema.fields, StructField("spans", ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])))])
     return kept.mapInArrow(run, schema)
 
 
