@@ -106,3 +106,30 @@ def transition_edges(walk: DataFrame, by: list[str], order: list[str], state: st
 
     following = F.lead(state).over(Window.partitionBy(*by).orderBy(*order))
     return walk.select(*by, *order, F.col(state).alias("src"), following.alias("dst")).filter("dst is not null")
+
+
+def upsert_nodes(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """`nodes` (idx, node, ...) with those of `fresh` (column node) that are not there yet, numbered on from the largest
+    index in the order of their text.  Only new nodes are sorted, and ranges number themselves."""
+    from pyspark.sql import Window
+
+    first = nodes.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("first"))
+    new = fresh.select("node").filter("node is not null").distinct().join(nodes.select("node"), "node", "left_anti")
+    cells = new.withColumn("cell", F.substr("node", F.lit(1), F.lit(3)))
+    offsets = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = cells.withColumn("row", F.row_number().over(Window.partitionBy("cell").orderBy("node"))).join(offsets.select("cell", "before"), "cell")
+    placed = numbered.crossJoin(first).select((F.col("first") + F.col("before") + F.col("row") - 1).alias("idx"), "node")  # `first` is one row
+    return nodes.unionByName(placed, allowMissingColumns=True)
+
+
+def mark(nodes: DataFrame, which: DataFrame, flag: str) -> DataFrame:
+    """`nodes` with a boolean column that is true for the nodes of `which` (column node), and stays true where it was."""
+    hit = which.select("node").distinct().withColumn("__hit", F.lit(True))
+    before = F.col(flag) if flag in nodes.columns else F.lit(False)
+    return nodes.join(hit, "node", "left").withColumn(flag, F.coalesce(before, F.lit(False)) | F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, children: bool = True) -> DataFrame:
+    """(node, neighbour) of the given nodes, parallel edges as often as they occur."""
+    here, there = ("src", "dst") if children else ("dst", "src")
+    return nodes.select("node").join(edges.select(F.col(here).alias("node"), F.col(there).alias("neighbour")), "node")

@@ -140,3 +140,14 @@ def test_command_line(capsys):
     assert capsys.readouterr().out.startswith("exact")
     assert main(["products", "CC", "--rules", "Hydroxylation"]) == 0
     assert main(["find", "CC", "c1ccccc1", "--rules", "Hydroxylation", "--max-nodes", "3"]) == 1
+
+
+def test_graph_upserts(spark):
+    nodes = spark.createDataFrame([(0, "a")], "idx long, node string")
+    more = graph.upsert_nodes(nodes, spark.createDataFrame([("c",), ("a",), ("b",), (None,), ("b",)], "node string"))
+    assert sorted((r.idx, r.node) for r in more.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    flagged = graph.mark(more, spark.createDataFrame([("b",)], "node string"), "target")
+    assert {r.node: r.target for r in flagged.collect()} == {"a": False, "b": True, "c": False}
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string")
+    assert sorted(tuple(r) for r in graph.neighbours(edges, nodes).collect()) == [("a", "b"), ("a", "b")]
+    assert graph.neighbours(edges, nodes, children=False).count() == 0
