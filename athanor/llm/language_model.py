@@ -49,7 +49,7 @@ class Interpolation:
     buckets: int = 24
     rounds: int = 15
     least: float = 1e-4
-    chunk_tokens: int = 1_500_000
+    chunk_tokens: int = 1_250_000
     range_entries: int = 1_000_000
 
 
