@@ -1,16 +1,16 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Item-sized windows of a document are embedded by random walks: a walk reads the window's byte, emits it and
-steps on or stays by a random bit that depends on place and byte, which maps edit distance to Hamming
-distance.  Repeatedly, a few places of the walk are sampled and hashed; a window that meets an item in a
-bucket is verified by its exact edit distance inside the window and a margin.  The number of repetitions
-follows from the target recall.
+Item-sized windows of a document are embedded by random walks: a walk reads a byte, emits it and steps on or
+stays by a random bit that depends on place and byte, which maps edit distance to Hamming distance.  Repeatedly,
+a few places of a walk are sampled and hashed; a window that meets its item in a bucket is verified by its exact
+edit distance inside the window and a margin.  The number of repetitions follows from the target recall.
 
-Windows stand where a word pair of an item occurs, shifted by the pair's place in the item; a copy within the
-edit limit keeps pairs, since the limit is a fifth of the bytes.  Pairs of short words, which any text holds,
-propose a window only where two of an item agree on it, unless the item has no other.  Items of one word stand
-on that word.
-Items much longer than `segment` bytes are looked for in pieces of that size.
+Windows stand where a word pair of an item occurs, shifted by the pair's place in the item, and the walks leave
+from that pair, forwards to the window's end and backwards to its beginning, so that edits before the pair don't
+put a walk out of step.  A copy within the edit limit keeps pairs, since the limit is a fifth of the bytes.  Pairs of
+short words, which any text holds, propose a window only where two of an item agree on it, unless the item has no
+other.  Items of one word stand on that word.  Items much longer than `segment` bytes are looked for in pieces of
+that size.
 
 A-Z count as a-z.  Cases: null and empty texts and items without words match nothing; repeated rows and equal
 items are reported each; benchmark items are read in blocks of bounded bytes, so the index on the executors
@@ -35,13 +35,16 @@ from .kernels import U64, lowered, mix64, ngrams, placed_words, slices, text_buf
 class Leaks:
     edit_percent: int = 20
     samples: int = 6
-    walks: int = 3
+    walks: int = 6
     recall: float = 0.99
     #: Share of sampled places that differ for a copy at half the edit limit, from the walks' distortion.
-    differ: float = 0.3
+    differ: float = 0.35
+    #: Steps of a walk from whose places samples are taken, and bytes that a side must have to be looked at.
+    steps: int = 48
+    side: int = 12
     segment: int = 600
     #: A word pair of so many bytes proposes a window alone; shorter ones must agree in twos, up to a shift.
-    strong_bytes: int = 11
+    strong_bytes: int = 9
     shift: int = 24
     block_bytes: int = 16 << 20
 
@@ -50,8 +53,6 @@ class Leaks:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.differ) ** self.samples))
 
 
-#: Lengths from which a class of items starts; places are sampled in the part of the walk that its shortest item fills.
-CLASSES = (1, 24, 40, 64, 96, 144, 216, 324, 486)
 GRAM = 4
 
 
@@ -101,8 +102,7 @@ class Index:
             self.pieces += [(item, x) for x in parts if x.strip(b" \t\n\x0b\x0c\r")]
         self.grams = [[x[i : i + GRAM] for i in range(len(x) - GRAM + 1)] for _, x in self.pieces]
         self.lengths = np.array([len(x) for _, x in self.pieces], np.int64)
-        self.classes = np.searchsorted(CLASSES, self.lengths, side="right") - 1
-        anchors, owners, shifts, strong = [], [], [], []
+        anchors, owners, shifts, strong, spans = [], [], [], [], []
         for k, (_, text) in enumerate(self.pieces):
             raw = np.frombuffer(text, np.uint8)
             hashes, _, starts = placed_words(raw, np.array([0, len(raw)]))
@@ -111,56 +111,47 @@ class Index:
             owners.append(np.full(len(grams), k))
             shifts.append(starts[: len(grams)])
             ends = np.append(starts[2:], len(raw)) if len(hashes) > 1 else np.array([len(raw)])
-            long = ends - starts[: len(grams)] >= p.strong_bytes
+            spans.append(ends - starts[: len(grams)])
+            long = spans[-1] >= p.strong_bytes
             strong.append(long | ~long.any())
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         anchors = join(anchors, U64)
         order = np.argsort(anchors, kind="stable")
-        self.anchors, self.owners, self.shifts, self.strong = anchors[order], join(owners, np.int64)[order], join(shifts, np.int64)[order], join(strong, bool)[order]
+        self.anchors, self.strong = anchors[order], join(strong, bool)[order]
+        self.owners, self.shifts, self.spans = (join(x, np.int64)[order] for x in (owners, shifts, spans))
         self.single = any(len(x.split()) == 1 for _, x in self.pieces)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.anchors >> U64(44)).astype(np.int64)] = True
         rng = np.random.Generator(np.random.PCG64(2718))
-        self.steps = rng.integers(0, 2, (p.walks, 2 * CLASSES[-1] + 2, 256), dtype=np.uint8)
-        reps = p.repetitions
-        self.plans = []
-        for c in CLASSES:
-            length = max(2 * c, p.samples)
-            self.plans.append([np.sort(rng.permutation(length)[: p.samples]) for _ in range(reps)])
-        keys, of = [], []
-        for c in np.unique(self.classes).tolist():
-            own = np.flatnonzero(self.classes == c)
-            data = np.frombuffer(b"".join(self.pieces[k][1] for k in own), np.uint8)
-            ends = np.cumsum(self.lengths[own])
-            found = self.bucket_keys(data, ends - self.lengths[own], ends, c)
-            keys.append(found.ravel())
-            of.append(np.repeat(own, found.shape[1]))
-        keys = join(keys, U64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.of = keys[order], join(of, np.int64)[order]
+        self.steps = rng.integers(0, 2, (p.walks, p.steps, 256), dtype=np.uint8).astype(np.int64)
+        self.plan = [np.sort(rng.permutation(p.steps)[: p.samples]) for _ in range(p.repetitions)]
+        data = np.frombuffer(b"".join(x for _, x in self.pieces), np.uint8)
+        ends = np.cumsum(self.lengths)
+        stop = ends[self.owners]
+        begin = stop - self.lengths[self.owners]
+        self.keys = self.bucket_keys(data, begin, begin + self.shifts, self.spans, stop) if len(self.owners) else None
 
-    def bucket_keys(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, c: int) -> np.ndarray:
-        """(windows x repetitions) keys of the windows data[start:stop] as items of class `c`."""
-        plan = self.plans[c]
-        out = np.zeros((len(plan), len(start)), U64)
+    def bucket_keys(self, data: np.ndarray, begin: np.ndarray, at: np.ndarray, span: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """(windows x sides x repetitions) keys of the windows data[begin:stop], walked from the pair data[at:at+span]."""
+        out = np.zeros((2, len(self.plan), len(at)), U64)
         last = len(data) - 1
-        for walk in range(self.p.walks):
-            takes: dict[int, list[int]] = {}
-            for r in range(walk, len(plan), self.p.walks):
-                for t in plan[r].tolist():
-                    takes.setdefault(t, []).append(r)
-            at = start.copy()
-            for t in range(max(takes, default=-1) + 1):
-                byte = data[np.minimum(at, last)]
-                byte[at >= stop] = 0
-                for r in takes.get(t, ()):
-                    out[r] = (out[r] + byte + U64(1)) * U64(0x9E3779B97F4A7C15)
-                at += self.steps[walk, t][byte]
-        salt = (np.arange(len(plan), dtype=U64) * U64(len(CLASSES)) + U64(c) + U64(1)) * U64(0xD1B54A32D192ED03)
-        return mix64(out + salt[:, None]).T
+        for side, step in ((0, 1), (1, -1)):
+            for walk in range(self.p.walks):
+                takes: dict[int, list[int]] = {}
+                for r in range(walk, len(self.plan), self.p.walks):
+                    for t in self.plan[r].tolist():
+                        takes.setdefault(t, []).append(r)
+                place = at + span if side == 0 else at - 1
+                for t in range(max(takes, default=-1) + 1):
+                    byte = data[np.clip(place, 0, last)]
+                    byte[(place >= stop) if side == 0 else (place < begin)] = 0
+                    for r in takes.get(t, ()):
+                        out[side, r] = (out[side, r] + byte + U64(1)) * U64(0x9E3779B97F4A7C15)
+                    place = place + step * self.steps[walk, t][byte]
+        return out.transpose(2, 0, 1)
 
-    def windows(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, piece, first byte in `raw`, strong) of the windows that anchors propose."""
+    def windows(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, anchor, the pair's first byte in `raw`) of the windows that anchors propose."""
         for i, j in slices(offs):
             hashes, rows, starts = placed_words(raw, offs[i : j + 1])
             if not len(hashes):
@@ -175,20 +166,20 @@ class Index:
                     whole = hit + 1 < rows[row + 1]  # both words in one text
                     hit, a, n, row = hit[whole], a[whole], n[whole], row[whole]
                 each = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                piece, row = self.owners[each], np.repeat(row, n) + i
-                at = int(offs[i]) + np.repeat(starts[hit], n) - self.shifts[each]
-                yield row, piece, np.maximum(at, offs[row]), self.strong[each]
+                yield np.repeat(row, n) + i, each, int(offs[i]) + np.repeat(starts[hit], n)
 
-    def _supported(self, row: np.ndarray, piece: np.ndarray, at: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The distinct windows that a long pair proposes, or two pairs at nearly the same place."""
-        order = np.lexsort((at, piece, row))
-        row, piece, at, strong = row[order], piece[order], at[order], strong[order]
+    def _supported(self, row: np.ndarray, anchor: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The windows that a long pair proposes, or two pairs at nearly the same place: (row, anchor, pair, first byte)."""
+        at = pair - self.shifts[anchor]
+        order = np.lexsort((at, self.owners[anchor], row))
+        row, anchor, pair, at = row[order], anchor[order], pair[order], at[order]
+        piece, strong = self.owners[anchor], self.strong[anchor]
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]) | (at[1:] - at[:-1] > self.p.shift)))
         group = np.cumsum(new) - 1
         votes = np.bincount(group)
         good = (votes >= 2) | (np.bincount(group, weights=strong) > 0)
-        own = good[group] & (new | np.concatenate(([True], at[1:] != at[:-1])))
-        return row[own], piece[own], at[own]
+        own = good[group]
+        return row[own], anchor[own], pair[own], at[own]
 
     def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, distance) in bytes of `raw`, the best match of each row and item."""
@@ -197,26 +188,31 @@ class Index:
         found = list(self.windows(raw, offs))
         if not found:
             return []
-        row, piece, at = self._supported(*(np.concatenate(x) for x in zip(*found)))
+        row, anchor, pair, at = self._supported(*(np.concatenate(x) for x in zip(*found)))
         if not len(row):
             return []
         base, data = int(offs[0]), lowered(raw[int(offs[0]) : int(offs[-1])])
         met: dict[tuple[int, int], list[int]] = {}
-        for c in np.unique(self.classes[piece]).tolist():
-            own = np.flatnonzero(self.classes[piece] == c)
-            for k in range(0, len(own), 20_000):
-                w = own[k : k + 20_000]
-                stop = np.minimum(at[w] + self.lengths[piece[w]], offs[row[w] + 1])
-                keys = self.bucket_keys(data, at[w] - base, stop - base, c)
-                a, b = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-                for x, y in zip(*np.nonzero(b > a)):
-                    for other in set(self.of[a[x, y] : b[x, y]].tolist()):
-                        met.setdefault((int(row[w[x]]), other), []).append(int(at[w[x]]))
+        for k in range(0, len(row), 20_000):
+            w = slice(k, k + 20_000)
+            own, piece = anchor[w], self.owners[anchor[w]]
+            begin, stop = np.maximum(at[w], offs[row[w]]), np.minimum(at[w] + self.lengths[piece], offs[row[w] + 1])
+            keys = self.bucket_keys(data, begin - base, pair[w] - base, self.spans[own], stop - base)
+            # A side too short to tell anything is left out, unless both are.
+            long = np.stack((self.lengths[piece] - self.shifts[own] - self.spans[own], self.shifts[own]), axis=1) >= self.p.side
+            long |= ~long.any(axis=1, keepdims=True)
+            same = ((keys == self.keys[own]).any(axis=2) & long).any(axis=1)
+            for x in np.flatnonzero(same).tolist():
+                met.setdefault((int(row[k + x]), int(piece[x])), []).append(int(begin[x]))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for (r, k), starts in met.items():
             item, text = self.pieces[k]
             limit = len(text) * self.p.edit_percent // 100
-            for start in dict.fromkeys(starts):
+            tried: list[int] = []
+            for start in sorted(set(starts)):
+                if tried and start - tried[-1] <= limit // 2:
+                    continue  # the margin of the last one covers it
+                tried.append(start)
                 old = best.get((r, item))
                 if old and old[0] == 0:
                     break
