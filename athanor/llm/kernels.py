@@ -8,6 +8,8 @@ part of the method; equal words hash equally on every executor.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SLICE_BYTES = 2 << 20
 
 
+def trim() -> None:
+    """Give freed memory back to the system: the allocator keeps blocks of some MB, and a worker lives on."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the splitmix64 constants)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, mix64, slices, text_buffers, words
+from .kernels import U64, mix64, slices, text_buffers, trim, words
 from .scratch import Scratch, release
 
 END = U64(0x452821E638D01376) & ~U64(1)
@@ -141,9 +141,12 @@ def _chunks(df: DataFrame, p: Interpolation, ranges: int, shift: int) -> DataFra
                         yield pa.RecordBatch.from_pylist([row], schema)
                     chunk, held = chunk + 1, 0
                     tokens, lengths, ids = [], [], []
+                    trim()
         if ids:
             for row in emit(chunk, tokens, lengths, ids):
                 yield pa.RecordBatch.from_pylist([row], schema)
+        tokens, lengths, ids = [], [], []
+        trim()
 
     schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("p", pa.list_(pa.binary()))])
     return df.mapInArrow(run, "kind string, chunk long, bucket long, n long, p array<binary>")
@@ -255,11 +258,14 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges, shift = max(1, math.ceil(size / 6 / p.range_entries)), _shift(size)
     names = {"kind": "string", "chunk": "long", "bucket": "long", "n": "long", "p": "array<binary>"}
     writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # both kinds at once, instead of sorting large rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts go in
     try:
         _chunks(docs, p, ranges, shift).write.partitionBy("kind").option("compression", "uncompressed").parquet(scratch.path("chunks"))
     finally:
         spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", writers)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     read = lambda kind: spark.read.schema(", ".join(f"{k} {v}" for k, v in names.items() if k != "kind")).parquet(f"{scratch.path('chunks')}/kind={kind}")
     if not size and not docs.take(1):
         return spark.createDataFrame([], _score_schema(id_col, df))
@@ -277,6 +283,8 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         bucket = _bucket(c[1], p.buckets)
         c[1][c[0] == 0] = 0  # without the pair only the context's bucket counts
         rows, n = np.unique(np.vstack((c, bucket)), axis=1, return_counts=True)
+        del r, c
+        trim()
         return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(n, pa.int64())], ["pair", "context", "word", "bucket", "n"])
 
     seen = chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(events, "pair long, context long, word long, bucket long, n long")
@@ -296,6 +304,9 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         base = np.log10((word + 0.5) / (tokens + 0.5 * (kinds + 1)))
         starts = np.cumsum(r.lengths) - r.lengths
         sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, logs)]
+        del pair, context, word, w, share, logs, base
+        r.learned = r.left = np.zeros(0)
+        trim()
         return pa.Table.from_arrays(
             [pa.array(r.ids, pa.int64()), pa.array(r.folds == p.score_fold), pa.array(r.lengths, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(starts), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=out_schema
         )
