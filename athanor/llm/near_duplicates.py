@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, contracted
-from .kernels import U64, mix64, shingle_sets, slices, text_buffers, words
+from .kernels import U64, mix64, shingle_sets, slices, text_buffers, trim, words
 from .scratch import Scratch
 
 U32 = np.uint32
@@ -95,6 +95,7 @@ def sketches(df: DataFrame, p: NearDup) -> DataFrame:
                 keys.append(band_keys(signature(s, p.bands * p.rows), p.bands, p.rows) if len(s) else np.zeros(0, np.int64))
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), flat], ["id", "n", "f1", "f2", "keys"])
+            trim()
 
     return df.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
@@ -104,9 +105,10 @@ def full_sets(df: DataFrame, p: NearDup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in _sets(batch.column(1), p.shingle)]
-            for at in range(0, len(sets), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(sets[at : at + 500], pa.binary())], ["id", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part.column(1), p.shingle)], pa.binary())], ["id", "shingles"])
+            trim()
 
     return df.mapInArrow(run, "id long, shingles binary")
 
@@ -123,6 +125,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((u[np.minimum(at, len(u) - 1)] == v).sum())
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            trim()
 
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
