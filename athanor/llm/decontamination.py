@@ -5,12 +5,15 @@ stays by a random bit that depends on place and byte, which maps edit distance t
 a few places of a walk are sampled and hashed; a window that meets its item in a bucket is verified by its exact
 edit distance inside the window and a margin.  The number of repetitions follows from the target recall.
 
-Windows stand where a word pair of an item occurs, shifted by the pair's place in the item, and the walks leave
-from that pair, forwards to the window's end and backwards to its beginning, so that edits before the pair don't
-put a walk out of step.  A copy within the edit limit keeps pairs, since the limit is a fifth of the bytes.  Pairs of
-short words, which any text holds, propose a window only where two of an item agree on it, unless the item has no
-other.  Items of one word stand on that word.  Items much longer than `segment` bytes are looked for in pieces of
-that size.
+Windows come from two sources.  Where a word pair of an item occurs, a window is shifted by the pair's place in the
+item, and the walks leave from that pair, forwards to the window's end and backwards to its beginning, so that edits
+before the pair don't put a walk out of step.  Pairs of short words, which any text holds, propose a window only where
+two of an item agree on it, unless the item has no other.  Items of one word stand on that word.  Edits in every second
+word leave no pair, so runs of `run` bytes, at every byte and across words, propose windows as well: those where
+`run_percent` of an item's length in runs lie on nearby diagonals are verified by distance at once.  An edit breaks
+at most `run` runs, so no copy is missed whose edits break all but that share; edits set evenly, one in each `run`
+bytes or closer, leave no run, and such copies are found only by a pair.  Items much longer than `segment` bytes are
+looked for in pieces of that size.
 
 A-Z count as a-z.  Cases: null and empty texts and items without words match nothing; repeated rows and equal
 items are reported each; benchmark items are read in blocks of bounded bytes, so the index on the executors
@@ -47,6 +50,11 @@ class Leaks:
     strong_bytes: int = 9
     shift: int = 24
     block_bytes: int = 16 << 20
+    #: Bytes of a run, and runs on nearby diagonals, in percent of the piece's bytes, that propose a window.
+    run: int = 8
+    run_percent: int = 8
+    #: Bytes of text whose runs are counted at once.
+    run_slice: int = 1 << 19
 
     @property
     def repetitions(self) -> int:
@@ -54,6 +62,9 @@ class Leaks:
 
 
 GRAM = 4
+#: Hashes of runs have so many bits; counts of diagonals lie in a table of CELLS + 1 places.
+RUN_BITS = 20
+CELLS = (1 << 20) - 1
 
 
 def edit_search(pattern: bytes, text: bytes) -> tuple[int, int]:
@@ -130,6 +141,55 @@ class Index:
         stop = ends[self.owners]
         begin = stop - self.lengths[self.owners]
         self.keys = self.bucket_keys(data, begin, begin + self.shifts, self.spans, stop) if len(self.owners) else None
+        # Runs by hash; runs that share one only add to a count.  A copy's runs lie on diagonals within its limit.
+        whole = np.repeat(ends, self.lengths) - np.arange(len(data)) >= p.run
+        at = np.flatnonzero(whole)
+        hashes = self._runs(data)[at]
+        order = np.argsort(hashes, kind="stable")
+        piece = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.run_piece = piece[at][order]
+        self.run_shift = (at - (ends - self.lengths)[piece[at]])[order]
+        self.run_first = np.searchsorted(hashes[order], np.arange((1 << RUN_BITS) + 1)).astype(np.int64)
+        self.run_gate = np.diff(self.run_first) > 0
+        limits = self.lengths * p.edit_percent // 100
+        self.run_width = np.array([max(4, int(x).bit_length()) for x in limits], np.int64)
+        self.run_least = np.maximum(2, self.lengths * p.run_percent // 100)
+
+    def _runs(self, data: np.ndarray) -> np.ndarray:
+        """A hash of the `run` bytes from each byte on; the text's end counts as zeros."""
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        out = np.ndarray(len(data), np.dtype("<u8"), padded, strides=(1,)) << U64(64 - 8 * self.p.run)
+        return ((out * U64(0x9E3779B97F4A7C15)) >> U64(64 - RUN_BITS)).astype(np.int64)
+
+    def run_windows(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(piece, first and last start in `data`) of the windows that runs on nearby diagonals propose."""
+        longest = int(self.lengths.max())
+        for a in range(0, len(data), self.p.run_slice):
+            # Slices overlap by a window and its margin, so that each copy lies in one.
+            part = data[a : a + self.p.run_slice + 2 * longest]
+            hashes = self._runs(part)
+            at = np.flatnonzero(self.run_gate[hashes])
+            first = self.run_first[hashes[at]]
+            n = self.run_first[hashes[at] + 1] - first
+            each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            piece = self.run_piece[each]
+            width = self.run_width[piece]
+            start = np.repeat(at, n) - self.run_shift[each] + longest
+            # Counts of (piece, bucket of diagonals) in a table by hash: a shared place only adds to a count.
+            key = piece * ((len(part) + longest) // 16 + 2) + (start >> width)
+            own = np.repeat(at, n)
+            once = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]  # a byte counts once
+            key, piece = key[once], piece[once]
+            counts = np.bincount(key & CELLS, minlength=CELLS + 1)
+            near = counts[key & CELLS] + np.maximum(counts[(key + 1) & CELLS], counts[(key - 1) & CELLS])
+            good = np.unique(key[near >= self.run_least[piece]])
+            if not len(good):
+                continue
+            piece, bucket = np.divmod(good, (len(part) + longest) // 16 + 2)
+            new = np.append(True, np.diff(good) > 1)  # neighbouring buckets are one window
+            first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(good)) - 1
+            width = self.run_width[piece[first]]
+            yield piece[first], (bucket[first] << width) - longest + a, ((bucket[last] + 1) << width) - longest + a
 
     def bucket_keys(self, data: np.ndarray, begin: np.ndarray, at: np.ndarray, span: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """(windows x sides x repetitions) keys of the windows data[begin:stop], walked from the pair data[at:at+span]."""
@@ -171,6 +231,8 @@ class Index:
     def _supported(self, row: np.ndarray, anchor: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ...]:
         """The windows that a long pair proposes, or two pairs at nearly the same place: (row, anchor, pair, first byte)."""
         at = pair - self.shifts[anchor]
+        if not len(row):
+            return row, anchor, pair, at
         order = np.lexsort((at, self.owners[anchor], row))
         row, anchor, pair, at = row[order], anchor[order], pair[order], at[order]
         piece, strong = self.owners[anchor], self.strong[anchor]
@@ -181,16 +243,32 @@ class Index:
         own = good[group]
         return row[own], anchor[own], pair[own], at[own]
 
+    def _verify(self, data: np.ndarray, base: int, offs: np.ndarray, r: int, k: int, first: int, last: int, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Take piece k into `best` if it lies in row r from a start between `first` and `last`, give or take the limit."""
+        item, text = self.pieces[k]
+        limit = len(text) * self.p.edit_percent // 100
+        old = best.get((r, item))
+        if old and old[0] == 0:
+            return
+        lo, hi = max(int(offs[r]), first - limit), min(int(offs[r + 1]), last + len(text) + limit)
+        if hi - lo < len(text) - limit:
+            return
+        region = data[lo - base : hi - base].tobytes()
+        # Every edit breaks at most GRAM of the item's byte grams, so a match keeps the others.
+        there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
+        if sum(g in there for g in self.grams[k]) < len(self.grams[k]) - GRAM * limit:
+            return
+        span = edit_span(text, region, limit)
+        if span and (not old or (span[0], lo + span[1]) < (old[0], old[1])):
+            best[r, item] = span[0], lo + span[1], lo + span[2]
+
     def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, distance) in bytes of `raw`, the best match of each row and item."""
         if not self.pieces:
             return []
         found = list(self.windows(raw, offs))
-        if not found:
-            return []
-        row, anchor, pair, at = self._supported(*(np.concatenate(x) for x in zip(*found)))
-        if not len(row):
-            return []
+        none = np.zeros(0, np.int64)
+        row, anchor, pair, at = self._supported(*(np.concatenate(x) for x in zip(*found))) if found else (none,) * 4
         base, data = int(offs[0]), lowered(raw[int(offs[0]) : int(offs[-1])])
         met: dict[tuple[int, int], list[int]] = {}
         for k in range(0, len(row), 20_000):
@@ -206,25 +284,17 @@ class Index:
                 met.setdefault((int(row[k + x]), int(piece[x])), []).append(int(begin[x]))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for (r, k), starts in met.items():
-            item, text = self.pieces[k]
-            limit = len(text) * self.p.edit_percent // 100
             tried: list[int] = []
             for start in sorted(set(starts)):
-                if tried and start - tried[-1] <= limit // 2:
+                if tried and start - tried[-1] <= len(self.pieces[k][1]) * self.p.edit_percent // 200:
                     continue  # the margin of the last one covers it
                 tried.append(start)
-                old = best.get((r, item))
-                if old and old[0] == 0:
-                    break
-                lo, hi = max(int(offs[r]), start - limit), min(int(offs[r + 1]), start + len(text) + limit)
-                region = data[lo - base : hi - base].tobytes()
-                # Every edit breaks at most GRAM of the item's byte grams, so a match keeps the others.
-                there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
-                if sum(g in there for g in self.grams[k]) < len(self.grams[k]) - GRAM * limit:
-                    continue
-                span = edit_span(text, region, limit)
-                if span and (not old or (span[0], lo + span[1]) < (old[0], old[1])):
-                    best[r, item] = span[0], lo + span[1], lo + span[2]
+                self._verify(data, base, offs, r, k, start, start, best)
+        for piece, first, last in self.run_windows(data):
+            for k, x, y in zip(piece.tolist(), (first + base).tolist(), (last + base).tolist()):
+                low, high = np.searchsorted(offs, (x, y + len(self.pieces[k][1])), side="right").tolist()
+                for r in range(max(low - 1, 0), min(high, len(offs) - 1)):
+                    self._verify(data, base, offs, r, k, x, y, best)
         return [(r, item, a, b, d) for (r, item), (d, a, b) in sorted(best.items())]
 
 

@@ -122,6 +122,22 @@ def test_planted_leaks_are_found_and_clean_texts_left(spark):
     assert len(got) >= 0.98 * len(want)
 
 
+def test_copies_without_an_intact_word_pair_are_found(spark):
+    rng = random.Random(8)
+    items = [(i, _words(rng, 40, "abcdefghijklmnop")) for i in range(40)]
+    docs, want = [], set()
+    for i, text in items:
+        typos = [w[:k] + "z" + w[k + 1 :] if n % 2 else w for n, w in enumerate(text.split()) for k in [rng.randrange(len(w))]]
+        chars = list(text)
+        for k in rng.sample(range(len(chars)), len(chars) * 16 // 100):
+            chars[k] = rng.choice("qxz")
+        docs += [(2 * i, f"{_words(rng, 30)} {' '.join(typos)} {_words(rng, 30)}"), (2 * i + 1, f"{_words(rng, 30)} {''.join(chars)} {_words(rng, 30)}")]
+        want |= {(2 * i, i), (2 * i + 1, i)}
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want
+    assert len(got) >= 0.95 * len(want)
+
+
 def test_strong_spans_follow_the_patterns(spark):
     texts = ["password = 'hunter2secret' and TOKEN:abc", "key AKIA" + "Z" * 12 + " AKIAshort " + "a1" * 20, "api_key=\"x+/_.=-y\" é" * 3, "ſecret=longenough kelvin toKen=longenough", "passwd token=secret=abcdefgh", None]
     for r, text in zip(secret_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect(), texts):
