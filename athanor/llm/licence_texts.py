@@ -1,5 +1,7 @@
 """Published licence texts and one-line notices, by SPDX identifier."""
 
+from .published_texts import PUBLISHED
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including
 without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -96,6 +98,9 @@ TEXTS = (
     ("Zlib", ZLIB),
     ("Zlib", "zlib License\n\n" + ZLIB),
     ("Apache-2.0", APACHE_HEADER),
+    *PUBLISHED,
+    # Often given without the appendix on how to apply the terms.
+    *((i, t.split(x)[0] + x) for i, t in PUBLISHED for x in ("END OF TERMS AND CONDITIONS",) if x in t),
 )
 
 #: One-line notices; each holds the stem "licen".
