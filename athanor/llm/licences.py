@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup [native].
 
-A text is normalised (A-Z lower-cased, copyright lines dropped, every run of other ASCII characters one
+A text is normalised (A-Z lower-cased, lines of copyright statements and "all rights reserved" dropped, every run of other ASCII characters one
 space, equivalent spellings unified) and its SHA-256 is hash-joined to the digests of known licences,
 normalised by the same expression.  The lines of a text are looked up the same way in the one-line
 notices.  Everything is one projection over the scan; the joined table is as large as the list of known
@@ -20,7 +20,17 @@ from pyspark.sql import functions as F
 from .licence_texts import EQUAL_SPELLINGS, NOTICES, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"\n[ \t#*/;-]*(?:copyright|\(c\)|©)[^\n]*"
+MARKS = r"[ \t#*/;-]*"
+#: Beginnings of lines of wrapped licence text that are no copyright statement, newlines doubled: by the word that follows
+#: in licence texts, by punctuation, or "(c)" as the mark of a list's item.  Without look-ahead, which DuckDB lacks.
+NO_STATEMENT = (
+    r"\n" + MARKS + r"(copyright(?:[ \t]+(?:notices?|holders?|owners?|ownership|licen[cs]es?|laws?|lines?|interests?|statements?|disclaimers?|treaty"
+    r"|doctrines?|permission|protection|patents?|and|or|on|if|is|are|also|those|resulting|of[ \t]+(?:the|this|these|an?|any)"
+    r"|the[ \t]+(?:software|program|library|work))[^a-z0-9]|[ \t]+the[ \t\r]*\n|[ \t\r]*[\n.;)\"']|,[ \t\r]*[^0-9(© \t\r]"
+    r"|(?:able|ed|s)[ \t\r]*[^0-9(© \t\r])|\(c\)[ \t]+(?:you|under|representations|the[ \t]+licen[cs]es?)[^a-z0-9]|\(c\)[ \t\r]*\n)"
+)
+COPYRIGHT_LINE = r"\n" + MARKS + r"(?:copyright|\(c\)|©)[^\n]*"
+RIGHTS_LINE = r"\n" + MARKS + r"all rights reserved[ \t.!#*/;-]*\r?\n"
 OTHER_ASCII = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: More known texts than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 100_000
@@ -28,8 +38,10 @@ STEM = "licen"
 
 
 def normalised(text: Column) -> Column:
-    out = F.concat(F.lit("\n"), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
-    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), OTHER_ASCII, " ")
+    out = F.concat(F.lit("\n"), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit("\n"))
+    out = F.regexp_replace(F.replace(out, F.lit("\n"), F.lit("\n\n")), NO_STATEMENT, "\n\x01$1")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), RIGHTS_LINE, "\n")
+    out = F.regexp_replace(out, OTHER_ASCII, " ")
     out = F.concat(F.trim(out), F.lit(" "))
     for a, b in EQUAL_SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))

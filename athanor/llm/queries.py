@@ -9,7 +9,7 @@ from .audio import audio_digests
 from .decontamination import find_leaks
 from .language_model import interpolated_scores
 from .licence_texts import EQUAL_SPELLINGS, NOTICES, TEXTS
-from .licences import COPYRIGHT_LINE, LOWER, OTHER_ASCII, UPPER, scan_licences
+from .licences import COPYRIGHT_LINE, LOWER, NO_STATEMENT, OTHER_ASCII, RIGHTS_LINE, UPPER, scan_licences
 from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
 from .scratch import documents
@@ -66,8 +66,10 @@ def _sql(text: str) -> str:
 
 
 def _normalised_sql(text: str) -> str:
-    out = f"concat(chr(10), translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'))"
-    out = f"regexp_replace(regexp_replace({out}, {_sql(COPYRIGHT_LINE)}, chr(10), 'g'), {_sql(OTHER_ASCII)}, ' ', 'g')"
+    out = f"concat(chr(10), translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), chr(10))"
+    out = f"regexp_replace(replace({out}, chr(10), concat(chr(10), chr(10))), {_sql(NO_STATEMENT)}, concat(chr(10), chr(1), '\\1'), 'g')"
+    out = f"regexp_replace(regexp_replace({out}, {_sql(COPYRIGHT_LINE)}, chr(10), 'g'), {_sql(RIGHTS_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, {_sql(OTHER_ASCII)}, ' ', 'g')"
     out = f"concat(trim({out}), ' ')"
     for a, b in EQUAL_SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
