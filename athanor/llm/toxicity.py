@@ -39,10 +39,9 @@ class Toxicity:
     ratio: float = 5.0
     significance: float = 20.0
     #: Shares of the most significant piece's ratio that a piece must reach; one is chosen.
-    shares: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15)
+    shares: tuple[float, ...] = (0.0, 0.02, 0.05, 0.1, 0.15)
     ordinary_words: int = 6000
     ordinary_bytes: int = 24_000
-    toxic_bytes: int = 600
     carrier: int = 64
     level: int = 3
     toxic_sample: int = 2000
@@ -109,12 +108,12 @@ def ordinary_content(texts: list[bytes], p: Toxicity) -> bytes:
     return b" ".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0]))[-p.ordinary_words :])[-p.ordinary_bytes :]
 
 
-def toxic_content(pieces: dict[bytes, float], share: float, p: Toxicity) -> bytes:
-    """The most significant pieces, the first nearest to the window, three times over: at each alignment at which the
+def toxic_content(pieces: dict[bytes, float], share: float) -> bytes:
+    """All pieces of that share of significance, the first nearest to the window, three times over: at each alignment at which the
     coder looks into a dictionary."""
     out, least = b"", share * max(pieces.values(), default=0.0)
     for x, g in sorted(pieces.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-        if g < least or len(out) + len(x) > p.toxic_bytes:
+        if g < least:
             break
         if x not in out:
             out = x + out
@@ -206,10 +205,10 @@ def fit(texts: list[str | None], toxic: list[bool], p: Toxicity = Toxicity()) ->
         pieces = typical_pieces(*learn_, p)
         losses = []
         for s in p.shares:
-            tried = _calibrated(Scorer(p, plain, toxic_content(pieces, s, p)), learn_[0] + learn_[1], np.array([1.0] * len(learn_[0]) + [0.0] * len(learn_[1])))
+            tried = _calibrated(Scorer(p, plain, toxic_content(pieces, s)), learn_[0] + learn_[1], np.array([1.0] * len(learn_[0]) + [0.0] * len(learn_[1])))
             losses.append((_loss(tried, test, truth), s))
         share = min(losses)[1]
-    return _calibrated(Scorer(p, plain, toxic_content(typical_pieces(bad, good, p), share, p)), lowered, np.array(toxic, float))
+    return _calibrated(Scorer(p, plain, toxic_content(typical_pieces(bad, good, p), share)), lowered, np.array(toxic, float))
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, keep: Column, p: Toxicity) -> Scorer:
@@ -227,7 +226,7 @@ def scored(df: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: boo
     kept = df.select(*names)
     where = names.index(text_col)
     out = [i for i, c in enumerate(names) if keep_text or c != text_col]
-    shared = df.sparkSession.sparkContext.broadcast(scorer)  # a few dozen KB: the dictionaries' sizes are parameters
+    shared = df.sparkSession.sparkContext.broadcast(scorer)  # grows with the learned pieces, at most with the sample's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
