@@ -4,8 +4,9 @@ Strong spans stand alone: assigned values, access identifiers and long hex runs.
 names, random-looking tokens, service addresses) say nothing alone; they are interval-joined with the other
 parts inside a scope, which is a section of the text (blank lines end it) and at most `reach` code points
 between two parts.  A weak secret is reported when an identifier lies in its scope, a weak identifier when a
-secret does, an address when both do.  The join is a sweep over sorted starts, one text at a time, so a text
-of any length costs in proportion to its candidates and nothing is shuffled.
+secret does, an address when both do.  Spans that overlap are one part of a credential and never complement
+each other.  The join looks up the nearest parts among sorted edges, one text at a time, so a text of any length
+costs in proportion to its candidates (and a logarithm) and nothing is shuffled.
 
 Cases: null text counts as empty and has no span; a weak candidate that overlaps a strong span is that span;
 repeated rows give repeated rows; extra columns pass by unless they have a result's name.
@@ -74,23 +75,18 @@ def linked_spans(text: str, strong: list[Span], reach: int) -> list[Span]:
             furthest.append(most := max(most, s[1]))
         weak = [w for w in weak if not ((k := bisect.bisect_left(starts, w[1])) and furthest[k - 1] > w[0])]
     breaks = [m.start() for m in SECTION.finditer(text)]
-    parts = sorted([*strong, *weak], key=lambda s: (s[0], _ORDER[s[2]]))
+    section = lambda at: bisect.bisect_right(breaks, at)
     near: dict[Span, set[str]] = {w: set() for w in weak}
-    # Sweep in both directions: the last identifier and secret seen in the section, by their nearest edge.
-    for forward in (True, False):
-        last: dict[str, tuple[int, int]] = {}
-        for s in parts if forward else sorted(parts, key=lambda s: -s[1]):
-            section = bisect.bisect_right(breaks, s[0])
-            if s in near:
-                for role, (edge, at) in last.items():
-                    if at == section and (s[0] - edge if forward else edge - s[1]) <= reach:
-                        near[s].add(role)
-            role = "id" if s[2] in _IDS else "secret" if s[2] in _SECRETS else ""
-            if role:
-                edge = s[1] if forward else s[0]
-                if role in last and last[role][1] == section:
-                    edge = max(edge, last[role][0]) if forward else min(edge, last[role][0])
-                last[role] = (edge, section)
+    for role, kinds in (("id", _IDS), ("secret", _SECRETS)):
+        # No span crosses a section's end, so the nearest part on either side that does not overlap decides.
+        ends = sorted((s[1], s[0]) for s in [*strong, *weak] if s[2] in kinds)
+        begins = sorted(s[0] for s in [*strong, *weak] if s[2] in kinds)
+        for w in weak:
+            before, after = bisect.bisect_right(ends, (w[0], w[0])) - 1, bisect.bisect_left(begins, w[1])
+            if before >= 0 and w[0] - ends[before][0] <= reach and section(ends[before][1]) == section(w[0]):
+                near[w].add(role)
+            if after < len(begins) and begins[after] - w[1] <= reach and section(begins[after]) == section(w[0]):
+                near[w].add(role)
     needs = {"account": {"secret"}, "random": {"id"}, "address": {"id", "secret"}}
     return [w for w in weak if needs[w[2]] <= near[w]]
 

@@ -12,7 +12,7 @@ from athanor.llm.components import components
 from athanor.llm.decontamination import edit_search, edit_span, find_leaks
 from athanor.llm.near_duplicates import NearDup, near_duplicate_classes
 from athanor.llm.scratch import Scratch
-from athanor.llm.secrets import linked_spans, scan_secrets, secret_digests, strong_spans
+from athanor.llm.secrets import ACCOUNT, ADDRESS, RANDOM, SECTION, _looks_random, linked_spans, redact_secrets, scan_secrets, secret_digests, strong_spans
 from athanor.llm.sharding import histogram_shards
 from athanor.llm.toxicity import toxicity_scores
 
@@ -166,6 +166,48 @@ def test_weak_parts_are_linked_only_in_scope():
     assert kinds(f"{account} password=longenough {host}") == ["account", "address"]
 
 
+def _linked_by_pairs(text, reach):
+    strong = strong_spans(text)
+    weak = [(*m.span(), k) for k, x in (("account", ACCOUNT), ("random", RANDOM), ("address", ADDRESS)) for m in x.finditer(text) if k != "random" or _looks_random(m[0])]
+    meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    weak = [w for w in weak if not any(meet(w, s) for s in strong)]
+    roles = {"access": "id", "account": "id", "assign": "secret", "hex": "secret", "random": "secret"}
+    out = []
+    for w in weak:
+        near = set()
+        for s in strong + weak:
+            a, b = sorted((w, s))
+            if s != w and not meet(w, s) and b[0] - a[1] <= reach and not any(a[0] < m.start() < b[0] for m in SECTION.finditer(text)):
+                near.add(roles.get(s[2]))
+        if {"account": {"secret"}, "random": {"id"}, "address": {"id", "secret"}}[w[2]] <= near:
+            out.append(w)
+    return sorted(out)
+
+
+def test_linking_equals_all_pairs():
+    rng = random.Random(11)
+    parts = ["user: alice", "login=aB3dE5gH7jK9mN1pQ3rS5tU7", "client_id=Zx81kLmQw92PoRtYuB73cVnM", "aB3dE5gH7jK9mN1pQ3rS5tU7", "endpoint=db.example.org:5432", "https://Zx81kLmQw92PoRtYuB73cVnM.example/x", "password=longenough", "AKIA" + "Q" * 16, "a1" * 20, "words", "x " * 30, "\n", "\n\n", "\n \t\n"]
+    seen = set()
+    for _ in range(3000):
+        text = rng.choice((" ", ", ", "\n")).join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        got = sorted(linked_spans(text, strong_spans(text), 60))
+        assert got == _linked_by_pairs(text, 60), text
+        seen |= {k for _, _, k in got}
+    assert seen == {"account", "random", "address"}
+
+
+def test_one_value_alone_is_no_credential():
+    for text in ("login: aB3dE5gH7jK9mN1pQ3rS5tU7 and nothing else", "client_id=Zx81kLmQw92PoRtYuB73cVnM", "username: JohnSmithFromOslo1984"):
+        assert linked_spans(text, strong_spans(text), 400) == []
+
+
+def test_linked_parts_are_reported_and_redacted(spark):
+    docs = spark.createDataFrame([(1, "user: alice\nkey aB3dE5gH7jK9mN1pQ3rS5tU7\nhost=db.example.org"), (2, "user: alice")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_digests(docs).collect()}
+    assert spans == {1: "account:0:11,random:16:40,address:41:60", 2: ""}
+    assert [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()] == ["<account>\nkey <random>\n<address>", "user: alice"]
+
+
 def test_shards_are_even_and_gapless(spark):
     rng = random.Random(4)
     hot = _words(rng, 30)
