@@ -12,9 +12,13 @@ import numpy as np
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # a special token's name in a text is ordinary text
-    return out
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _added(path: str) -> tuple[str, ...]:
+    """The tokens that the tokenizer finds in a text before its vocabulary is applied."""
+    return tuple(x.content for x in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 @cache
@@ -44,10 +48,11 @@ def _has_long_run(text: str, size: int = 2000) -> bool:
 
 
 def encode(text: str, path: str) -> list[int]:
-    """The ids of `text`.  Where the vocabulary also lies there as ranks they are used, since they give the
-    same ids several times faster; texts with very long unbroken runs go to the tokenizer itself."""
+    """The tokenizer's ids of `text`, without special tokens added.  Where the vocabulary also lies there as ranks
+    they are used, since they give the same ids several times faster; texts with very long unbroken runs, and
+    those that hold one of the tokenizer's added tokens, go to the tokenizer itself."""
     ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks) and not _has_long_run(text):
+    if os.path.exists(ranks) and not any(x in text for x in _added(path)) and not _has_long_run(text):
         return _ranks(ranks).encode_ordinary(text)
     return _tokenizer(path).encode(text, add_special_tokens=False).ids
 

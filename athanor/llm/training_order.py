@@ -26,6 +26,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
 from .kernels import U64, mix64
@@ -70,7 +71,7 @@ def _sequences(docs: DataFrame, path: str, o: Order, kind: str) -> DataFrame:
     """Units of up to UNIT sequences: part, at (number of the first in its partition), and per sequence its length, crc,
     doc_ids, doc_starts and offsets; `ids` holds all their ids, compressed."""
     wide = tokens.id_kind(path)
-    own = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    own = to_arrow_type(docs.schema["id"].dataType)
     many = lambda t: pa.list_(pa.list_(t))
     schema = pa.schema([("part", pa.int64()), ("at", pa.int64()), ("n", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("doc_ids", many(own)), ("doc_starts", many(pa.int64())), ("offsets", many(pa.int64())), ("ids", pa.binary())])
 

@@ -22,7 +22,6 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def ids():
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(TEXTS)}
 
 
