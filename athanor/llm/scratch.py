@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-`spark.checkpoint.dir` names that folder; where it is unset (tests, notebooks) a temporary folder of the
-driver is set for the session.  A written table survives lost executors and cuts the lineage.
+`spark.checkpoint.dir` names that folder; where it is unset and the master is local (tests, notebooks) a
+temporary folder of the driver is set for the session.  A cluster without the setting is an error, since its executors
+share no local folder.  A written table survives lost executors and cuts the lineage.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder named by the session, or a fresh temporary one where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="athanor-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
