@@ -1,70 +1,72 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Item-sized windows of a document are embedded by random walks: a walk reads a byte, emits it and steps on or
-stays by a random bit that depends on place and byte, which maps edit distance to Hamming distance.  Repeatedly,
-a few places of a walk are sampled and hashed; a window that meets its item in a bucket is verified by its exact
-edit distance inside the window and a margin.  The number of repetitions follows from the target recall.
-
-Windows come from two sources.  Where a word pair of an item occurs, a window is shifted by the pair's place in the
-item, and the walks leave from that pair, forwards to the window's end and backwards to its beginning, so that edits
-before the pair don't put a walk out of step.  Pairs of short words, which any text holds, propose a window only where
-two of an item agree on it, unless the item has no other.  Items of one word stand on that word.  Edits in every second
-word leave no pair, so runs of `run` bytes, at every byte and across words, propose windows as well: those where
-`run_percent` of an item's length in runs lie on nearby diagonals are verified by distance at once.  An edit breaks
-at most `run` runs, so no copy is missed whose edits break all but that share; edits set evenly, one in each `run`
-bytes or closer, leave no run, and such copies are found only by a pair.  Items much longer than `segment` bytes are
-looked for in pieces of that size.
+A window begins at every word of a document and is embedded by random walks: a walk reads a byte, emits it and steps on or
+stays by a random bit that depends on the step and the byte, which maps edit distance to Hamming distance.  A key is a
+sample of places of a walk.  The items are embedded alike from each of their words, so an item meets the window of its own
+place and size through the walks from all of its words, and edits in front of a word don't put its walk out of step.
+Equal keys of a window and of an item's word propose the item at one diagonal; where `votes` words of an item agree on
+nearby diagonals, the item is verified by its exact edit distance inside the window and a margin.
+
+At the edit limit two walks still agree on all places of a key with probability `share` (measured, one word, one key; far
+more below the limit), and `repetitions` follows from that and from the target recall for an item of `words` words.
+
+Items much longer than `segment` bytes are looked for in pieces of that size.  Pieces under `short` bytes have shorter walks
+and need one vote; pieces under `tiny` bytes are cut into one part more than the limit has edits, one of which any match
+keeps, and all parts are sought at once by an Aho-Corasick automaton, which misses nothing.  A piece so short that the
+limit is no edit must stand between white space.
 
 A-Z count as a-z.  Cases: null and empty texts and items without words match nothing; repeated rows and equal
-items are reported each; benchmark items are read in blocks of bounded bytes, so the index on the executors
-is bounded and a larger benchmark costs more passes; an empty table gives an empty result.
+items are reported each; texts are embedded in slices of fixed size, however long they are; benchmark items are read in
+blocks of bounded bytes, whose index of some 60 bytes a byte a worker builds once, and a larger benchmark costs more
+passes; an empty table gives an empty result; other columns of both tables, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .kernels import U64, lowered, mix64, ngrams, placed_words, slices, text_buffers
+from .kernels import U64, lowered, text_buffers, word_starts
 
 
 @dataclass(frozen=True)
 class Leaks:
     edit_percent: int = 20
-    samples: int = 6
-    walks: int = 6
+    #: Steps of a walk, walks, and the places of a walk that make a key.
+    steps: int = 36
+    walks: int = 4
+    samples: int = 8
     recall: float = 0.99
-    #: Share of sampled places that differ for a copy at half the edit limit, from the walks' distortion.
-    differ: float = 0.35
-    #: Steps of a walk from whose places samples are taken, and bytes that a side must have to be looked at.
-    steps: int = 48
-    side: int = 12
-    segment: int = 600
-    #: A word pair of so many bytes proposes a window alone; shorter ones must agree in twos, up to a shift.
-    strong_bytes: int = 9
+    share: float = 0.14
+    words: int = 7
+    votes: int = 3
+    #: Diagonals so near each other are one proposal.
     shift: int = 24
-    block_bytes: int = 16 << 20
-    #: Bytes of a run, and runs on nearby diagonals, in percent of the piece's bytes, that propose a window.
-    run: int = 8
-    run_percent: int = 8
-    #: Bytes of text whose runs are counted at once.
-    run_slice: int = 1 << 19
+    segment: int = 600
+    short: int = 64
+    short_steps: int = 14
+    short_samples: int = 6
+    tiny: int = 16
+    block_bytes: int = 2 << 20
+    #: Bytes of text whose windows are embedded at once.
+    slice_bytes: int = 1 << 20
 
     @property
     def repetitions(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.differ) ** self.samples))
+        """Keys per word: each of the votes is reached with the target's share of failures."""
+        return self.votes * math.ceil(math.log(1 - self.recall) / (self.words * math.log(1 - self.share)))
 
 
 GRAM = 4
-#: Hashes of runs have so many bits; counts of diagonals lie in a table of CELLS + 1 places.
-RUN_BITS = 20
-CELLS = (1 << 20) - 1
 
 
 def edit_search(pattern: bytes, text: bytes) -> tuple[int, int]:
@@ -101,208 +103,200 @@ def edit_span(pattern: bytes, text: bytes, limit: int) -> tuple[int, int, int] |
     return best, end - back, end
 
 
+class Walks:
+    """One family of random walks and the samples of their places that make keys."""
+
+    BLOCK = 1 << 15
+
+    def __init__(self, steps: int, walks: int, samples: int, repetitions: int):
+        rng = np.random.Generator(np.random.PCG64(2718))
+        self.steps = rng.integers(0, 2, (walks, steps, 256), dtype=np.uint8)
+        # One place from each of equal stretches of the walk, so that every key tells apart about as much.
+        cuts = np.arange(samples + 1) * steps // samples
+        self.plan = [rng.integers(cuts[:-1], cuts[1:]) for _ in range(repetitions)]
+        self.reach = steps
+
+    def keys(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(repetitions x windows) keys of the windows that begin at `at`, and the last byte that each key read.
+
+        `padded` has `reach` bytes more than the last window's beginning.  A key is a hash of up to eight bytes."""
+        out, last = np.empty((len(self.plan), len(at)), U64), np.empty((len(self.plan), len(at)), np.int32)
+        walks = len(self.steps)
+        for a in range(0, len(at), self.BLOCK):
+            begin = at[a : a + self.BLOCK].astype(np.int32)
+            byte, step = np.empty(len(begin), np.uint8), np.empty(len(begin), np.uint8)
+            for walk in range(walks):
+                takes: dict[int, list[tuple[int, int]]] = {}
+                for r in range(walk, len(self.plan), walks):
+                    for column, t in enumerate(self.plan[r].tolist()):
+                        takes.setdefault(t, []).append((r, column))
+                read = {r: np.zeros((len(begin), 8), np.uint8) for r in range(walk, len(self.plan), walks)}
+                place = begin.copy()
+                for t in range(max(takes, default=-1) + 1):
+                    np.take(padded, place, out=byte, mode="clip")
+                    for r, column in takes.get(t, ()):
+                        read[r][:, column] = byte
+                        last[r, a : a + self.BLOCK] = place
+                    np.take(self.steps[walk, t], byte, out=step, mode="clip")
+                    place += step
+                for r, x in read.items():
+                    out[r, a : a + self.BLOCK] = (x.view("<u8")[:, 0] + U64(r)) * U64(0x9E3779B97F4A7C15)
+        return out, last
+
+
+class Buckets:
+    """The keys of some pieces from each of their words, by hash."""
+
+    def __init__(self, pieces: list[tuple[int, bytes]], walks: Walks):
+        self.walks = walks
+        texts = [x for _, x in pieces]
+        data = np.frombuffer(b"".join(texts) + bytes(walks.reach), np.uint8)
+        ends = np.cumsum([len(x) for x in texts])
+        begins = ends - [len(x) for x in texts]
+        at = word_starts(data[: int(ends[-1])] if texts else data[:0], begins)
+        piece = np.searchsorted(ends, at, side="right")
+        keys, last = walks.keys(data, at)
+        inside = last < ends[piece] if texts else last < 0
+        self.windows = np.bincount(piece[inside.any(axis=0)], minlength=len(texts))
+        rep, word = np.nonzero(inside)
+        keys = keys[rep, word]
+        order = np.argsort(keys, kind="stable")
+        self.hashes = keys[order]
+        self.piece, self.shift = piece[word][order].astype(np.int32), (at - begins[piece])[word][order].astype(np.int32)
+        self.bits = max(20, len(keys).bit_length() + 2)
+        self.gate = np.zeros(1 << self.bits, bool)
+        self.gate[(self.hashes >> U64(64 - self.bits)).astype(np.int64)] = True
+
+    def hits(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window's first byte, piece, piece's first byte by this window) wherever a key of a window is a piece's."""
+        found = []
+        for keys in self.walks.keys(padded, at)[0] if len(self.hashes) else ():
+            hit = np.flatnonzero(self.gate[(keys >> U64(64 - self.bits)).astype(np.int64)])
+            a, b = np.searchsorted(self.hashes, keys[hit]), np.searchsorted(self.hashes, keys[hit], side="right")
+            hit, a, n = hit[b > a], a[b > a], (b - a)[b > a]
+            each = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat(at[hit], n)
+            found.append((place, self.piece[each], place - self.shift[each]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
+
+
 class Index:
-    """The items of one block: their pieces, word-pair anchors and LSH buckets."""
+    """The items of one block: their pieces, the buckets of long and of short ones, and the parts of tiny ones."""
 
-    def __init__(self, items: list[tuple[int, str]], p: Leaks):
+    def __init__(self, items: list[tuple[object, str | None]], p: Leaks):
         self.p = p
-        self.pieces: list[tuple[int, bytes]] = []
-        for item, text in items:
+        pieces: list[tuple[int, bytes]] = []
+        for k, (_, text) in enumerate(items):
             raw = lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes()
-            parts = [raw] if len(raw) <= p.segment else [raw[i : i + p.segment * 2 // 3] for i in range(0, len(raw) - p.segment // 3, p.segment * 2 // 3)]
-            self.pieces += [(item, x) for x in parts if x.strip(b" \t\n\x0b\x0c\r")]
-        self.grams = [[x[i : i + GRAM] for i in range(len(x) - GRAM + 1)] for _, x in self.pieces]
-        self.lengths = np.array([len(x) for _, x in self.pieces], np.int64)
-        anchors, owners, shifts, strong, spans = [], [], [], [], []
-        for k, (_, text) in enumerate(self.pieces):
-            raw = np.frombuffer(text, np.uint8)
-            hashes, _, starts = placed_words(raw, np.array([0, len(raw)]))
-            grams = ngrams(hashes, 2) if len(hashes) > 1 else mix64(hashes)
-            anchors.append(grams)
-            owners.append(np.full(len(grams), k))
-            shifts.append(starts[: len(grams)])
-            ends = np.append(starts[2:], len(raw)) if len(hashes) > 1 else np.array([len(raw)])
-            spans.append(ends - starts[: len(grams)])
-            long = spans[-1] >= p.strong_bytes
-            strong.append(long | ~long.any())
-        join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        anchors = join(anchors, U64)
-        order = np.argsort(anchors, kind="stable")
-        self.anchors, self.strong = anchors[order], join(strong, bool)[order]
-        self.owners, self.shifts, self.spans = (join(x, np.int64)[order] for x in (owners, shifts, spans))
-        self.single = any(len(x.split()) == 1 for _, x in self.pieces)
-        self.gate = np.zeros(1 << 20, bool)
-        self.gate[(self.anchors >> U64(44)).astype(np.int64)] = True
-        rng = np.random.Generator(np.random.PCG64(2718))
-        self.steps = rng.integers(0, 2, (p.walks, p.steps, 256), dtype=np.uint8).astype(np.int64)
-        self.plan = [np.sort(rng.permutation(p.steps)[: p.samples]) for _ in range(p.repetitions)]
-        data = np.frombuffer(b"".join(x for _, x in self.pieces), np.uint8)
-        ends = np.cumsum(self.lengths)
-        stop = ends[self.owners]
-        begin = stop - self.lengths[self.owners]
-        self.keys = self.bucket_keys(data, begin, begin + self.shifts, self.spans, stop) if len(self.owners) else None
-        # Runs by hash; runs that share one only add to a count.  A copy's runs lie on diagonals within its limit.
-        whole = np.repeat(ends, self.lengths) - np.arange(len(data)) >= p.run
-        at = np.flatnonzero(whole)
-        hashes = self._runs(data)[at]
-        order = np.argsort(hashes, kind="stable")
-        piece = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.run_piece = piece[at][order]
-        self.run_shift = (at - (ends - self.lengths)[piece[at]])[order]
-        self.run_first = np.searchsorted(hashes[order], np.arange((1 << RUN_BITS) + 1)).astype(np.int64)
-        self.run_gate = np.diff(self.run_first) > 0
-        limits = self.lengths * p.edit_percent // 100
-        self.run_width = np.array([max(4, int(x).bit_length()) for x in limits], np.int64)
-        self.run_least = np.maximum(2, self.lengths * p.run_percent // 100)
-
-    def _runs(self, data: np.ndarray) -> np.ndarray:
-        """A hash of the `run` bytes from each byte on; the text's end counts as zeros."""
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        out = np.ndarray(len(data), np.dtype("<u8"), padded, strides=(1,)) << U64(64 - 8 * self.p.run)
-        return ((out * U64(0x9E3779B97F4A7C15)) >> U64(64 - RUN_BITS)).astype(np.int64)
-
-    def run_windows(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(piece, first and last start in `data`) of the windows that runs on nearby diagonals propose."""
-        longest = int(self.lengths.max())
-        for a in range(0, len(data), self.p.run_slice):
-            # Slices overlap by a window and its margin, so that each copy lies in one.
-            part = data[a : a + self.p.run_slice + 2 * longest]
-            hashes = self._runs(part)
-            at = np.flatnonzero(self.run_gate[hashes])
-            first = self.run_first[hashes[at]]
-            n = self.run_first[hashes[at] + 1] - first
-            each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            piece = self.run_piece[each]
-            width = self.run_width[piece]
-            start = np.repeat(at, n) - self.run_shift[each] + longest
-            # Counts of (piece, bucket of diagonals) in a table by hash: a shared place only adds to a count.
-            key = piece * ((len(part) + longest) // 16 + 2) + (start >> width)
-            own = np.repeat(at, n)
-            once = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]  # a byte counts once
-            key, piece = key[once], piece[once]
-            counts = np.bincount(key & CELLS, minlength=CELLS + 1)
-            near = counts[key & CELLS] + np.maximum(counts[(key + 1) & CELLS], counts[(key - 1) & CELLS])
-            good = np.unique(key[near >= self.run_least[piece]])
-            if not len(good):
-                continue
-            piece, bucket = np.divmod(good, (len(part) + longest) // 16 + 2)
-            new = np.append(True, np.diff(good) > 1)  # neighbouring buckets are one window
-            first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(good)) - 1
-            width = self.run_width[piece[first]]
-            yield piece[first], (bucket[first] << width) - longest + a, ((bucket[last] + 1) << width) - longest + a
-
-    def bucket_keys(self, data: np.ndarray, begin: np.ndarray, at: np.ndarray, span: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """(windows x sides x repetitions) keys of the windows data[begin:stop], walked from the pair data[at:at+span]."""
-        out = np.zeros((2, len(self.plan), len(at)), U64)
-        last = len(data) - 1
-        for side, step in ((0, 1), (1, -1)):
-            for walk in range(self.p.walks):
-                takes: dict[int, list[int]] = {}
-                for r in range(walk, len(self.plan), self.p.walks):
-                    for t in self.plan[r].tolist():
-                        takes.setdefault(t, []).append(r)
-                place = at + span if side == 0 else at - 1
-                for t in range(max(takes, default=-1) + 1):
-                    byte = data[np.clip(place, 0, last)]
-                    byte[(place >= stop) if side == 0 else (place < begin)] = 0
-                    for r in takes.get(t, ()):
-                        out[side, r] = (out[side, r] + byte + U64(1)) * U64(0x9E3779B97F4A7C15)
-                    place = place + step * self.steps[walk, t][byte]
-        return out.transpose(2, 0, 1)
-
-    def windows(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, anchor, the pair's first byte in `raw`) of the windows that anchors propose."""
-        for i, j in slices(offs):
-            hashes, rows, starts = placed_words(raw, offs[i : j + 1])
-            if not len(hashes):
+            step = p.segment * 2 // 3
+            parts = [raw] if len(raw) <= p.segment else [raw[i : i + step] for i in range(0, len(raw) - p.segment // 3, step)]
+            pieces += [(k, x) for x in parts if x.strip(b" \t\n\x0b\x0c\r")]
+        self.ids = [i for i, _ in items]
+        r = p.repetitions
+        kinds = (lambda n: n >= p.short, lambda n: p.tiny <= n < p.short)
+        families = Walks(p.steps, p.walks, p.samples, r), Walks(p.short_steps, p.walks, p.short_samples, r)
+        sorted_ = [[x for x in pieces if kind(len(x[1]))] for kind in kinds]
+        self.tables = [(x, Buckets(x, walks), votes) for x, walks, votes in zip(sorted_, families, (p.votes, 1)) if x]
+        self.tiny = [x for x in pieces if len(x[1]) < p.tiny]
+        self.parts = ahocorasick.Automaton() if self.tiny else None
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, text) in enumerate(self.tiny):
+            n = len(text) * p.edit_percent // 100 + 1
+            for cut in range(n):
+                a, b = len(text) * cut // n, len(text) * (cut + 1) // n
+                owners.setdefault(text[a:b].decode("latin-1"), []).append((k, a))
+        for part, own in owners.items():
+            self.parts.add_word(part, (len(part), own))
+        if self.parts:
+            self.parts.make_automaton()
+
+    def _proposed(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[tuple[int, bytes], int, int, int]]:
+        """(piece, row, first and last of its first byte) of the proposals."""
+        padded = np.concatenate((data, np.zeros(self.p.steps + self.p.short_steps, np.uint8)))
+        found: list[list] = [[] for _ in self.tables]
+        for a in range(0, len(data) if self.tables else 0, self.p.slice_bytes):
+            part = data[max(a - 1, 0) : a + self.p.slice_bytes]
+            at = word_starts(part, offs[(offs >= a) & (offs < a + self.p.slice_bytes)] - max(a - 1, 0)) + max(a - 1, 0)
+            for held, (_, buckets, _) in zip(found, self.tables):
+                held.append(buckets.hits(padded, at[at >= a]))
+        for held, (pieces, buckets, votes) in zip(found, self.tables):
+            place, piece, first = (np.concatenate(x) for x in zip(*held))
+            if not len(place):
                 continue
-            for pairs in (True, False) if self.single else (True,):
-                grams = ngrams(hashes, 2) if pairs and len(hashes) > 1 else mix64(hashes)
-                hit = np.flatnonzero(self.gate[(grams >> U64(44)).astype(np.int64)])
-                a, b = np.searchsorted(self.anchors, grams[hit]), np.searchsorted(self.anchors, grams[hit], side="right")
-                hit, a, n = hit[b > a], a[b > a], (b - a)[b > a]
-                row = np.searchsorted(rows, hit, side="right") - 1
-                if pairs:
-                    whole = hit + 1 < rows[row + 1]  # both words in one text
-                    hit, a, n, row = hit[whole], a[whole], n[whole], row[whole]
-                each = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield np.repeat(row, n) + i, each, int(offs[i]) + np.repeat(starts[hit], n)
-
-    def _supported(self, row: np.ndarray, anchor: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The windows that a long pair proposes, or two pairs at nearly the same place: (row, anchor, pair, first byte)."""
-        at = pair - self.shifts[anchor]
-        if not len(row):
-            return row, anchor, pair, at
-        order = np.lexsort((at, self.owners[anchor], row))
-        row, anchor, pair, at = row[order], anchor[order], pair[order], at[order]
-        piece, strong = self.owners[anchor], self.strong[anchor]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]) | (at[1:] - at[:-1] > self.p.shift)))
-        group = np.cumsum(new) - 1
-        votes = np.bincount(group)
-        good = (votes >= 2) | (np.bincount(group, weights=strong) > 0)
-        own = good[group]
-        return row[own], anchor[own], pair[own], at[own]
-
-    def _verify(self, data: np.ndarray, base: int, offs: np.ndarray, r: int, k: int, first: int, last: int, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
-        """Take piece k into `best` if it lies in row r from a start between `first` and `last`, give or take the limit."""
-        item, text = self.pieces[k]
-        limit = len(text) * self.p.edit_percent // 100
-        old = best.get((r, item))
-        if old and old[0] == 0:
-            return
-        lo, hi = max(int(offs[r]), first - limit), min(int(offs[r + 1]), last + len(text) + limit)
-        if hi - lo < len(text) - limit:
-            return
-        region = data[lo - base : hi - base].tobytes()
-        # Every edit breaks at most GRAM of the item's byte grams, so a match keeps the others.
-        there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
-        if sum(g in there for g in self.grams[k]) < len(self.grams[k]) - GRAM * limit:
-            return
-        span = edit_span(text, region, limit)
-        if span and (not old or (span[0], lo + span[1]) < (old[0], old[1])):
-            best[r, item] = span[0], lo + span[1], lo + span[2]
-
-    def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start, end, distance) in bytes of `raw`, the best match of each row and item."""
-        if not self.pieces:
-            return []
-        found = list(self.windows(raw, offs))
-        none = np.zeros(0, np.int64)
-        row, anchor, pair, at = self._supported(*(np.concatenate(x) for x in zip(*found))) if found else (none,) * 4
-        base, data = int(offs[0]), lowered(raw[int(offs[0]) : int(offs[-1])])
-        met: dict[tuple[int, int], list[int]] = {}
-        for k in range(0, len(row), 20_000):
-            w = slice(k, k + 20_000)
-            own, piece = anchor[w], self.owners[anchor[w]]
-            begin, stop = np.maximum(at[w], offs[row[w]]), np.minimum(at[w] + self.lengths[piece], offs[row[w] + 1])
-            keys = self.bucket_keys(data, begin - base, pair[w] - base, self.spans[own], stop - base)
-            # A side too short to tell anything is left out, unless both are.
-            long = np.stack((self.lengths[piece] - self.shifts[own] - self.spans[own], self.shifts[own]), axis=1) >= self.p.side
-            long |= ~long.any(axis=1, keepdims=True)
-            same = ((keys == self.keys[own]).any(axis=2) & long).any(axis=1)
-            for x in np.flatnonzero(same).tolist():
-                met.setdefault((int(row[k + x]), int(piece[x])), []).append(int(begin[x]))
+            row = np.searchsorted(offs, place, side="right") - 1
+            order = np.lexsort((first, piece, row))
+            place, piece, first, row = place[order], piece[order], first[order], row[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]) | (np.diff(first) > self.p.shift))
+            group = np.cumsum(new) - 1
+            begin = np.flatnonzero(new)
+            # A window votes once in a group, whatever the number of its keys.
+            order = np.lexsort((place, group))
+            once = np.append(True, (np.diff(place[order]) != 0) | (np.diff(group[order]) != 0))
+            count = np.bincount(group[order][once], minlength=len(begin))
+            good = np.flatnonzero(count >= np.minimum(votes, buckets.windows[piece[begin]]))
+            ends = np.append(begin[1:], len(first)) - 1
+            for g in good.tolist():
+                yield pieces[piece[begin[g]]], int(row[begin[g]]), int(first[begin[g]]), int(first[ends[g]])
+        if self.parts:
+            text = data.tobytes().decode("latin-1")
+            for end, (size, own) in self.parts.iter(text):
+                for k, shift in own:
+                    at = end + 1 - size
+                    row = int(np.searchsorted(offs, at, side="right")) - 1
+                    if end < offs[row + 1]:
+                        yield self.tiny[k], row, at - shift, at - shift
+
+    def matches(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, object, int, int, int]]:
+        """(row, item id, start, end, distance) in bytes of `raw`, the best match of each row and item."""
+        base = int(offs[0])
+        data, at = lowered(raw[base : int(offs[-1])]), np.asarray(offs) - base
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for (r, k), starts in met.items():
-            tried: list[int] = []
-            for start in sorted(set(starts)):
-                if tried and start - tried[-1] <= len(self.pieces[k][1]) * self.p.edit_percent // 200:
-                    continue  # the margin of the last one covers it
-                tried.append(start)
-                self._verify(data, base, offs, r, k, start, start, best)
-        for piece, first, last in self.run_windows(data):
-            for k, x, y in zip(piece.tolist(), (first + base).tolist(), (last + base).tolist()):
-                low, high = np.searchsorted(offs, (x, y + len(self.pieces[k][1])), side="right").tolist()
-                for r in range(max(low - 1, 0), min(high, len(offs) - 1)):
-                    self._verify(data, base, offs, r, k, x, y, best)
-        return [(r, item, a, b, d) for (r, item), (d, a, b) in sorted(best.items())]
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+        for (item, text), row, first, last in self._proposed(data, at):
+            limit = len(text) * self.p.edit_percent // 100
+            old = best.get((row, item))
+            if old and old[0] == 0:
+                continue
+            lo, hi = max(int(at[row]), first - limit), min(int(at[row + 1]), last + len(text) + limit)
+            if hi - lo < len(text) - limit:
+                continue
+            region = data[lo:hi].tobytes()
+            # Every edit breaks at most GRAM of the item's byte grams, so a match keeps the others.
+            grams = len(text) - GRAM + 1
+            if grams > GRAM * limit:
+                there = {region[i : i + GRAM] for i in range(len(region) - GRAM + 1)}
+                if sum(text[i : i + GRAM] in there for i in range(grams)) < grams - GRAM * limit:
+                    continue
+            span = edit_span(text, region, limit)
+            if span and not limit and not (_blank(data, lo + span[1] - 1, at[row], at[row + 1]) and _blank(data, lo + span[2], at[row], at[row + 1])):
+                continue
+            if span and (not old or (span[0], lo + span[1]) < (old[0], old[1])):
+                best[row, item] = span[0], lo + span[1], lo + span[2]
+        return [(row, self.ids[item], base + a, base + b, d) for (row, item), (d, a, b) in sorted(best.items())]
+
+
+def _blank(data: np.ndarray, at: int, begin: int, end: int) -> bool:
+    """Whether byte `at` is white space or outside the text."""
+    return not begin <= at < end or data[at] in b" \t\n\x0b\x0c\r"
+
+
+#: The last index that this worker built, by the name of its block.
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, items: list, p: Leaks) -> Index:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(items, p)
+    return _built[name]
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str | None]]]:
     block, held = [], 0
     for r in benchmark.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         block.append((r[0], r[1]))
-        held += len(r[1] or "")
+        held += len((r[1] or "").encode())
         if held >= limit:
             yield block
             block, held = [], 0
@@ -312,23 +306,23 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", p: Leaks = Leaks()) -> DataFrame:
     """One row per document and item that it holds: id, item, start and end (code points) and distance (bytes)."""
-    kinds = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start long, end long, distance long"
+    kinds = df.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = f"`{id_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, start long, end long, distance long"
+    item_type = to_arrow_type(kinds[1])
     docs = df.select(F.col(id_col), F.col(text_col))
     parts = []
     for block in _blocks(benchmark, item_col, item_text_col, p.block_bytes):
-        shared = df.sparkSession.sparkContext.broadcast(block)
+        shared, name = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, p)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, p)
             for batch in batches:
                 raw, offs = text_buffers(batch.column(1))
-                lead = (raw & 0xC0) != 0x80
                 found = index.matches(raw, offs)
-                points = lambda r, at: int(lead[offs[r] : at].sum())  # noqa: B023,E731
+                points = lambda r, at: int(np.count_nonzero((raw[offs[r] : at] & 0xC0) != 0x80))  # noqa: B023,E731
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 columns = [pa.array(list(x), pa.int64()) for x in zip(*((points(r, a), points(r, b), d) for r, _, a, b, d in found))] or [pa.array([], pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64() if kinds[1] == "bigint" else None), *columns], [id_col, item_col, "start", "end", "distance"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], item_type), *columns], [id_col, item_col, "start", "end", "distance"])
 
         parts.append(docs.mapInArrow(run, schema))
     out = parts[0] if parts else df.sparkSession.createDataFrame([], schema)

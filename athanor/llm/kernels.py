@@ -68,6 +68,15 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+def word_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The first bytes of the words of `data`, whose rows begin at `begins`."""
+    start = ~_SPACE[data]
+    inner = np.zeros(len(data), bool)
+    inner[1:] = start[:-1]
+    inner[begins[begins < len(data)]] = False
+    return np.flatnonzero(start & ~inner)
+
+
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, row offsets into them) of the rows whose bytes lie at `offs` in `raw`."""
     return placed_words(raw, offs)[:2]

@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from athanor.llm.audio import Audio, audio_digests, audio_patches, resample, segments, tensor_table, wav_bytes, wav_samples
 from athanor.llm.components import components
-from athanor.llm.decontamination import edit_search, edit_span, find_leaks
+from athanor.llm.decontamination import Index, Leaks, edit_search, edit_span, find_leaks
+from athanor.llm.kernels import text_buffers
 from athanor.llm.near_duplicates import NearDup, near_duplicate_classes
 from athanor.llm.scratch import Scratch
 from athanor.llm.secrets import ACCOUNT, ADDRESS, RANDOM, SECTION, _looks_random, linked_spans, redact_secrets, scan_secrets, secret_digests, strong_spans
@@ -138,6 +140,59 @@ def test_copies_without_an_intact_word_pair_are_found(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+def _edited(rng, text, share, kind):
+    chars = list(text)
+    if kind == "even":
+        return "".join(rng.choice("qxz") if i % share == share - 1 else c for i, c in enumerate(chars))
+    for _ in range(len(chars) * share // 100):
+        k = 0 if kind == "replaced" else rng.randrange(3)
+        at = rng.randrange(len(chars))
+        chars[at : at + (k < 2)] = [] if k == 1 else [rng.choice("abcdefghij ")]
+    return "".join(chars)
+
+
+def test_recall_of_copies_at_the_edit_limit():
+    rng = random.Random(12)
+    items = [(i, _words(rng, rng.choice((20, 30, 50)), "abcdefghijklmnop")) for i in range(60)]
+    index = Index(items, Leaks())
+    for share, kind in ((6, "any"), (10, "any"), (14, "any"), (18, "any"), (20, "any"), (20, "replaced"), (8, "even"), (6, "even")):
+        docs = [f"{_words(rng, 30)} {_edited(rng, t, share, kind)} {_words(rng, 30)}" for _, t in items for _ in range(3)]
+        raw, offs = text_buffers(pa.array(docs))
+        got = {(r, i) for r, i, *_ in index.matches(raw, offs)}
+        true = {(k, k // 3) for k, d in enumerate(docs) if edit_search(items[k // 3][1].encode(), d.encode())[0] <= len(items[k // 3][1]) * 20 // 100}
+        assert len(true & got) >= (0.93 if kind == "even" else 0.97) * len(true), (share, kind)
+
+
+def test_matches_are_exact_substrings_of_least_distance():
+    rng = random.Random(13)
+    items = [(i, _words(rng, 25, "abcdefgh")) for i in range(10)]
+    docs = [f"{_words(rng, 9)} {_edited(rng, t, 8, 'any')} {_words(rng, 9)}" for _, t in items]
+    raw, offs = text_buffers(pa.array(docs))
+    for row, item, a, b, d in Index(items, Leaks()).matches(raw, offs):
+        inside = raw[a:b].tobytes()
+        assert offs[row] <= a <= b <= offs[row + 1] and _edit(items[item][1].encode(), inside) == d == edit_search(items[item][1].encode(), docs[row].encode())[0]
+
+
+def test_short_items_and_batches_without_a_match(spark):
+    items = spark.createDataFrame([("a", "one"), ("b", "a short item of words"), ("c", "nineteen bytes here"), ("d", "tiny text"), ("e", "nothing like it in any of these documents, whatever their length may be")], "item_id string, text string")
+    rows = [(1, "bone onerous ones"), (2, "ONE"), (3, "this is a shirt item of words"), (4, "some nineteen bytes hare end"), (5, "a tinytext"), (6, None), (7, "one")]
+    got = {(r.doc_id, r.item_id, r.distance) for r in find_leaks(spark.createDataFrame(rows, "doc_id int, text string"), items).collect()}
+    assert got == {(2, "a", 0), (7, "a", 0), (3, "b", 1), (4, "c", 1), (5, "d", 1)}
+    clean = spark.createDataFrame([(1, "not a word of that")], "doc_id long, text string")
+    assert find_leaks(clean, items.filter("item_id = 'e'")).count() == 0
+    assert find_leaks(clean, items.filter("false")).count() == 0
+
+
+def test_blocks_and_slices_change_nothing(spark):
+    rng = random.Random(14)
+    items = [(i, _words(rng, 20, "abcdefghijklmnop")) for i in range(12)]
+    rows = [(k, f"{_words(rng, 20)} {items[k % 12][1]} {_words(rng, 200)}") for k in range(24)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, find_leaks(docs, bench).collect()))
+    assert [(r[0], r[1]) for r in want] == [(k, k % 12) for k in range(24)]
+    assert sorted(map(tuple, find_leaks(docs, bench, p=Leaks(block_bytes=300, slice_bytes=100)).collect())) == want
+
+
 def test_strong_spans_follow_the_patterns(spark):
     texts = ["password = 'hunter2secret' and TOKEN:abc", "key AKIA" + "Z" * 12 + " AKIAshort " + "a1" * 20, "api_key=\"x+/_.=-y\" é" * 3, "ſecret=longenough kelvin toKen=longenough", "passwd token=secret=abcdefgh", None]
     for r, text in zip(secret_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect(), texts):
