@@ -1,27 +1,32 @@
 """Language-model scoring by deleted interpolation.
 
-    p(w | h) = a_b * c(h w) / c(h) + b_b * c(w) / N + c_b * 1 / (V + 1)
+    p(w | h) = sum over m of a_bm * c(h_m w) / c(h_m) + b_b * c(w) / N + c_b * 1 / (V + 1)
 
-The mixture weights depend on the bucket b of the context's frequency and are learned by expectation-
-maximisation on held-out counts: one fold of the learning documents is deleted from the counts and its
-n-grams are predicted from the rest.  The final counts are those of all learning documents.
+where h_m is the last m - 1 words, m from 2 to `order`.  The mixture weights depend on the bucket b: the longest context
+that was seen and the bucket of its frequency.  They are learned by expectation-maximisation on held-out counts: one fold
+of the learning documents is deleted from the counts and its n-grams are predicted from the rest.  The final counts are
+those of all learning documents.
 
-Layout.  Texts are read in chunks of a few million tokens.  A chunk lists its distinct words and word pairs
-as sorted hashes with their counts, cut into ranges of the hash space; a range meets those of all other
+Layout.  Texts are read in chunks of a few million tokens.  A chunk lists its distinct words and n-grams
+as sorted hashes with their counts, cut into at most `fan` ranges of the hash space; a range meets those of all other
 chunks, and a chunk gets back the totals of what other chunks hold too (what it alone holds it knows).
 Both ways carry distinct n-grams of chunks, not occurrences, and every task handles a chunk or a range of
-bounded size.  Ranges are as many as the corpus needs.  What goes back is in the chunk's own order, so it needs no
-hashes.
-
-Words are told apart by 64-bit hashes, pairs by as many bits as the corpus needs (48 at least).  Cases: null text counts as empty and is one end token; a null id
-belongs to the fold of the empty string; repeated rows count as often as they occur; unseen words have the
-uniform share; an empty table gives an empty result.
+bounded size.  A corpus that needs more ranges takes more levels: as many chunks as there are ranges are merged in each
+range, which makes a larger chunk of about the same size for a part of the hash space, and that is cut again.  So rows
+and bytes of a level are in proportion to the corpus, and levels grow with its logarithm to the base `fan`.  What goes
+back is in the chunk's own order, so it needs no hashes.
+
+Words are told apart by 64-bit hashes, n-grams by `hash_bits`, whatever the corpus's size.  Ids may have any type.  Cases:
+null text counts as empty and is one end token; a null id belongs to the fold of the empty string; repeated rows count as
+often as they occur; unseen words have the uniform share; an empty table gives an empty result; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
-import zlib
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .kernels import U64, mix64, slices, text_buffers, trim, words
 from .scratch import Scratch, release
@@ -43,14 +49,24 @@ PAIR = U64(0xC2B2AE3D27D4EB4F)
 class Interpolation:
     """Folds by crc32 of the id as text: `score_fold` is not learned from, `deleted_fold` is held out for EM."""
 
+    order: int = 2
     folds: int = 5
     score_fold: int = 1
     deleted_fold: int = 2
     buckets: int = 24
     rounds: int = 15
     least: float = 1e-4
+    hash_bits: int = 56
     chunk_tokens: int = 1_250_000
     range_entries: int = 1_000_000
+    #: Ranges that a chunk is cut into at most, and about as many chunks are merged to a larger one.
+    fan: int = 1024
+
+    def fans(self, size: int) -> list[int]:
+        """Cuts of each level for a corpus of so many bytes."""
+        ranges = max(1, math.ceil(size / 6 / self.range_entries))
+        levels = max(1, math.ceil(math.log(ranges) / math.log(self.fan) - 1e-9))
+        return [min(self.fan, math.ceil(ranges ** (1 / levels)))] * levels
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -73,247 +89,409 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, U64), dtype=U64)
 
 
-def _shift(size: int) -> int:
-    """How many low bits of a pair's hash are given up: the rest tells apart the pairs of a corpus of `size` bytes
-    but for a handful of collisions, and takes less room."""
-    return 64 - min(64, max(48, 2 * math.ceil(math.log2(max(size, 1) / 6 + 1)) - 4))
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Counts by their width in bytes and their planes."""
+    wide = len(x) and int(x.max()) >= 1 << 32
+    return (b"8" if wide else b"4") + _pack(x.astype(np.uint64 if wide else np.uint32))
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return _unpack(data[1:], np.uint64 if data[:1] == b"8" else np.uint32).astype(np.int64)
 
 
-def fold(id_: object, folds: int) -> int:
-    return zlib.crc32(("" if id_ is None else str(id_)).encode()) % folds
+def _pack_column(x: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([x], ["x"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
 
-def _grams(tokens: np.ndarray, first: np.ndarray, shift: int) -> np.ndarray:
-    """Pair hashes of each token with the one before it, without their low bits; a text begins after an end."""
-    before = np.concatenate(([END], tokens[:-1]))
-    before[first] = END
-    return mix64(before * PAIR + tokens) >> U64(shift)
+def _unpack_column(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()["x"].combine_chunks()
 
 
-def _entries(local: np.ndarray, vocabulary: np.ndarray, lengths: np.ndarray, folds: np.ndarray, p: Interpolation, shift: int):
-    """The chunk's distinct pairs, each token's place among them, and the counts (learning, deleted) of pairs and words."""
+def _grams(tokens: np.ndarray, first: np.ndarray, p: Interpolation) -> Iterator[np.ndarray]:
+    """For each order from 2 on the hash of each token with those before it; a text begins after ends."""
+    whole, edge = tokens, END
+    for _ in range(2, p.order + 1):
+        before = np.concatenate(([edge], whole[:-1]))
+        before[first] = edge
+        whole, edge = mix64(before * PAIR + tokens), mix64(np.array([edge * PAIR + END]))[0]
+        yield whole >> U64(64 - p.hash_bits)
+
+
+def _entries(local: np.ndarray, vocabulary: np.ndarray, lengths: np.ndarray, folds: np.ndarray, p: Interpolation):
+    """The counts (learning, deleted) of the chunk's words, and per order its distinct n-grams, each token's place among
+    them, and their counts."""
     learn = np.repeat(folds != p.score_fold, lengths)
     deleted = np.repeat(folds == p.deleted_fold, lengths)
-    pairs, place = np.unique(_grams(vocabulary[local], np.cumsum(lengths) - lengths, shift), return_inverse=True)
     count = lambda at, n: np.stack([np.bincount(at, weights=w, minlength=n).astype(np.uint32) for w in (learn, deleted)])
-    return pairs, place, count(place, len(pairs)), count(local, len(vocabulary))
+    grams = []
+    for hashes in _grams(vocabulary[local], np.cumsum(lengths) - lengths, p):
+        distinct, place = np.unique(hashes, return_inverse=True)
+        grams.append((distinct, place, count(place, len(distinct))))
+    return count(local, len(vocabulary)), grams
+
 
+def _cuts(hashes: np.ndarray, first: int, last: int, ranges: int, bits: int) -> list[int]:
+    """Where ranges first .. last of `ranges` equal ones begin and end in sorted hashes of `bits` bits."""
+    bounds = np.array([(k << bits) // ranges for k in range(first + 1, last)], dtype=U64)
+    return [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
 
-def _chunks(df: DataFrame, p: Interpolation, ranges: int, shift: int) -> DataFrame:
-    """Rows of kind d (a chunk's documents) and e (one hash range of a chunk's words and pairs)."""
 
-    def emit(chunk: int, tokens: list, lengths: list, ids: list) -> Iterator[dict]:
+def _ranged(chunk: int, lists: list[tuple[np.ndarray, np.ndarray]], first: int, last: int, ranges: int, p: Interpolation) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(chunk, range, blobs) of the ranges first .. last of sorted (hashes, counts), words and then each order."""
+    cuts = [_cuts(x, first, last, ranges, p.hash_bits if k else 64) for k, (x, _) in enumerate(lists)]
+    for b in range(last - first):
+        if any(c[b + 1] > c[b] for c in cuts):
+            blobs = []
+            for c, (hashes, counts) in zip(cuts, lists):
+                i, j = c[b], c[b + 1]
+                blobs += [_pack_sorted(hashes[i:j]), *map(_pack_counts, counts[:, i:j])]
+            yield chunk, first + b, blobs
+
+
+def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
+    """Rows of kind d (a chunk's documents) and e (one hash range of a chunk's words and n-grams)."""
+
+    def emit(chunk: int, tokens: list, lengths: list, folds: list, ids: list) -> Iterator[pa.RecordBatch]:
         vocabulary, local, seen = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
         order = np.argsort(-seen, kind="stable")  # frequent words get small numbers, which compress
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        local, sizes = rank[local], np.concatenate(lengths)
+        local, sizes, fold = rank[local], np.concatenate(lengths), np.concatenate(folds)
         vocabulary = vocabulary[order]
-        folds = np.array([fold(x, p.folds) for x in ids], np.uint8)
-        null = np.array([x is None for x in ids], np.uint8)
-        values = np.array([0 if x is None else x for x in ids], np.int64)
         back = np.argsort(vocabulary)
-        yield {"kind": "d", "chunk": chunk, "bucket": 0, "n": len(local), "p": [_pack(values), _pack(null), _pack(sizes.astype(np.uint32)), _pack(local.astype(np.uint32)), _pack_sorted(vocabulary[back]), _pack(back.astype(np.uint32))]}
-        pairs, _, pair_counts, word_counts = _entries(local, vocabulary, sizes, folds, p, shift)
-        words_, word_counts = vocabulary[back], word_counts[:, back]
-        cuts = [[0, *np.searchsorted(x, _bounds(ranges) >> U64(by)).tolist(), len(x)] for x, by in ((words_, 0), (pairs, shift))]
-        for b in range(ranges):
-            (i, j), (k, m) = ((c[b], c[b + 1]) for c in cuts)
-            if j > i or m > k:
-                yield {"kind": "e", "chunk": chunk, "bucket": b, "n": j - i + m - k, "p": [_pack_sorted(words_[i:j]), *map(_pack, word_counts[:, i:j]), _pack_sorted(pairs[k:m]), *map(_pack, pair_counts[:, k:m])]}
+        documents = [_pack_column(pa.concat_arrays(ids)), _pack(fold), _pack(sizes.astype(np.uint32)), _pack(local.astype(np.uint32)), _pack_sorted(vocabulary[back]), _pack(back.astype(np.uint32))]
+        word_counts, grams = _entries(local, vocabulary, sizes, fold, p)
+        lists = [(vocabulary[back], word_counts[:, back]), *((x, c) for x, _, c in grams)]
+        del grams, local
+        for kind, rows in (("d", [(chunk, 0, documents)]), ("e", _ranged(chunk, lists, 0, ranges, ranges, p))):
+            for row in rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (kind, *row)))], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, 0
-        tokens, lengths, ids = [], [], []
+        tokens, lengths, folds, ids = [], [], [], []
         for batch in batches:
-            raw, offs = text_buffers(batch.column(1))
-            own = batch.column(0).to_pylist()
+            raw, offs = text_buffers(batch.column(2))
+            fold = batch.column(1).to_numpy().astype(np.uint8)
             for i, j in slices(offs):
                 hashes, rows = words(raw, offs[i : j + 1])
                 sizes = np.diff(rows)
-                at = np.repeat(np.cumsum(sizes), 1)
-                tokens.append(np.insert(hashes & ~U64(1), at, END))
+                tokens.append(np.insert(hashes & ~U64(1), np.cumsum(sizes), END))
                 lengths.append(sizes + 1)
-                ids += own[i:j]
+                folds.append(fold[i:j])
+                ids.append(batch.column(0).slice(i, j - i))
                 held += len(tokens[-1])
                 if held >= p.chunk_tokens:
-                    for row in emit(chunk, tokens, lengths, ids):
-                        yield pa.RecordBatch.from_pylist([row], schema)
+                    yield from emit(chunk, tokens, lengths, folds, ids)
                     chunk, held = chunk + 1, 0
-                    tokens, lengths, ids = [], [], []
+                    tokens, lengths, folds, ids = [], [], [], []
                     trim()
         if ids:
-            for row in emit(chunk, tokens, lengths, ids):
-                yield pa.RecordBatch.from_pylist([row], schema)
-        tokens, lengths, ids = [], [], []
+            yield from emit(chunk, tokens, lengths, folds, ids)
+        tokens, lengths, folds, ids = [], [], [], []
         trim()
 
-    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("p", pa.list_(pa.binary()))])
-    return df.mapInArrow(run, "kind string, chunk long, bucket long, n long, p array<binary>")
-
-
-def _bounds(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=U64)
+    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("p", pa.list_(pa.binary()))])
+    return df.mapInArrow(run, "kind string, chunk long, bucket long, p array<binary>")
 
 
 TOTALS = ("tokens", "kinds", "tokens_left", "kinds_left")
 
 
-def _summed(hashes: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct hashes' sums; and for each entry, as given, its place among them and whether another chunk holds it."""
+def _summed(hashes: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct hashes and their sums; and for each entry, as given, its place among them and whether another part holds it."""
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
-    new = np.concatenate(([True], every[order][1:] != every[order][:-1])) if len(every) else np.zeros(0, bool)
+    ordered = every[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(every) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     sums = [np.add.reduceat(np.concatenate(c).astype(np.int64)[order], first) if len(every) else np.zeros(0, np.int64) for c in counts]
     place = np.empty(len(every), np.int64)
     place[order] = np.cumsum(new) - 1
-    return sums, place, np.bincount(place, minlength=len(first))[place] > 1
-
-
-def _totals(table: pa.Table) -> pa.Table:
-    """One hash range: its sums (kind s), and for every chunk (kind r) which of its n-grams others hold too, in the
-    chunk's own order, with their totals."""
-    parts = [[x.as_py() for x in row] for row in table["p"]]
-    back: list[list] = [[] for _ in parts]
-    stats: list[int] = []
-    for at in (0, 3):  # words, then pairs
-        hashes = [_unpack_sorted(x[at]) for x in parts]
-        sums, place, shared = _summed(hashes, [[_unpack(x[at + k], np.uint32) for x in parts] for k in (1, 2)])
-        if not at:
-            left = sums[0] - sums[1]
-            stats = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(left.sum()), int((left > 0).sum())]
-        end = 0
-        for row, own in zip(back, hashes):
-            begin, end = end, end + len(own)
-            mask, where = shared[begin:end], place[begin:end]
-            row += [_pack(np.packbits(mask)), *(_pack(s[where[mask]]) for s in sums)]
-    rows = [{"kind": "s", "chunk": -1, "bucket": -1, "p": None, "s": stats}]
-    rows += [{"kind": "r", "chunk": c, "bucket": b, "p": x, "s": None} for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), back)]
-    return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("p", pa.list_(pa.binary())), ("s", pa.list_(pa.int64()))]))
+    return ordered[first], sums, place, np.bincount(place, minlength=len(first))[place] > 1
+
+
+def _parts(rows: list[list[bytes]], order: int) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """The hashes and both counts that each row has of one order."""
+    return [_unpack_sorted(x[3 * order]) for x in rows], [[_unpack_counts(x[3 * order + k]) for x in rows] for k in (1, 2)]
+
+
+def _returned(hashes: list[np.ndarray], sums: list[np.ndarray], place: np.ndarray, shared: np.ndarray) -> Iterator[list[bytes]]:
+    """For each part which of its entries others hold too, in its own order, and their totals."""
+    end = 0
+    for own in hashes:
+        begin, end = end, end + len(own)
+        mask, where = shared[begin:end], place[begin:end]
+        yield [_pack(np.packbits(mask)), *(_pack_counts(s[where[mask]]) for s in sums)]
+
+
+def _apply(counts: np.ndarray, blobs: list[bytes], begin: int, end: int, names: np.ndarray | None = None) -> np.ndarray:
+    """Set the totals that came back for entries begin .. end, and return which entries those are."""
+    own = begin + np.flatnonzero(np.unpackbits(_unpack(blobs[0], np.uint8), count=end - begin)) if end > begin else np.zeros(0, np.int64)
+    if names is not None:
+        own = names[own]
+    counts[:, own] = np.stack([_unpack_counts(x) for x in blobs[1:3]])
+    return own
+
+
+E_SCHEMA = "chunk long, bucket long, p array<binary>"
+
+
+def _blobs(table: pa.Table) -> list[list[bytes]]:
+    return [x.as_py() for x in table["p"]]
+
+
+def _table(rows: list[tuple[int, int, list[bytes]]], stats: list[int] | None = None) -> pa.Table:
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.binary())))]
+    out = pa.Table.from_arrays(columns, ["chunk", "bucket", "p"])
+    if stats is None:
+        return out
+    held = out.append_column("s", pa.nulls(len(rows), pa.list_(pa.int64())))
+    return pa.concat_tables([held, pa.Table.from_arrays([pa.nulls(1, t) for t in held.schema.types[:3]] + [pa.array([stats], pa.list_(pa.int64()))], schema=held.schema)])
+
+
+def _totals(p: Interpolation):
+    """One hash range: for every chunk what others hold too, and a row of the range's sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, back = _blobs(table), [[] for _ in range(table.num_rows)]
+        stats: list[int] = []
+        for order in range(p.order):
+            hashes, counts = _parts(rows, order)
+            _, sums, place, shared = _summed(hashes, counts)
+            if not order:
+                left = sums[0] - sums[1]
+                stats = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(left.sum()), int((left > 0).sum())]
+            for row, own in zip(back, _returned(hashes, sums, place, shared)):
+                row += own
+        return _table(list(zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), back)), stats)
+
+    return run
+
+
+def _merged(p: Interpolation, groups: int, fan: int, ranges: int):
+    """Chunks of one range and group: one larger chunk, cut into `fan` of the next level's `ranges` ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, group = table["bucket"][0].as_py(), table["group"][0].as_py()
+        rows = _blobs(table)
+        lists = []
+        for order in range(p.order):
+            hashes, sums, _, _ = _summed(*_parts(rows, order))
+            lists.append((hashes, np.stack(sums)))
+        return _table(list(_ranged(bucket * groups + group, lists, bucket * fan, (bucket + 1) * fan, ranges, p)))
+
+    return run
+
+
+def _shared_out(p: Interpolation, fan: int, ranges: int):
+    """Hand what came back for the larger chunk to the chunks that it was merged from."""
+
+    def run(table: pa.Table, own: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table([])
+        bucket, rows, returned = table["bucket"][0].as_py(), _blobs(table), _blobs(own)
+        back: list[list] = [[] for _ in rows]
+        for order in range(p.order):
+            hashes, counts = _parts(rows, order)
+            distinct, sums, place, shared = _summed(hashes, counts)
+            totals, elsewhere = np.stack(sums), np.zeros(len(distinct), bool)
+            cuts = _cuts(distinct, bucket * fan, (bucket + 1) * fan, ranges, p.hash_bits if order else 64)
+            for b, blobs in zip(own["bucket"].to_pylist(), returned):
+                at = b - bucket * fan
+                elsewhere[_apply(totals, blobs[3 * order : 3 * order + 3], cuts[at], cuts[at + 1])] = True
+            for row, part in zip(back, _returned(hashes, list(totals), place, shared | elsewhere[place])):
+                row += part
+        return _table(list(zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), back)))
+
+    return run
+
+
+def _resolved_entries(entries: DataFrame, chunks: int, fans: list[int], p: Interpolation, scratch: Scratch, before: int = 1) -> tuple[DataFrame, dict[str, int]]:
+    """What comes back for each chunk and range of `entries`, and the corpus's sums.  `before` ranges of the level above
+    were cut into fans[0] each; `chunks` is about how many chunks there are in each of those."""
+    ranges, name = before * fans[0], f"{len(fans)}"
+    if len(fans) == 1:
+        found = scratch.write(entries.groupBy("bucket").applyInArrow(_totals(p), f"{E_SCHEMA}, s array<long>"), f"totals-{name}")
+        sums = {k: v or 0 for k, v in zip(TOTALS, found.agg(*(F.sum(F.col("s")[i]) for i in range(len(TOTALS)))).first())}
+        return found.filter("s is null").select("chunk", "bucket", "p"), sums
+    groups = max(1, math.ceil(chunks / fans[0]))
+    grouped = entries.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    merged = scratch.write(grouped.groupBy("bucket", "group").applyInArrow(_merged(p, groups, fans[1], ranges * fans[1]), E_SCHEMA), f"merged-{name}")
+    above, sums = _resolved_entries(merged, groups, fans[1:], p, scratch, ranges)
+    above = above.select(F.expr(f"chunk div {groups}").alias("up"), F.col("chunk").alias("larger"), F.pmod("chunk", F.lit(groups)).alias("group"), "bucket", "p")
+    above = above.select("larger", "group", F.col("up").alias("range"), "bucket", "p")
+    back = grouped.groupBy("bucket", "group").cogroup(above.groupBy("range", "group")).applyInArrow(_shared_out(p, fans[1], ranges * fans[1]), E_SCHEMA)
+    return scratch.write(back, f"back-{name}"), sums
 
 
 @dataclass
 class Resolved:
-    ids: list
+    ids: pa.Array
     folds: np.ndarray
     lengths: np.ndarray
-    learned: np.ndarray  # per token: counts of (pair, context, word) over all learning texts
+    learned: np.ndarray  # per token: per order, longest first, the counts of n-gram and context, and last the word's, over all learning texts
     left: np.ndarray  # the same without the deleted fold
 
 
-def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: int, shift: int) -> Resolved:
+def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: int) -> Resolved:
     """A chunk's tokens with the counts of the whole corpus."""
-    values, null, sizes, local, vocabulary, back = (x.as_py() for x in documents["p"][0])
+    ids, folds, sizes, local, vocabulary, back = (x.as_py() for x in documents["p"][0])
     lengths, local, back = _unpack(sizes, np.uint32).astype(np.int64), _unpack(local, np.uint32), _unpack(back, np.uint32)
-    in_order = _unpack_sorted(vocabulary)
+    in_order, folds = _unpack_sorted(vocabulary), _unpack(folds, np.uint8)
     words_ = np.empty_like(in_order)
     words_[back] = in_order
-    ids = [None if n else v for v, n in zip(_unpack(values, np.int64).tolist(), _unpack(null, np.uint8).tolist())]
-    folds = np.array([fold(x, p.folds) for x in ids], np.uint8)
-    pairs, place, pair_counts, word_counts = _entries(local, words_, lengths, folds, p, shift)
-    pair_counts, word_counts = pair_counts.astype(np.int64), word_counts.astype(np.int64)
-    cuts = [[0, *np.searchsorted(x, _bounds(ranges) >> U64(by)).tolist(), len(x)] for x, by in ((in_order, 0), (pairs, shift))]
+    word_counts, grams = _entries(local, words_, lengths, folds, p)
+    counts = [word_counts.astype(np.int64), *(c.astype(np.int64) for _, _, c in grams)]
+    hashes, places = [in_order, *(x for x, _, _ in grams)], [local, *(x for _, x, _ in grams)]
+    del word_counts, grams
+    cuts = [_cuts(x, 0, ranges, ranges, p.hash_bits if k else 64) for k, x in enumerate(hashes)]
     for b, row in zip(totals["bucket"].to_pylist(), totals["p"]):
-        blobs = [x.as_py() for x in row]
-        for c, counts, at, names in ((cuts[0], word_counts, 0, back), (cuts[1], pair_counts, 3, None)):
-            i, j = c[b], c[b + 1]
-            own = i + np.flatnonzero(np.unpackbits(_unpack(blobs[at], np.uint8), count=j - i)) if j > i else np.zeros(0, np.int64)
-            counts[:, own if names is None else names[own]] = np.stack([_unpack(x, np.int64) for x in blobs[at + 1 : at + 3]])
-    end = int(back[np.searchsorted(in_order, END)])
-    before = np.concatenate(([end], local[:-1])).astype(np.int64)
-    before[np.cumsum(lengths) - lengths] = end
-    learned = np.stack((pair_counts[0][place], word_counts[0][before], word_counts[0][local]))
-    gone = np.stack((pair_counts[1][place], word_counts[1][before], word_counts[1][local]))
-    return Resolved(ids, folds, lengths, learned, learned - gone)
-
-
-def _bucket(context: np.ndarray, buckets: int) -> np.ndarray:
-    return np.minimum(np.frexp(context.astype(np.float64))[1], buckets - 1)
+        blobs = row.as_py()
+        for k, (c, held) in enumerate(zip(cuts, counts)):
+            _apply(held, blobs[3 * k : 3 * k + 3], c[b], c[b + 1], None if k else back)
+    del hashes
+    first, end = np.cumsum(lengths) - lengths, int(back[np.searchsorted(in_order, END)])
+    columns: list[list[np.ndarray]] = [[], []]
+    for order in range(p.order - 1, 0, -1):
+        for column, k in zip(columns, range(2)):
+            below = counts[order - 1][k][places[order - 1]]
+            context = np.concatenate(([0], below[:-1]))
+            context[first] = counts[0][k][end]  # every text begins after an end
+            column += [counts[order][k][places[order]], context]
+    for column, k in zip(columns, range(2)):
+        column.append(counts[0][k][places[0]])
+    learned = np.stack(columns[0])
+    return Resolved(_unpack_column(ids), folds, lengths, learned, learned - np.stack(columns[1]))
+
+
+def _bucket(counts: np.ndarray, p: Interpolation) -> np.ndarray:
+    """The bucket of the longest context seen: `buckets` for each order, 0 where none was seen."""
+    out = np.zeros(counts.shape[1], np.int64)
+    for k, order in enumerate(range(p.order, 1, -1)):
+        context = counts[2 * k + 1]
+        own = (order - 2) * p.buckets + np.minimum(np.frexp(context.astype(np.float64))[1], p.buckets - 1)
+        out = np.where((out == 0) & (context > 0), own, out)
+    return out
+
+
+def _event_columns(p: Interpolation) -> list[str]:
+    return [f"{x}{m}" for m in range(p.order, 1, -1) for x in ("gram", "context")] + ["word", "bucket"]
 
 
 def learn_weights(events: DataFrame, tokens: int, kinds: int, p: Interpolation) -> list[list[float]]:
-    """Expectation-maximisation over events (pair, context, word, bucket, n): per bucket the three weights."""
-    weights = [[1 / 3] * 3 for _ in range(p.buckets)]
+    """Expectation-maximisation over events (counts, bucket, n): per bucket the weights of the orders, longest first, of
+    the word's share and of the uniform share."""
+    parts = p.order + 1
+    weights = [[1 / parts] * parts for _ in range(max(1, p.order - 1) * p.buckets)]
     for _ in range(p.rounds):
         share = lambda k: F.element_at(F.array(*(F.lit(float(w[k])) for w in weights)), (F.col("bucket") + 1).cast("int"))  # noqa: B023,E731
-        pair = share(0) * F.when(F.col("context") > 0, F.col("pair") / F.col("context")).otherwise(0.0)
-        word, flat = share(1) * F.col("word") / F.lit(max(tokens, 1)), share(2) / F.lit(kinds + 1)
-        total = pair + word + flat
-        sums = events.groupBy("bucket").agg(*(F.sum(F.col("n") * x / total).alias(f"w{k}") for k, x in enumerate((pair, word, flat)))).collect()
+        terms = [share(k) * F.when(F.col(f"context{m}") > 0, F.col(f"gram{m}") / F.col(f"context{m}")).otherwise(0.0) for k, m in enumerate(range(p.order, 1, -1))]
+        terms += [share(parts - 2) * F.col("word") / F.lit(max(tokens, 1)), share(parts - 1) / F.lit(kinds + 1)]
+        total = sum(terms[1:], terms[0])
+        sums = events.groupBy("bucket").agg(*(F.sum(F.col("n") * x / total).alias(f"w{k}") for k, x in enumerate(terms))).collect()
         for r in sums:
-            own = [max(r[f"w{k}"] or 0.0, 0.0) for k in range(3)]
+            own = [max(r[f"w{k}"] or 0.0, 0.0) for k in range(parts)]
             whole = sum(own) or 1.0
             own = [max(x / whole, p.least) for x in own]
             weights[r["bucket"]] = [x / sum(own) for x in own]
     return weights
 
 
+#: Settings of a write of large rows: both kinds of rows at once, instead of sorting them; whole texts go in.
+WRITING = {"spark.sql.maxConcurrentOutputFileWriters": "2", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_lock, _held = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The session with those settings; calls that overlap share them, and the last one puts back what was there."""
+    key = id(spark)
+    with _lock:
+        users, old = _held.get(key, (0, None))
+        if not users:
+            old = {k: spark.conf.get(k) for k in WRITING}
+            for k, v in WRITING.items():
+                spark.conf.set(k, v)
+        _held[key] = users + 1, old
+    try:
+        yield
+    finally:
+        with _lock:
+            users, old = _held.pop(key)
+            if users > 1:
+                _held[key] = users - 1, old
+            else:
+                for k, v in old.items():
+                    spark.conf.set(k, v)
+
+
 def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Interpolation = Interpolation()) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "lm")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own_fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(p.folds))
+    docs = df.select(F.col(id_col).alias("id"), own_fold.alias("fold"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges, shift = max(1, math.ceil(size / 6 / p.range_entries)), _shift(size)
-    names = {"kind": "string", "chunk": "long", "bucket": "long", "n": "long", "p": "array<binary>"}
-    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # both kinds at once, instead of sorting large rows
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts go in
-    try:
-        _chunks(docs, p, ranges, shift).write.partitionBy("kind").option("compression", "uncompressed").parquet(scratch.path("chunks"))
-    finally:
-        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", writers)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    read = lambda kind: spark.read.schema(", ".join(f"{k} {v}" for k, v in names.items() if k != "kind")).parquet(f"{scratch.path('chunks')}/kind={kind}")
+    id_type = df.schema[id_col].dataType
+    schema = f"`{id_col}` {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not size and not docs.take(1):
-        return spark.createDataFrame([], _score_schema(id_col, df))
-    found = scratch.write(read("e").groupBy("bucket").applyInArrow(_totals, "kind string, chunk long, bucket long, p array<binary>, s array<long>"), "totals")
+        return spark.createDataFrame([], schema)
+    fans = p.fans(size)
+    ranges = fans[0]
+    with _writing(spark):
+        _chunks(docs, p, ranges).write.partitionBy("kind").option("compression", "uncompressed").parquet(scratch.path("chunks"))
+    read = lambda kind: spark.read.schema(E_SCHEMA).parquet(f"{scratch.path('chunks')}/kind={kind}")
+    back, totals = _resolved_entries(read("e"), math.ceil(size / 6 / p.chunk_tokens), fans, p, scratch)
     scratch.drop("chunks/kind=e")
+    for k in range(len(fans), 1, -1):
+        scratch.drop(f"merged-{k}")
+        scratch.drop(f"back-{k - 1}" if k > 2 else "totals-1")
     release(spark)
-    totals = {k: v or 0 for k, v in zip(TOTALS, found.filter("kind = 's'").agg(*(F.sum(F.col("s")[i]) for i in range(4))).first())}
-    chunk, back = read("d").select("chunk", "p"), found.filter("kind = 'r'").select("chunk", "bucket", "p")
+    chunk = read("d").select("chunk", "p")
+    columns = _event_columns(p)
 
     def events(documents: pa.Table, own: pa.Table) -> pa.Table:
         if not documents.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 5, ["pair", "context", "word", "bucket", "n"])
-        r = _resolved(documents, own, p, ranges, shift)
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * (len(columns) + 1), [*columns, "n"])
+        r = _resolved(documents, own, p, ranges)
         c = r.left[:, np.repeat(r.folds == p.deleted_fold, r.lengths)].copy()
-        bucket = _bucket(c[1], p.buckets)
-        c[1][c[0] == 0] = 0  # without the pair only the context's bucket counts
+        bucket = _bucket(c, p)
+        for k in range(0, len(c) - 1, 2):
+            c[k + 1][c[k] == 0] = 0  # without the n-gram only the context's bucket counts
         rows, n = np.unique(np.vstack((c, bucket)), axis=1, return_counts=True)
         del r, c
         trim()
-        return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(n, pa.int64())], ["pair", "context", "word", "bucket", "n"])
+        return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(n, pa.int64())], [*columns, "n"])
 
-    seen = chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(events, "pair long, context long, word long, bucket long, n long")
-    seen = scratch.write(seen.groupBy("pair", "context", "word", "bucket").agg(F.sum("n").alias("n")), "events")
+    seen = chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(events, ", ".join(f"{c} long" for c in [*columns, "n"]))
+    seen = scratch.write(seen.groupBy(*columns).agg(F.sum("n").alias("n")), "events")
     release(spark)
     weights = np.array(learn_weights(seen, totals["tokens_left"], totals["kinds_left"], p))
     tokens, kinds = totals["tokens"], totals["kinds"]
+    out_schema = pa.schema([(id_col, to_arrow_type(id_type)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def scores(documents: pa.Table, own: pa.Table) -> pa.Table:
         if not documents.num_rows:
             return out_schema.empty_table()
-        r = _resolved(documents, own, p, ranges, shift)
-        pair, context, word = r.learned
-        w = weights[_bucket(context, p.buckets)]
-        share = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
-        logs = np.log10(w[:, 0] * share + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (kinds + 1))
+        r = _resolved(documents, own, p, ranges)
+        w, word = weights[_bucket(r.learned, p)], r.learned[-1]
+        mixed = w[:, -2] * word / max(tokens, 1) + w[:, -1] / (kinds + 1)
+        for k in range(p.order - 1):
+            gram, context = r.learned[2 * k], r.learned[2 * k + 1]
+            mixed += w[:, k] * np.divide(gram, context, out=np.zeros(len(gram)), where=context > 0)
         base = np.log10((word + 0.5) / (tokens + 0.5 * (kinds + 1)))
         starts = np.cumsum(r.lengths) - r.lengths
-        sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, logs)]
-        del pair, context, word, w, share, logs, base
+        sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, np.log10(mixed))]
+        del word, w, mixed, base
         r.learned = r.left = np.zeros(0)
         trim()
         return pa.Table.from_arrays(
-            [pa.array(r.ids, pa.int64()), pa.array(r.folds == p.score_fold), pa.array(r.lengths, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(starts), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=out_schema
+            [r.ids.cast(out_schema.types[0]), pa.array(r.folds == p.score_fold), pa.array(r.lengths, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(starts), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=out_schema
         )
 
-    out_schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scores, _score_schema(id_col, df))
-
-
-def _score_schema(id_col: str, df: DataFrame) -> str:
-    return f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scores, schema)
