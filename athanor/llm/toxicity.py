@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made: one of ordinary text, its frequent words, and one that adds to the same
-content what is typical of toxic text: the pieces of words that toxic documents hold far more often than
-ordinary ones, by a likelihood ratio.  A text is cut into windows of a few words; a window's distance is the
-length it compresses to with the ordinary dictionary less that with the toxic one.  Every byte is written twice
-before compression, so that a match's fixed cost weighs less, and a fixed carrier precedes each window, so
-that short windows are coded by the same means as long ones.  The distances' shares over thresholds, their mean
-and their largest values make a score by a logistic calibration, which sets the threshold to 0.5.  How typical
-a piece must be is chosen on a part of the examples that the dictionaries have not seen.
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on toxic text.  A text is cut into windows of
+a few words; a window's gain is the length it compresses to with the ordinary dictionary less that with the toxic one.
+Windows are counted whose gain reaches each of a few thresholds, and the counts and their shares make a score by a logistic
+calibration, which weighs the thresholds and sets the last one, 0.5.
+
+Two things keep chance out of the gains.  The text that the toxic dictionary is trained on is what toxic documents
+hold significantly more often than ordinary ones, word by word: whole toxic texts are mostly ordinary, and a trainer fills its
+dictionary with that.  And the toxic coder has the ordinary content nearest, the toxic content behind it, so ordinary words
+compress alike in both.  Every byte is written twice before compression, so that a match's fixed cost weighs less.
+How significant a word must be is what gives the least loss on examples that the dictionaries have not seen.
 
 The classifier is fitted on at most `toxic_sample` and `ordinary_sample` labelled documents, those with the
-smallest hashed ids; scoring covers every window of every text.
+smallest hashed ids, and at most `sample_bytes` of them; scoring covers every window of every text.
 
 Cases: null text counts as empty and is one empty window; labels that are null are not learned from; without
 toxic or without ordinary examples every score is the learned documents' share of toxic ones (0 without any);
@@ -20,6 +22,7 @@ repeated rows have equal scores; extra columns pass by unless they have a result
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,75 +30,61 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .kernels import word_starts
+
 
 @dataclass(frozen=True)
 class Toxicity:
     window_words: int = 6
-    piece: int = 5
+    #: A word is typical of toxic documents at so many times the rate of ordinary ones, and at this likelihood ratio.
     ratio: float = 5.0
     significance: float = 20.0
-    #: Shares of the most significant piece's ratio that a piece must reach; one is chosen.
-    shares: tuple[float, ...] = (0.0, 0.02, 0.05, 0.1, 0.15)
-    ordinary_words: int = 6000
-    ordinary_bytes: int = 24_000
-    carrier: int = 64
-    level: int = 3
+    #: Shares of the most significant word's ratio that a word must reach; one is chosen.
+    shares: tuple[float, ...] = (0.1, 0.2)
+    #: Gains that a window must reach to count.
+    gains: tuple[int, ...] = (4, 6, 8, 10)
+    ordinary_bytes: int = 112_640
+    #: Twice the bytes of distinct words that the toxic dictionary takes, at most.
+    toxic_bytes: int = 1 << 17
+    level: int = 9
+    #: Doubled bytes that a match needs.
+    min_match: int = 6
     toxic_sample: int = 2000
     ordinary_sample: int = 8000
+    sample_bytes: int = 64 << 20
     #: Examples of each kind, at most, for the choice.
-    tuning: tuple[int, int] = (600, 1800)
+    tuning: tuple[int, int] = (600, 1200)
+    #: Windows of ordinary text to train on.
+    training_windows: int = 60_000
 
 
 def _lowered(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
-def _pieces(word: bytes, n: int) -> list[bytes]:
-    word = b" " + word + b" "
-    return [word[i : i + n] for i in range(len(word) - n + 1)]
+EDGE = b".,;:!?\"'()[]{}<>*#|-"
 
 
-def _counted(texts: list[bytes], n: int) -> tuple[Counter, Counter]:
-    """How often a piece occurs (a word counts 50 times a text at most), and in how many texts."""
-    times, holders = Counter(), Counter()
-    for t in texts:
-        own: Counter = Counter()
-        for w, k in Counter(t.split()).items():
-            for x in _pieces(w, n):
-                own[x] += min(k, 50)
-        times.update(own)
-        holders.update(own.keys())
-    return times, holders
+def _tokens(text: bytes) -> set[bytes]:
+    return {w for w in (x.strip(EDGE) for x in text.split()) if w}
 
 
-def typical_pieces(toxic: list[bytes], ordinary: list[bytes], p: Toxicity) -> dict[bytes, float]:
-    """Pieces of words that toxic texts hold more often, longest stretches first made of them, with their significance."""
-    (often, ours), (rarely, theirs) = _counted(toxic, p.piece), _counted(ordinary, p.piece)
+def typical_words(toxic: list[bytes], ordinary: list[bytes], p: Toxicity) -> dict[bytes, float]:
+    """Words that toxic texts hold significantly more often, with their likelihood ratios."""
+    ours, theirs = Counter(w for t in toxic for w in _tokens(t)), Counter(w for t in ordinary for w in _tokens(t))
     a, b = len(toxic), len(ordinary)
-    weight: dict[bytes, float] = {}
-    for x, n in ours.items():
-        m = theirs[x]
-        if often[x] / a > p.ratio * (rarely[x] + 0.5) / b:
+    found: dict[bytes, float] = {}
+    for w, n in ours.items():
+        m = theirs[w]
+        if n / a > p.ratio * (m + 0.5) / b:
             expected = (n + m) * a / (a + b)
             g = 2 * (n * math.log(n / expected) + (m * math.log(m / (n + m - expected)) if m else 0))
             if g >= p.significance:
-                weight[x] = g
-    found: dict[bytes, float] = {}
-    for w in {w for t in toxic for w in t.split()}:
-        spaced, own = b" " + w + b" ", [weight.get(x, 0.0) for x in _pieces(w, p.piece)]
-        least, i = max(own, default=0.0) / 2, 0
-        while least and i < len(own):  # stretches near the word's most significant piece
-            j = i
-            while j < len(own) and own[j] >= least:
-                j += 1
-            if j > i:
-                part = spaced[i : j + p.piece - 1]
-                found[part] = max(found.get(part, 0.0), max(own[i:j]))
-            i = j + 1
+                found[w] = g
     return found
 
 
@@ -103,21 +92,47 @@ def _doubled(text: bytes) -> bytes:
     return np.repeat(np.frombuffer(text, np.uint8), 2).tobytes()
 
 
-def ordinary_content(texts: list[bytes], p: Toxicity) -> bytes:
-    words = Counter(w for t in texts for w in set(t.split()))
-    return b" ".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0]))[-p.ordinary_words :])[-p.ordinary_bytes :]
-
-
-def toxic_content(pieces: dict[bytes, float], share: float) -> bytes:
-    """All pieces of that share of significance, the first nearest to the window, three times over: at each alignment at which the
-    coder looks into a dictionary."""
-    out, least = b"", share * max(pieces.values(), default=0.0)
-    for x, g in sorted(pieces.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-        if g < least:
-            break
-        if x not in out:
-            out = x + out
-    return b"".join(out + b"\0" * (-len(out) % 3 + k) for k in range(3)) if out else b""
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the samples; where they are too few for the trainer, the samples themselves."""
+    total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(256, min(size, total // 2)), samples, k=64, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def ordinary_dictionary(texts: list[bytes], p: Toxicity) -> bytes:
+    step = max(1, sum(t.count(b" ") + 1 for t in texts) // p.window_words // p.training_windows)
+    windows = [_doubled(b" %b " % b" ".join(w[i : i + p.window_words])) for w in (t.split() for t in texts) for i in range(0, len(w), p.window_words * step)]
+    return _trained(windows, p.ordinary_bytes) if windows else b""
+
+
+def toxic_dictionary(texts: list[bytes], typical: dict[bytes, float], share: float, p: Toxicity) -> bytes:
+    least = share * max(typical.values(), default=0.0)
+    taken = {w for w, g in typical.items() if g >= least}
+    samples = [_doubled(b" %b " % b" ".join(own)) for own in (sorted(_tokens(t) & taken) for t in texts) if own]
+    samples.sort(key=lambda x: (zlib.crc32(x), x))  # the trainer only tries its choice on the last ones, so they are mixed
+    size = min(p.toxic_bytes, 4 * sum(len(w) + 2 for w in taken) + 2048)  # the trainer puts its own tables in as well
+    return _trained(samples, size) if samples else b""
+
+
+def windows(texts: list[bytes], n: int) -> tuple[zstandard.BufferWithSegments, np.ndarray]:
+    """The doubled windows of `n` words, end to end, with the number of them in each text; a text without words has one."""
+    joined = [b" %b " % b" ".join(t.split()) for t in texts]
+    data = np.frombuffer(b"".join(joined), np.uint8)
+    ends = np.cumsum([len(x) for x in joined])
+    begins = np.concatenate(([0], ends[:-1]))
+    starts = word_starts(data, begins)
+    text = np.searchsorted(ends, starts, side="right")
+    first = np.searchsorted(starts, begins)
+    count = np.diff(np.append(first, len(starts)))
+    lead = starts[(np.arange(len(starts)) - first[text]) % n == 0] - 1  # from the space before the first word
+    counts = np.maximum(1, -(-count // n))
+    lead = np.sort(np.concatenate((lead, begins[count == 0])))
+    last = np.append(lead[1:] + 1, len(data))
+    last[np.cumsum(counts) - 1] = ends
+    segments = np.stack((lead * 2, (last - lead) * 2), axis=1).astype(np.uint64)
+    return zstandard.BufferWithSegments(np.repeat(data, 2).tobytes(), segments.tobytes()), counts
 
 
 @dataclass
@@ -127,8 +142,6 @@ class Scorer:
     p: Toxicity
     plain: bytes = b""
     toxic: bytes = b""
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     constant: float | None = None
     _tools: tuple | None = None
@@ -139,52 +152,58 @@ class Scorer:
     def _compressors(self) -> tuple:
         if self._tools is None:
             made = []
-            for content in (self.plain, self.plain + self.toxic):
-                how = zstandard.ZstdCompressionParameters.from_level(self.p.level, min_match=7, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-                own = zstandard.ZstdCompressionDict(_doubled(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            for content in (self.plain, self.toxic + self.plain):
+                how = zstandard.ZstdCompressionParameters.from_level(self.p.level, min_match=self.p.min_match, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 own.precompute_compress(compression_params=how)
                 made.append(zstandard.ZstdCompressor(dict_data=own, compression_params=how))
             self._tools = tuple(made)
         return self._tools
 
-    def distances(self, text: bytes) -> np.ndarray:
-        words, n, carrier = text.split(), self.p.window_words, _doubled(self.plain)[-self.p.carrier :]
-        plain, toxic = (x.compress for x in self._compressors())
-        windows = [carrier + _doubled(b" %b " % b" ".join(words[i : i + n])) for i in range(0, max(len(words), 1), n)]
-        return np.array([len(plain(w)) - len(toxic(w)) for w in windows])
+    def gains(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the windows' gains, the number of windows of each text)."""
+        cut, counts = windows(texts, self.p.window_words)
+        plain, toxic = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(cut)), np.int64, len(cut)) for c in self._compressors())
+        return plain - toxic, counts
 
-    def features(self, text: bytes) -> np.ndarray:
-        d = self.distances(text)
-        top, n, gained = np.sort(d)[-3:], len(d), d[d > 0].sum()
-        over = {t: np.count_nonzero(d >= t) for t in (2, 4, 6, 8, 12)}
-        return np.array([1, np.log1p(n), d.mean(), *(k / n for k in over.values()), gained / n, *map(np.log1p, (gained, over[2], over[4], over[8])), top[-1], top[-2:].mean(), top.mean()])
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        gains, counts = self.gains(texts)
+        over = [np.add.reduceat((gains >= g).astype(np.int64), np.cumsum(counts) - counts) for g in self.p.gains] if texts else [counts] * len(self.p.gains)
+        return np.stack((np.ones(len(texts)), *map(np.log1p, over), *(np.sqrt(x / counts) for x in over)), axis=1)
 
     def score(self, text: str | None) -> float:
-        return self.score_bytes(_lowered(text))
+        return float(self.scores([text])[0])
 
-    def score_bytes(self, text: bytes) -> float:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
-            return self.constant
-        z = float(((self.features(text) - self.centre) / self.scale) @ self.weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+            return np.full(len(texts), self.constant)
+        out, lowered = np.empty(len(texts)), [_lowered(t) for t in texts]
+        i = 0
+        while i < len(texts):  # so many texts at once that the windows take some MB
+            j, held = i + 1, len(lowered[i])
+            while j < len(texts) and held + len(lowered[j]) <= 1 << 20:
+                held += len(lowered[j])
+                j += 1
+            out[i:j] = _logistic(self.features(lowered[i:j]) @ self.weights)
+            i = j
+        return out
+
 
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-def _calibrated(out: Scorer, texts: list[bytes], toxic: np.ndarray) -> Scorer:
-    """With the logistic weights of these examples."""
-    x = np.array([out.features(t) for t in texts])
-    out.centre, out.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    out.centre[0], out.scale[0] = 0, 1
-    x = (x - out.centre) / out.scale
+
+def _calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic weights, by Newton steps of the ridge-penalised likelihood."""
     w = np.zeros(x.shape[1])
-    for _ in range(40):  # Newton steps of the ridge-penalised likelihood
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+    for _ in range(40):
+        q = _logistic(x @ w)
         w = w + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (toxic - q) - 0.1 * w)
-    out.weights = w
-    return out
+    return w
 
 
-def _loss(scorer: Scorer, texts: list[bytes], toxic: np.ndarray) -> float:
-    q = np.clip([scorer.score_bytes(t) for t in texts], 1e-6, 1 - 1e-6)
+def _loss(q: np.ndarray, toxic: np.ndarray) -> float:
+    q = np.clip(q, 1e-6, 1 - 1e-6)
     return float(-(toxic * np.log(q) + (1 - toxic) * np.log(1 - q)).mean())
 
 
@@ -193,31 +212,41 @@ def fit(texts: list[str | None], toxic: list[bool], p: Toxicity = Toxicity()) ->
     bad, good = [t for t, y in zip(lowered, toxic) if y], [t for t, y in zip(lowered, toxic) if not y]
     if not bad or not good:
         return Scorer(p, constant=float(bool(bad)))
-    plain = ordinary_content(good, p)
+    plain = ordinary_dictionary(good, p)
     if not plain:
         return Scorer(p, constant=len(bad) / len(lowered))
     share = p.shares[0]
     some, other = bad[: p.tuning[0]], good[: p.tuning[1]]
     if min(len(some), len(other)) >= 40:
-        learn_ = some[: len(some) * 3 // 4], other[: len(other) * 3 // 4]
-        test = some[len(learn_[0]) :] + other[len(learn_[1]) :]
-        truth = np.array([1.0] * (len(some) - len(learn_[0])) + [0.0] * (len(other) - len(learn_[1])))
-        pieces = typical_pieces(*learn_, p)
+        cuts = len(some) * 3 // 4, len(other) * 3 // 4
+        seen, unseen = some[: cuts[0]] + other[: cuts[1]], some[cuts[0] :] + other[cuts[1] :]
+        truths = np.array([1.0] * cuts[0] + [0.0] * cuts[1]), np.array([1.0] * (len(some) - cuts[0]) + [0.0] * (len(other) - cuts[1]))
+        typical = typical_words(some[: cuts[0]], other[: cuts[1]] + good[len(other) :], p)
         losses = []
         for s in p.shares:
-            tried = _calibrated(Scorer(p, plain, toxic_content(pieces, s)), learn_[0] + learn_[1], np.array([1.0] * len(learn_[0]) + [0.0] * len(learn_[1])))
-            losses.append((_loss(tried, test, truth), s))
-        share = min(losses)[1]
-    return _calibrated(Scorer(p, plain, toxic_content(typical_pieces(bad, good, p), share)), lowered, np.array(toxic, float))
+            one = Scorer(p, plain, toxic_dictionary(some[: cuts[0]], typical, s, p))
+            w = _calibrated(one.features(seen), truths[0])
+            losses.append((_loss(_logistic(one.features(unseen) @ w), truths[1]), s))
+        # Ratios grow with the examples, so what was significant among fewer of them is a share as well.
+        share = max(min(losses)[1], p.significance / max(typical.values(), default=p.significance))
+    out = Scorer(p, plain, toxic_dictionary(bad, typical_words(bad, good, p), share, p))
+    out.weights = _calibrated(out.features(lowered), np.array(toxic, float))
+    return out
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, keep: Column, p: Toxicity) -> Scorer:
-    """Fit on a bounded sample of the labelled rows for which `keep` holds."""
-    known = labels.filter(keep & F.col(label_col).isNotNull()).select(id_col, label_col)
+    """Fit on a bounded sample of the labelled rows for which `keep` holds: so many rows and bytes at most."""
+    known = labels.filter(keep & F.col(label_col).isNotNull()).select(id_col, F.col(label_col).alias("label"))
     order = (F.xxhash64(id_col), F.col(id_col))
-    picked = known.filter(F.col(label_col) == 1).orderBy(*order).limit(p.toxic_sample).unionByName(known.filter(F.col(label_col) == 0).orderBy(*order).limit(p.ordinary_sample))
-    rows = df.select(id_col, text_col).join(F.broadcast(picked), id_col).orderBy(*order).collect()
-    return fit([r[text_col] for r in rows], [r[label_col] == 1 for r in rows], p)
+    examples = []
+    for label, rows in ((1, p.toxic_sample), (0, p.ordinary_sample)):
+        picked = known.filter(F.col("label") == label).orderBy(*order).limit(rows)
+        own = df.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(picked), id_col)
+        some = own.orderBy(*order, "text").limit(rows)  # ids may repeat
+        upto = F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).over(Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0))
+        share = rows / (p.toxic_sample + p.ordinary_sample)
+        examples += [(r["text"], label == 1) for r in some.withColumn("upto", upto).filter(F.col("upto") <= int(p.sample_bytes * share)).select("text").collect()]
+    return fit([t for t, _ in examples], [y for _, y in examples], p)
 
 
 def scored(df: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -226,12 +255,12 @@ def scored(df: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: boo
     kept = df.select(*names)
     where = names.index(text_col)
     out = [i for i, c in enumerate(names) if keep_text or c != text_col]
-    shared = df.sparkSession.sparkContext.broadcast(scorer)  # grows with the learned pieces, at most with the sample's words
+    shared = df.sparkSession.sparkContext.broadcast(scorer)  # two dictionaries, of bounded bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            scores = pa.array([own.score(t.as_py()) for t in batch.column(where)], pa.float64())
+            scores = pa.array(own.scores(batch.column(where).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), scores], [*(names[i] for i in out), "score"])
 
     schema = StructType([*(kept.schema.fields[i] for i in out), StructField("score", DoubleType())])
