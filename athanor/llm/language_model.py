@@ -56,9 +56,9 @@ class Interpolation:
     buckets: int = 24
     rounds: int = 15
     least: float = 1e-4
-    hash_bits: int = 56
-    chunk_tokens: int = 1_250_000
-    range_entries: int = 1_000_000
+    hash_bits: int = 54
+    chunk_tokens: int = 1_100_000
+    range_entries: int = 700_000
     #: Ranges that a chunk is cut into at most, and about as many chunks are merged to a larger one.
     fan: int = 1024
 
@@ -156,7 +156,10 @@ def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
     """Rows of kind d (a chunk's documents) and e (one hash range of a chunk's words and n-grams)."""
 
     def emit(chunk: int, tokens: list, lengths: list, folds: list, ids: list) -> Iterator[pa.RecordBatch]:
-        vocabulary, local, seen = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        whole = np.concatenate(tokens)
+        tokens.clear()
+        vocabulary, local, seen = np.unique(whole, return_inverse=True, return_counts=True)
+        del whole
         order = np.argsort(-seen, kind="stable")  # frequent words get small numbers, which compress
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
