@@ -136,7 +136,8 @@ class Walks:
                     np.take(padded, place, out=byte, mode="clip")
                     for r, column in takes.get(t, ()):
                         read[r][:, column] = byte
-                        last[r, a : a + self.BLOCK] = place
+                        if t == self.plan[r][-1]:
+                            last[r, a : a + self.BLOCK] = place
                     np.take(self.steps[walk, t], byte, out=step, mode="clip")
                     place += step
                 for r, x in read.items():
