@@ -106,13 +106,17 @@ def splitters(slim: DataFrame, shards: int, tolerance: float, bins: int) -> list
     return [found[j] for j in sorted(found)]
 
 
-def histogram_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 1e-3, bins: int = 1024) -> DataFrame:
+#: More cells than this are joined by the exchange that deals the rows, instead of by a broadcast of their first slots.
+BROADCAST_CELLS = 200_000
+
+
+def histogram_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 1e-3, bins: int = 1024, cell_rows: int = 4096) -> DataFrame:
     """`df` with size, text_crc32, shard (0 .. shards-1, bytes near equal) and slot (gapless from 0 in a
     shard, in key order).
 
-    The exchange deals rows by (shard, cell): cells are the `bins` leading ranges of the first key part,
-    and a text that holds over 1/200 of the rows is cut further by the id's hash, so no task gets more
-    than a small share.  Row counts of cells give every cell its first slot.
+    The exchange deals rows by (shard, cell): cells are leading ranges of the first key part, as many as leave about
+    `cell_rows` rows in each, and a text that holds over 1/200 of the rows is cut alike by the id's hash, so a
+    cell stays small however large the table is.  Row counts of cells give every cell its first slot.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "shards")
@@ -129,10 +133,12 @@ def histogram_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rank, is_hot = F.lit(0), F.lit(False)
     for v in hot:
         rank, is_hot = rank + F.when(F.col(_K1) > F.lit(v), 2).when(F.col(_K1) == F.lit(v), 1).otherwise(0), is_hot | (F.col(_K1) == F.lit(v))
-    top = lambda c: F.shiftright(F.col(c), 64 - (bins.bit_length() - 1)).cast("int")
-    cells = {"shard": shard.cast("int"), "__bin": top(_K1), "__rank": rank, "__sub": F.when(is_hot, top(_K2)).otherwise(0)}
+    bits = max(1, (max(rows, 1) // cell_rows).bit_length())
+    top = lambda c: F.shiftright(F.col(c), 64 - bits)
+    cells = {"shard": shard.cast("int"), "__bin": top(_K1), "__rank": rank, "__sub": F.when(is_hot, top(_K2)).otherwise(F.lit(0).cast("long"))}
     cell = list(cells)
-    # At most (bins + hot texts * bins) rows per run of shards: bounded by parameters, not by the data.
+    # One row per cell, so a shard's window reads its rows / cell_rows.
+    few = (len(hot) + 1) << bits <= BROADCAST_CELLS
     first = (
         slim.withColumns(cells).groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__first", F.sum("__n").over(Window.partitionBy("shard").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)))
@@ -141,6 +147,6 @@ def histogram_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = keyed(df.select(*names), id_col, text_col).withColumns({"text_crc32": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), **cells})
     order = Window.partitionBy(*cell).orderBy(_K1, _K2, F.col(id_col))
     numbered = dealt.withColumn("__row", F.row_number().over(order))
-    return numbered.join(F.broadcast(first), cell).select(
+    return numbered.join(F.broadcast(first) if few else first, cell).select(
         *names, F.col(_SIZE).alias("size"), "text_crc32", "shard", (F.col("__first") + F.col("__row") - 1).cast("long").alias("slot")
     )
