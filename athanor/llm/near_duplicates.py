@@ -9,13 +9,15 @@ Equal sets are one class from the start.  In a bucket the class that shares most
 hub) is compared with all the rest, and components are formed.  What then still lies outside a bucket's main
 component is compared with the whole bucket: pair by pair in small buckets, and in large ones block by
 block, where all intersections of two blocks are found at once and only links that join components come out.
-No bucket is capped and none is gathered into one task.
+No bucket is capped; a large one is split into parts of a few blocks, and a hub's set goes out in salted copies, so neither
+a bucket nor a hub is one task's work.
 
 Recall: documents with similarity 0.75 share none of 40 bands of 5 with probability 2e-5.
 
 Cases: a document with fewer words than a shingle is one shingle; without words it is linked with nothing;
 a row without an id is linked with nothing and kept; repeated rows share a component and have the same
-result; an empty table gives an empty result.
+result; ids are integers (other types are an error) and name one text: of an id with different texts one text is
+looked at for links with others; an empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .components import components, contracted
 from .kernels import U64, mix64, shingle_sets, slices, text_buffers, trim, words
@@ -45,6 +48,8 @@ class NearDup:
     small: int = 32
     block: int = 64
     block_shingles: int = 32_000
+    #: Blocks of a large bucket that one join key compares with the whole bucket.
+    part_blocks: int = 8
     #: Ids up to this many are broadcast to pick texts; more are joined by a shuffle.
     broadcast_ids: int = 2_000_000
 
@@ -129,11 +134,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _spread(_spread(pairs, one, "a", "b"), two, "b", "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+#: An id with more pairs than this gets its set in as many copies, each for a part of the pairs.
+HOT_PAIRS = 2000
+
+
+def _spread(pairs: DataFrame, sets: DataFrame, by: str, other: str) -> DataFrame:
+    """`pairs` joined with `sets` on `by`; ids with many pairs are salted, so that no task gets all pairs of a hub."""
+    hot = pairs.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / HOT_PAIRS).cast("int").alias("salts")).filter("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(hot, by, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    right = sets.join(hot, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [by, "salt"]).drop("salt")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """One row per row of `df`: the id, n_shingles, component_id and kept."""
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
     scratch = Scratch(df.sparkSession, "near")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.write(sketches(docs, p), "sketch")
@@ -190,7 +210,7 @@ def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) ->
     size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
     unordered = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
     stars = member.join(hub, "key").filter((F.col("id") != F.col("hub")) & size).select(*unordered).distinct()
-    links = scratch.write(confirmed(stars, sets, p.percent), "star-links")
+    links = scratch.write(confirmed(scratch.write(stars, "star-pairs"), sets, p.percent), "star-links")
     roots = components(links, scratch, "stars")
 
     # What still lies in several components of a bucket.
@@ -201,12 +221,15 @@ def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) ->
     small = now.filter(F.col("c") <= p.small)
     other = small.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
     pairs = small.join(other, "key").filter((F.col("id") < F.col("hub")) & (F.col("root") != F.col("hub_root")) & size).select(*unordered).distinct()
-    more = scratch.write(confirmed(pairs, sets, p.percent), "pair-links")
+    more = scratch.write(confirmed(scratch.write(pairs, "small-pairs"), sets, p.percent), "pair-links")
     blocks = F.greatest(F.ceil(F.col("c") / p.block), F.ceil(F.col("total") / p.block_shingles))
     large = now.filter(F.col("c") > p.small).withColumn("block", F.pmod(F.xxhash64("id"), blocks)).join(sets, "id")
     entry = F.collect_list(F.struct("id", "root", "shingles"))
-    rest = large.filter("root <> main").groupBy("key", "block").agg(entry.alias("one")).select("key", "one")
-    whole = large.groupBy("key", "block").agg(entry.alias("two")).select("key", "two")
+    # The blocks outside the main component are dealt to parts of a few blocks, each of which meets the whole bucket.
+    parts = F.ceil(blocks / p.part_blocks).cast("int")
+    large = large.withColumn("parts", parts)
+    rest = large.filter("root <> main").groupBy("key", "block").agg(entry.alias("one"), F.first("parts").alias("parts")).select("key", F.pmod("block", "parts").cast("int").alias("part"), "one")
+    whole = large.groupBy("key", "block").agg(entry.alias("two"), F.first("parts").alias("parts")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +237,7 @@ def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) ->
                 found = block_links(one.as_py(), two.as_py(), p.percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    wide = scratch.write(rest.join(whole, "key").select("one", "two").mapInArrow(run, "a long, b long"), "block-links")
+    wide = scratch.write(rest.join(whole, ["key", "part"]).select("one", "two").mapInArrow(run, "a long, b long"), "block-links")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(known.unionByName(more).unionByName(wide), scratch, "roots")
 
