@@ -1,14 +1,16 @@
 """Operators that SQL can't express against plain versions on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from athanor.llm.audio import Audio, audio_digests, audio_patches, resample, segments, tensor_table, wav_bytes, wav_samples
+from athanor.llm.audio import Audio, audio_digests, audio_patches, clip_features, resample, segments, tensor_table, wav_bytes, wav_samples
 from athanor.llm.components import components
 from athanor.llm.decontamination import Index, Leaks, edit_search, edit_span, find_leaks
 from athanor.llm.kernels import text_buffers
@@ -27,7 +29,9 @@ def _mutated(rng, text, share):
     return " ".join(rng.choice("qrstu") * 4 if rng.random() < share else w for w in text.split())
 
 
-def test_near_duplicate_components(spark):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_near_duplicate_components(spark, monkeypatch, hot):
+    monkeypatch.setattr("athanor.llm.near_duplicates.HOT_PAIRS", hot)
     rng = random.Random(5)
     texts = []
     for group in range(12):
@@ -54,7 +58,7 @@ def test_near_duplicate_components(spark):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
-    for p in (NearDup(), NearDup(small=4, block=8, block_shingles=200)):
+    for p in (NearDup(), NearDup(small=4, block=8, block_shingles=200, part_blocks=1 + hot % 3)):
         got = {r.doc_id: r for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), p=p).collect()}
         assert {i: (len(sets[i]), find(i), find(i) == i) for i in sets} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
 
@@ -263,11 +267,13 @@ def test_linked_parts_are_reported_and_redacted(spark):
     assert [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()] == ["<account>\nkey <random>\n<address>", "user: alice"]
 
 
-def test_shards_are_even_and_gapless(spark):
+@pytest.mark.parametrize("cell_rows,broadcast", [(4096, 200_000), (20, 200_000), (20, 0)])
+def test_shards_are_even_and_gapless(spark, monkeypatch, cell_rows, broadcast):
+    monkeypatch.setattr("athanor.llm.sharding.BROADCAST_CELLS", broadcast)
     rng = random.Random(4)
     hot = _words(rng, 30)
     rows = [(i, hot if i % 3 == 0 else _words(rng, rng.randint(0, 40))) for i in range(3000)] + [(9000 + i, None) for i in range(20)]
-    got = histogram_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=16, bins=64).collect()
+    got = histogram_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=16, bins=64, cell_rows=cell_rows).collect()
     text = dict(rows)
     by = {}
     for r in got:
@@ -278,6 +284,9 @@ def test_shards_are_even_and_gapless(spark):
     sums = [sum(r["size"] for r in x) for x in by.values()]
     assert max(sums) - min(sums) <= 2 * max(r["size"] for r in got) + 0.01 * sum(sums) / 16
     assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+    # Equal texts lie together: over all shards in order, a text is one run of slots, its rows in a fixed order.
+    runs = [text[r.doc_id] or "" for _, x in sorted(by.items()) for r in sorted(x, key=lambda r: r.slot)]
+    assert sum(a != b for a, b in zip(runs, runs[1:])) == len(set(runs)) - 1
 
 
 def test_audio_round_trip_and_shapes(spark):
@@ -292,11 +301,74 @@ def test_audio_round_trip_and_shapes(spark):
     p = Audio()
     patches = audio_patches(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("patch").toArrow()
     tensors = tensor_table(patches)["tensor"]
-    assert tensors.type.shape == [p.patch, p.bands] and len(tensors) == int(r.feature.split("|")[0]) // p.patch + 1
+    frames, count, n_spans, voiced, _, digest, means = r.feature.split("|")
+    assert tensors.type.shape == [p.patch, p.bands] and len(tensors) == int(count) == -(-int(frames) // p.patch)
+    rows = zip(*(patches[c].to_pylist() for c in ("start_s", "end_s", "voiced", "tensor")))
+    assert digest == hashlib.sha256(b"".join(np.array(x[:3], "<f8").tobytes() + np.array(x[3], "<f4").tobytes() for x in rows)).hexdigest()
+    assert round(sum(patches["voiced"].to_pylist()) * p.patch) == int(voiced) and len(means.split(",")) == p.bands
     starts, ends = patches["start_s"].to_pylist(), patches["end_s"].to_pylist()
     assert all(a < b for a, b in zip(starts, ends)) and starts == sorted(starts)
 
 
+def _plain_features(data, p):
+    """Log-mel frames and segments from their definitions, sample by sample and frame by frame."""
+    x = [(b - 128) / 128 for b in data]
+    at = lambda i: x[min(max(i, 0), len(x) - 1)]
+    up, down = 2, 3
+    n = up * p.taps
+    h = [np.sinc((i - (n - 1) / 2) / up * min(1, up / down)) * (0.54 - 0.46 * math.cos(2 * math.pi * i / (n - 1))) for i in range(n)]
+    y = []
+    for j in range(-(-len(x) * up // down)):
+        k, phase = divmod(j * down, up)
+        c = [h[(p.taps - 1 - i) * up + phase] for i in range(p.taps)]
+        y.append(sum(c[i] * at(k - p.taps // 2 + i) for i in range(p.taps)) / sum(c))
+    y += [0.0] * max(0, p.frame - len(y))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(60) + (mel(p.target_rate / 2) - mel(60)) * i / (p.bands + 1)) / 2595) - 1) for i in range(p.bands + 2)]
+    bands, energy = [], []
+    for f in range(1 + (len(y) - p.frame) // p.hop):
+        part = np.array(y[f * p.hop : f * p.hop + p.frame])
+        part = (part - part.mean()) * np.array([0.5 - 0.5 * math.cos(2 * math.pi * i / (p.frame - 1)) for i in range(p.frame)])
+        power = np.abs(np.array([sum(part * np.exp(-2j * np.pi * k * np.arange(p.frame) / p.frame)) for k in range(p.frame // 2 + 1)])) ** 2
+        row = []
+        for b in range(p.bands):
+            a, m, z = edges[b : b + 3]
+            hz = [k * p.target_rate / p.frame for k in range(len(power))]
+            row.append(math.log(max(sum(w * max(0, min((q - a) / (m - a), (z - q) / (z - m))) for w, q in zip(power, hz)), 1e-6)))
+        bands.append(row)
+        energy.append(10 * math.log10(max((part**2).mean(), 1e-9)))
+    floor, spans, begin, high = np.percentile(energy, 10), [], None, False
+    for f, e in enumerate([*energy, -1e9]):
+        if e >= floor + p.leave_db:
+            begin, high = (f if begin is None else begin), high or e >= floor + p.enter_db
+        elif begin is not None:
+            spans += [(begin, f)] if high else []
+            begin, high = None, False
+    return np.array(bands), spans
+
+
+@pytest.mark.parametrize("blocks", [1, 16])
+def test_audio_features_follow_their_definitions(blocks):
+    p = Audio(block_patches=blocks, patch=8)
+    rng = random.Random(15)
+    for size in (192, 384, 192 * 20):
+        loud = lambda i: 60 if i // 900 % 2 else 5
+        data = bytes(128 + rng.randint(-loud(i), loud(i)) for i in range(size))
+        clip = clip_features(data, p.source_rate, p)
+        got = np.concatenate([x.tensors for x in clip.patches]).reshape(-1, p.bands)
+        bands, spans = _plain_features(data, p)
+        assert clip.frames == len(bands) and clip.spans == spans
+        assert np.abs(got[: clip.frames] - bands).max() < 2e-3 and (got[clip.frames :] == np.float32(math.log(1e-6))).all()
+
+
+def test_blocks_do_not_change_a_long_clip():
+    data = bytes(random.Random(16).randbytes(192 * 700))
+    one, two = (clip_features(data, 12_000, Audio(block_patches=b)) for b in (1, 1000))
+    assert one.spans == two.spans
+    parts = [np.concatenate([x.tensors for x in clip.patches]) for clip in (one, two)]
+    assert parts[0].shape == parts[1].shape and np.abs(parts[0] - parts[1]).max() < 1e-3
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(12_000) / 12_000
     out = resample(np.sin(2 * np.pi * 440 * t), 2, 3, 12)
