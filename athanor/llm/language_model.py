@@ -57,7 +57,7 @@ class Interpolation:
     rounds: int = 15
     least: float = 1e-4
     hash_bits: int = 54
-    chunk_tokens: int = 1_100_000
+    chunk_tokens: int = 1_000_000
     range_entries: int = 700_000
     #: Ranges that a chunk is cut into at most, and about as many chunks are merged to a larger one.
     fan: int = 1024
@@ -271,7 +271,10 @@ def _totals(p: Interpolation):
                 stats = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(left.sum()), int((left > 0).sum())]
             for row, own in zip(back, _returned(hashes, sums, place, shared)):
                 row += own
-        return _table(list(zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), back)), stats)
+        out = _table(list(zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), back)), stats)
+        del rows, back
+        trim()
+        return out
 
     return run
 
@@ -337,12 +340,11 @@ class Resolved:
     ids: pa.Array
     folds: np.ndarray
     lengths: np.ndarray
-    learned: np.ndarray  # per token: per order, longest first, the counts of n-gram and context, and last the word's, over all learning texts
-    left: np.ndarray  # the same without the deleted fold
+    counts: np.ndarray  # per token: per order, longest first, the counts of n-gram and context, and last the word's
 
 
-def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: int) -> Resolved:
-    """A chunk's tokens with the counts of the whole corpus."""
+def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: int, left: bool) -> Resolved:
+    """A chunk's tokens with the counts of all learning texts or, with `left`, of those but the deleted fold."""
     ids, folds, sizes, local, vocabulary, back = (x.as_py() for x in documents["p"][0])
     lengths, local, back = _unpack(sizes, np.uint32).astype(np.int64), _unpack(local, np.uint32), _unpack(back, np.uint32)
     in_order, folds = _unpack_sorted(vocabulary), _unpack(folds, np.uint8)
@@ -351,25 +353,27 @@ def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: i
     word_counts, grams = _entries(local, words_, lengths, folds, p)
     counts = [word_counts.astype(np.int64), *(c.astype(np.int64) for _, _, c in grams)]
     hashes, places = [in_order, *(x for x, _, _ in grams)], [local, *(x for _, x, _ in grams)]
-    del word_counts, grams
+    del word_counts, grams, words_, vocabulary
     cuts = [_cuts(x, 0, ranges, ranges, p.hash_bits if k else 64) for k, x in enumerate(hashes)]
     for b, row in zip(totals["bucket"].to_pylist(), totals["p"]):
         blobs = row.as_py()
         for k, (c, held) in enumerate(zip(cuts, counts)):
             _apply(held, blobs[3 * k : 3 * k + 3], c[b], c[b + 1], None if k else back)
-    del hashes
     first, end = np.cumsum(lengths) - lengths, int(back[np.searchsorted(in_order, END)])
-    columns: list[list[np.ndarray]] = [[], []]
-    for order in range(p.order - 1, 0, -1):
-        for column, k in zip(columns, range(2)):
-            below = counts[order - 1][k][places[order - 1]]
-            context = np.concatenate(([0], below[:-1]))
-            context[first] = counts[0][k][end]  # every text begins after an end
-            column += [counts[order][k][places[order]], context]
-    for column, k in zip(columns, range(2)):
-        column.append(counts[0][k][places[0]])
-    learned = np.stack(columns[0])
-    return Resolved(_unpack_column(ids), folds, lengths, learned, learned - np.stack(columns[1]))
+    del hashes, in_order, back
+    wanted = [c[0] - c[1] if left else c[0] for c in counts]
+    del counts
+    out = np.empty((2 * p.order - 1, len(local)), np.int64)
+    for k, order in enumerate(range(p.order - 1, 0, -1)):
+        out[2 * k] = wanted[order][places[order]]
+        out[2 * k + 1, 1:] = wanted[order - 1][places[order - 1][:-1]]
+        out[2 * k + 1, first] = wanted[0][end]  # every text begins after an end
+    out[-1] = wanted[0][places[0]]
+    return Resolved(_unpack_column(ids), folds, lengths, out)
+
+
+#: Tokens whose probabilities are computed at once.
+SLICE_TOKENS = 100_000
 
 
 def _bucket(counts: np.ndarray, p: Interpolation) -> np.ndarray:
@@ -461,13 +465,14 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     def events(documents: pa.Table, own: pa.Table) -> pa.Table:
         if not documents.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64())] * (len(columns) + 1), [*columns, "n"])
-        r = _resolved(documents, own, p, ranges)
-        c = r.left[:, np.repeat(r.folds == p.deleted_fold, r.lengths)].copy()
+        r = _resolved(documents, own, p, ranges, left=True)
+        c = r.counts[:, np.repeat(r.folds == p.deleted_fold, r.lengths)]
+        del r
         bucket = _bucket(c, p)
         for k in range(0, len(c) - 1, 2):
             c[k + 1][c[k] == 0] = 0  # without the n-gram only the context's bucket counts
         rows, n = np.unique(np.vstack((c, bucket)), axis=1, return_counts=True)
-        del r, c
+        del c
         trim()
         return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(n, pa.int64())], [*columns, "n"])
 
@@ -481,17 +486,22 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     def scores(documents: pa.Table, own: pa.Table) -> pa.Table:
         if not documents.num_rows:
             return out_schema.empty_table()
-        r = _resolved(documents, own, p, ranges)
-        w, word = weights[_bucket(r.learned, p)], r.learned[-1]
-        mixed = w[:, -2] * word / max(tokens, 1) + w[:, -1] / (kinds + 1)
-        for k in range(p.order - 1):
-            gram, context = r.learned[2 * k], r.learned[2 * k + 1]
-            mixed += w[:, k] * np.divide(gram, context, out=np.zeros(len(gram)), where=context > 0)
-        base = np.log10((word + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        starts = np.cumsum(r.lengths) - r.lengths
-        sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, np.log10(mixed))]
-        del word, w, mixed, base
-        r.learned = r.left = np.zeros(0)
+        r = _resolved(documents, own, p, ranges, left=False)
+        ends = np.cumsum(r.lengths)
+        starts, sums, i = ends - r.lengths, [np.zeros(len(r.lengths), t) for t in (np.int64, float, float)], 0
+        while i < len(starts):  # rows of so many tokens at once
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_TOKENS, side="right")))
+            counts = r.counts[:, starts[i] : ends[j - 1]]
+            w, word = weights[_bucket(counts, p)], counts[-1]
+            mixed = w[:, -2] * word / max(tokens, 1) + w[:, -1] / (kinds + 1)
+            for k in range(p.order - 1):
+                gram, context = counts[2 * k], counts[2 * k + 1]
+                mixed += w[:, k] * np.divide(gram, context, out=np.zeros(len(gram)), where=context > 0)
+            base = np.log10((word + 0.5) / (tokens + 0.5 * (kinds + 1)))
+            for total, x in zip(sums, ((word > 0).astype(np.int64), base, np.log10(mixed))):
+                total[i:j] = np.add.reduceat(x, starts[i:j] - starts[i])
+            i = j
+        r.counts = np.zeros(0)
         trim()
         return pa.Table.from_arrays(
             [r.ids.cast(out_schema.types[0]), pa.array(r.folds == p.score_fold), pa.array(r.lengths, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(starts), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=out_schema
