@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
-from .molecule import Mol, ParseError, aromatic_bonds, canonical, parse, stable_key
+from .molecule import Mol, ParseError, aromatic_bonds, canonical, parse, stable_key, symmetry_classes
 from .reactions import metabolize
 
 
-def common_substructure(a: Mol, b: Mol, budget: float = 0.5) -> dict[int, int]:
+def common_substructure(a: Mol, b: Mol) -> dict[int, int]:
     """A large common connected substructure as atom pairs; elements must agree, bond orders need not.
 
-    Seeds are pairs of the most alike atoms; each is grown by the pair of neighbours with most surroundings in
-    common, and the largest result wins.  The time budget bounds the number of seeds."""
-    ends = time.monotonic() + budget
+    Seeds are pairs of alike atoms, one for each pair of symmetry classes, the most alike first; each is grown by the pair
+    of neighbours with most surroundings in common, and the largest result wins.  The result depends on the
+    molecules only; it need not be the largest that exists."""
     alike = _likeness(a, b)
-    seeds = sorted(((s, -i, -j) for (i, j), s in alike.items()), reverse=True)
+    classes = symmetry_classes(a), symmetry_classes(b)
+    seeds: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for (i, j), s in alike.items():
+        key = classes[0][i], classes[1][j]
+        seeds[key] = max(seeds.get(key, (0, 0, 0)), (s, -i, -j))
     best: dict[int, int] = {}
-    for k, (_, i, j) in enumerate(seeds[:64]):
-        if k and time.monotonic() > ends:
-            break
+    for _, i, j in sorted(seeds.values(), reverse=True):
         grown = _grown(a, b, -i, -j, alike)
         if len(grown) > len(best) or len(grown) == len(best) and _bonds(a, b, grown) > _bonds(a, b, best):
             best = grown
@@ -69,6 +70,17 @@ class Difference:
     aromatic: int  # atoms whose aromaticity changes
     needs_oxygen: list[int] = field(default_factory=list)
     hydrogens: dict[int, int] = field(default_factory=dict)  # by atom: target less molecule
+    grows: list[int] = field(default_factory=list)  # atoms that get a neighbour
+
+    changed: set[int] = field(default_factory=set)  # atoms whose aromaticity or charge changes
+
+    def active(self) -> set[int]:
+        """The molecule's atoms where something is to be done: ends of bonds that go or change, places of new neighbours,
+        changes of hydrogens, charge and aromaticity, and all that has no partner."""
+        out = {*self.cleaved, *self.hydrogens, *self.grows, *self.changed}
+        for pair in (*self.cleavage_bonds, *self.raised, *self.lowered):
+            out.update(pair)
+        return out
 
     @property
     def cost(self) -> int:
@@ -87,8 +99,8 @@ class Difference:
         return "|".join(map(str, (len(self.cleaved), self.extra, len(self.raised), len(self.lowered), self.aromatic)))
 
 
-def atom_difference(mol: Mol, target: Mol, budget: float = 0.5) -> Difference:
-    at = common_substructure(mol, target, budget)
+def atom_difference(mol: Mol, target: Mol) -> Difference:
+    at = common_substructure(mol, target)
     back = {j: i for i, j in at.items()}
     gone = [i for i in range(len(mol.atoms)) if i not in at]
     arom = [{i for e in aromatic_bonds(m) for i in e} for m in (mol, target)]
@@ -106,20 +118,24 @@ def atom_difference(mol: Mol, target: Mol, budget: float = 0.5) -> Difference:
         sum((i in arom[0]) != (j in arom[1]) for i, j in at.items()),
         sorted(i for i, j in at.items() if any(target.atoms[k].z == 8 and k not in back for k in target.near(j))),
         {i: target.atoms[j].h - mol.atoms[i].h for i, j in sorted(at.items()) if target.atoms[j].h != mol.atoms[i].h},
+        sorted(i for i, j in at.items() if any(k not in back for k in target.near(j))),
+        {i for i, j in at.items() if (i in arom[0]) != (j in arom[1]) or mol.atoms[i].charge != target.atoms[j].charge},
     )
 
 
-def normalised_tautomer(text: str, limit: int = 64) -> tuple[str, bool]:
-    """(the tautomer that stands for all, whether it differs): of those that moving one hydrogen at a time reaches, within
-    the limit, the one with most aromatic atoms, then most C=O bonds, then least text."""
+def normalised_tautomer(text: str, limit: int | None = None) -> tuple[str, bool]:
+    """(the tautomer that stands for all, whether it differs): of those that moving one hydrogen at a time reaches, the one
+    with most aromatic atoms, then most C=O bonds, then least text.  More than `limit` of them are an error."""
     start = canonical(parse(text))
     seen, todo = {start}, [start]
-    while todo and len(seen) < limit:
+    while todo:
         for e in metabolize(todo.pop(0), "Tautomerization"):
             for t in e.texts:
-                if t not in seen and len(seen) < limit:
+                if t not in seen:
                     seen.add(t)
                     todo.append(t)
+        if limit is not None and len(seen) > limit:
+            raise OverflowError(f"more than {limit} tautomers of {text}")
 
     def rank(t: str) -> tuple:
         try:

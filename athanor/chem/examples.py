@@ -44,6 +44,7 @@ HARD = (
     ("bismethoxy", "COc1ccc2c(OC)cccc2c1", "O=C1C(=O)c2ccccc2C=C1"),
     ("biphenyl", "COc1ccc(-c2ccc(OC)c(OC)c2)cc1OC", "Oc1ccc(-c2ccc(O)c(O)c2)cc1O"),
     ("veratrole", "COc1ccc(CC=C)c(OC)c1OC", "O=C1C=C(CC=C)C(=O)C(O)=C1"),
+    ("tetramethoxynaphthalene", "COc1cc(OC)c2c(OC)cc(OC)cc2c1", "O=C1C=C(O)C(=O)c2c(O)cc(O)cc12"),
 )
 
 #: (molecule, query, raw matches, sites, sizes of the sites' orbits)

@@ -101,7 +101,7 @@ def find_sites(df: DataFrame, smiles: str = "smiles", catalog="PhaseOne") -> Dat
 
 
 def apply_sites(sites: DataFrame, smiles: str = "smiles", catalog="PhaseOne", star: bool = False) -> DataFrame:
-    """The emissions of candidate rows (smiles, ordinal) that a filter left."""
+    """The emissions of candidate rows (smiles, ordinal) that a filter left; no other candidate is edited."""
     rules = as_catalog(catalog)
     wanted = sites.groupBy(smiles).agg(F.array_sort(F.collect_set("ordinal")).alias("ordinals"))
 
@@ -109,8 +109,8 @@ def apply_sites(sites: DataFrame, smiles: str = "smiles", catalog="PhaseOne", st
         for batch in batches:
             rows = []
             for text, ordinals in zip(batch[smiles], batch["ordinals"]):
-                keep = set(ordinals)
-                rows += [(text, *_emission(e, r.mol)) for r in (Reactant(text),) for e in emissions(r, rules, star=star) if e.ordinal in keep]
+                r = Reactant(text)
+                rows += [(text, *_emission(e, r.mol)) for e in emissions(r, rules, star=star, ordinals=set(ordinals))]
             yield pd.DataFrame(rows, columns=[smiles, *_names(EMISSION)])
 
     return wanted.mapInPandas(run, f"`{smiles}` string, {EMISSION}")

@@ -305,7 +305,7 @@ def chem_products(spark, sf):
 def chem_paths(spark, sf):
     """Which of the worked searches reach their target."""
     cases = [c for suite in (examples.MID, examples.LARGER, examples.HARD) for c in suite]
-    found, _ = metabolize.find_paths(spark.createDataFrame(cases, "query_id string, reactant string, target string"), "Default", Search(max_nodes=400))
+    found, _ = metabolize.find_paths(spark.createDataFrame(cases, "query_id string, reactant string, target string"), "Default", Search(max_nodes=800))
     return found.filter("exact").select(F.col("query_id").alias("name")).distinct()
 
 
