@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -102,24 +102,22 @@ def simple_paths(edges: DataFrame, source: DataFrame, max_depth: int) -> DataFra
 
 def transition_edges(walk: DataFrame, by: list[str], order: list[str], state: str) -> DataFrame:
     """Edges between consecutive states of ordered walks."""
-    from pyspark.sql import Window
-
     following = F.lead(state).over(Window.partitionBy(*by).orderBy(*order))
     return walk.select(*by, *order, F.col(state).alias("src"), following.alias("dst")).filter("dst is not null")
 
 
 def upsert_nodes(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
     """`nodes` (idx, node, ...) with those of `fresh` (column node) that are not there yet, numbered on from the largest
-    index in the order of their text.  Only new nodes are sorted, and ranges number themselves."""
-    from pyspark.sql import Window
-
+    index in the order of their text.  Only new nodes are sorted: by ranges, which number themselves after the counts of
+    the ranges before them.  The sorted table is written first, so that a lost task can't deal the ranges anew."""
     first = nodes.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("first"))
     new = fresh.select("node").filter("node is not null").distinct().join(nodes.select("node"), "node", "left_anti")
-    cells = new.withColumn("cell", F.substr("node", F.lit(1), F.lit(3)))
-    offsets = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = cells.withColumn("row", F.row_number().over(Window.partitionBy("cell").orderBy("node"))).join(offsets.select("cell", "before"), "cell")
-    placed = numbered.crossJoin(first).select((F.col("first") + F.col("before") + F.col("row") - 1).alias("idx"), "node")  # `first` is one row
-    return nodes.unionByName(placed, allowMissingColumns=True)
+    ranged = cut(new.repartitionByRange("node").sortWithinPartitions("node").select("node", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # A row per range, that is per task, so one task may sum them up.
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = ranged.join(F.broadcast(before), "part").crossJoin(first)  # `first` is one row
+    return nodes.unionByName(placed.select((F.col("first") + F.col("before") + F.col("row")).alias("idx"), "node"), allowMissingColumns=True)
 
 
 def mark(nodes: DataFrame, which: DataFrame, flag: str) -> DataFrame:

@@ -46,10 +46,12 @@ def fold_key(fragments: Column, signature: Column | None = None) -> Column:
     return F.concat_ws("#", signature, body) if signature is not None else body
 
 
-def fold_arms(arms: DataFrame, by: list[str], fragments: str, arm: str, signature: str | None = None) -> DataFrame:
-    """One row per alternative: `by`, fold, arms (sorted) and fan_in."""
+def fold_arms(arms: DataFrame, by: list[str], fragments: str, arm: str, signature: str | None = None, listed: bool = False) -> DataFrame:
+    """One row per alternative: `by`, fold, first_arm (the least) and fan_in, summed before they are exchanged; with `listed`
+    also arms, all of them sorted, for layers whose folds are small."""
     key = fold_key(F.col(fragments), F.col(signature) if signature else None)
-    return arms.withColumn("fold", key).groupBy(*by, "fold").agg(F.array_sort(F.collect_list(arm)).alias("arms"), F.count(F.lit(1)).alias("fan_in"))
+    every = [F.array_sort(F.collect_list(arm)).alias("arms")] if listed else []
+    return arms.withColumn("fold", key).groupBy(*by, "fold").agg(F.min(arm).alias("first_arm"), F.count(F.lit(1)).alias("fan_in"), *every)
 
 
 def layer_stats(arms: DataFrame, fragments: str, arm: str, signature: str | None = None) -> DataFrame:

@@ -9,16 +9,15 @@ from ..session import cut
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All (a, b) with a path from a to b.  Paths double in length each round, so few rounds suffice."""
-    closed = cut(edges.select("a", "b").distinct())
-    count = closed.count()
+    """All (a, b) with a path from a to b.  Each round joins only the pairs that the last one found, on either side, with all
+    that is known, so that paths double in length and no pair is made from old ones twice."""
+    closed = fresh = cut(edges.select("a", "b").distinct())
     for _ in range(max_rounds):
-        longer = closed.alias("x").join(closed.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        closed = cut(closed.unionByName(longer).distinct())
-        now = closed.count()
-        if now == count:
+        on = lambda x, y: x.alias("x").join(y.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+        fresh = cut(on(fresh, closed).unionByName(on(closed, fresh)).distinct().join(closed, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
             break
-        count = now
+        closed = cut(closed.unionByName(fresh))
     return closed
 
 

@@ -103,7 +103,7 @@ def _arms(spark, sf):
 
 
 def fold_or(spark, sf):
-    return sites.fold_arms(_arms(spark, sf), ["side"], "fragments", "l_orderkey").select("side", "fold", "fan_in", F.col("arms")[0].alias("first_arm"))
+    return sites.fold_arms(_arms(spark, sf), ["side"], "fragments", "l_orderkey").select("side", "fold", "fan_in", "first_arm")
 
 
 def layer_stats(spark, sf):
@@ -135,11 +135,11 @@ def bfs_target_gate(spark, sf):
     return graph.bfs_levels(_supply(spark, sf), _root(spark, sf), 3, expands=F.substr("node", F.lit(2)).cast("int") % 3 != 1, both_ways=True)
 
 
-def _hierarchy(spark, sf, orders: bool = True):
+def _hierarchy(spark, sf):
     c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
     edge = lambda df, a, x, b, y, rule: df.select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"), F.lit(rule).alias("rule"))
     out = edge(n, "r", "n_regionkey", "n", "n_nationkey", "region").unionByName(edge(c, "n", "c_nationkey", "c", "c_custkey", "nation"))
-    return out.unionByName(edge(_t(spark, sf, "orders"), "c", "o_custkey", "o", "o_orderkey", "customer")) if orders else out
+    return out.unionByName(edge(_t(spark, sf, "orders"), "c", "o_custkey", "o", "o_orderkey", "customer"))
 
 
 _HIERARCHY_SQL = """edge AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'region' AS rule FROM nation
@@ -168,7 +168,7 @@ def net_degrees(spark, sf):
 def net_prune(spark, sf):
     edges = _hierarchy(spark, sf)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    targets = _t(spark, sf, "orders").filter("o_orderkey % 97 = 3").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    targets = _t(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     root = spark.range(1).select(F.lit("r0").alias("node"))
     return graph.prune_to_targets(nodes, edges, root.unionByName(targets))
 
@@ -195,7 +195,8 @@ def net_step_path(spark, sf):
 
 
 def net_simple_paths(spark, sf):
-    paths = graph.simple_paths(_hierarchy(spark, sf, orders=False).select("src", "dst"), spark.range(1).select(F.lit("r0").alias("node")), 2)
+    roots = _t(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    paths = graph.simple_paths(_hierarchy(spark, sf).select("src", "dst"), roots, 3)
     return paths.select(F.concat_ws(">", "path").alias("path"))
 
 
@@ -208,9 +209,9 @@ def transition_edges(spark, sf):
 
 
 def _precedes(spark, sf):
-    edges = _hierarchy(spark, sf, orders=False).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    shortcut = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("c"), "c_custkey").alias("b"))
-    return edges.unionByName(shortcut.filter(F.substr("b", F.lit(2)).cast("int") % 2 == 0))
+    edges = _hierarchy(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    shortcut = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("c"), "c_custkey").alias("b"), "c_mktsegment")
+    return edges.unionByName(shortcut.filter("c_mktsegment = 'BUILDING'").select("a", "b"))
 
 
 def plan_closure(spark, sf):
@@ -329,7 +330,8 @@ _SUPPLY_SQL = """e0 AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey
 _BFS_SQL = f"""WITH RECURSIVE {_SUPPLY_SQL}, walk(node, level) AS (SELECT 'p' || min(l_partkey), 0 FROM lineitem
 UNION SELECT e.b, level + 1 FROM walk JOIN e ON e.a = node WHERE level < 3 {{gate}}) SELECT node, min(level) AS level FROM walk GROUP BY node"""
 _PRECEDES_SQL = """p AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
-UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0)"""
+UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders
+UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING')"""
 _quoted = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 _ARMS_SQL = "arm AS (SELECT l_orderkey, (l_orderkey % 3)::VARCHAR AS side, string_agg((l_partkey % 7)::VARCHAR, '.' ORDER BY (l_partkey % 7)::VARCHAR) AS fold FROM lineitem GROUP BY l_orderkey)"
 
@@ -361,16 +363,17 @@ WHERE NOT (a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey % 4 = b
     "net_children": f"WITH {_HIERARCHY_SQL} SELECT src AS node, count(*) AS n_children, min(dst) AS first_child FROM edge WHERE src LIKE 'n%' GROUP BY 1",
     "net_counts": f"""WITH {_HIERARCHY_SQL} SELECT (SELECT count(*) FROM (SELECT src FROM edge UNION SELECT dst FROM edge)) AS n_nodes, count(*) AS n_edges, count(DISTINCT (rule, substr(dst, 1, 2))) AS n_rule_patterns FROM edge""",
     "net_degrees": f"""WITH {_HIERARCHY_SQL}, s AS (SELECT src AS node, 0 AS i, 1 AS o FROM edge UNION ALL SELECT dst, 1, 0 FROM edge) SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM s GROUP BY node""",
-    "net_prune": f"""WITH RECURSIVE {_HIERARCHY_SQL}, up(node) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 97 = 3 UNION SELECT src FROM up JOIN edge ON dst = node) SELECT node FROM up UNION SELECT 'r0'""",
+    "net_prune": f"""WITH RECURSIVE {_HIERARCHY_SQL}, up(node) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' UNION SELECT src FROM up JOIN edge ON dst = node) SELECT node FROM up UNION SELECT 'r0'""",
     "net_reaches": "SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "net_closest": """WITH z AS (SELECT embedding AS t FROM embeddings WHERE vec_id = 0), p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS a, unnest(t)::DOUBLE AS b FROM embeddings, z)
 SELECT vec_id AS node, sum(round(abs(a - b) * 1e6)::BIGINT)::BIGINT AS cost FROM p GROUP BY vec_id ORDER BY cost, node LIMIT 10""",
     "net_step_path": f"""WITH RECURSIVE {_HIERARCHY_SQL}, up(src, dst, d) AS (SELECT src, dst, 0 FROM edge WHERE dst = (SELECT 'o' || min(o_orderkey) FROM orders)
 UNION ALL SELECT edge.src, edge.dst, d + 1 FROM up JOIN edge ON edge.dst = up.src) SELECT (SELECT max(d) FROM up)::INT - d::INT AS step, src, dst FROM up""",
-    "net_simple_paths": f"""WITH {_HIERARCHY_SQL} SELECT 'r0' AS path UNION ALL SELECT 'r0>' || dst FROM edge WHERE src = 'r0' UNION ALL SELECT 'r0>' || a.dst || '>' || b.dst FROM edge a JOIN edge b ON b.src = a.dst WHERE a.src = 'r0'""",
+    "net_simple_paths": f"""WITH RECURSIVE {_HIERARCHY_SQL}, w(path, node, d) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region
+UNION ALL SELECT path || '>' || dst, dst, d + 1 FROM w JOIN edge ON src = node WHERE d < 3) SELECT path FROM w""",
     "transition_edges": "WITH w AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) SELECT src, dst, count(*) AS n FROM w WHERE dst IS NOT NULL GROUP BY src, dst",
     "plan_closure": f"WITH RECURSIVE {_PRECEDES_SQL}, c(a, b) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON p.a = c.b) SELECT a, b FROM c",
-    "plan_reduction": f"WITH {_PRECEDES_SQL} SELECT a, b FROM p EXCEPT SELECT x.a, y.b FROM p x JOIN p y ON x.b = y.a",
+    "plan_reduction": f"WITH {_PRECEDES_SQL} SELECT a, b FROM p EXCEPT (SELECT x.a, y.b FROM p x JOIN p y ON x.b = y.a UNION SELECT x.a, z.b FROM p x JOIN p y ON x.b = y.a JOIN p z ON y.b = z.a)",
     "plan_linearizations": """WITH t AS (SELECT n_regionkey, count(*) AS k, sum(n_nationkey % 3) AS leaves, product(1 + n_nationkey % 3) AS hooks FROM nation GROUP BY n_regionkey)
 SELECT n_regionkey, (factorial((1 + k + leaves)::INT) / ((1 + k + leaves) * hooks))::BIGINT AS n FROM t""",
     "maybe_allows": """SELECT l_orderkey, list_has_any(list(DISTINCT l_partkey % 50), [3, 4, 5]) AND NOT (count(DISTINCT l_partkey % 50) = 1 AND bool_and(l_partkey % 50 = 4)) AS allowed FROM lineitem GROUP BY l_orderkey""",
