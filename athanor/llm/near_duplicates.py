@@ -118,8 +118,12 @@ def full_sets(df: DataFrame, p: NearDup) -> DataFrame:
     return df.mapInArrow(run, "id long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+#: A hub with more members than this gets its set in as many copies, each for a part of the members.
+HOT_PAIRS = 2000
+
+
+def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, x and y, are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,22 +136,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             trim()
 
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return _spread(_spread(pairs, one, "a", "b"), two, "b", "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-#: An id with more pairs than this gets its set in as many copies, each for a part of the pairs.
-HOT_PAIRS = 2000
-
-
-def _spread(pairs: DataFrame, sets: DataFrame, by: str, other: str) -> DataFrame:
-    """`pairs` joined with `sets` on `by`; ids with many pairs are salted, so that no task gets all pairs of a hub."""
-    hot = pairs.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / HOT_PAIRS).cast("int").alias("salts")).filter("salts > 1")
-    salts = F.coalesce("salts", F.lit(1))
-    left = pairs.join(hot, by, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
-    right = sets.join(hot, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return left.join(right, [by, "salt"]).drop("salt")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDup = NearDup()) -> DataFrame:
@@ -206,11 +195,17 @@ def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) ->
     sets = scratch.write(full_sets(wanted, p).dropDuplicates(["id"]), "sets")
     rank = F.struct("degree", (-F.col("id")).alias("back"))
     ranked = member.join(degree, "id")
-    hub = scratch.write(ranked.groupBy("key").agg(F.max(rank).alias("rank"), F.max_by("n", rank).alias("hub_n")), "hub").select("key", (-F.col("rank.back")).alias("hub"), "hub_n")
+    hub = scratch.write(ranked.groupBy("key").agg(F.max(rank).alias("rank"), F.max_by("n", rank).alias("hub_n")), "hub")
+    copies = F.ceil(F.col("rank.degree") / HOT_PAIRS).cast("int")  # the degree is at least the number of the hub's members
+    hub = hub.select("key", (-F.col("rank.back")).alias("hub"), "hub_n", copies.alias("copies"))
     size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
     unordered = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
-    stars = member.join(hub, "key").filter((F.col("id") != F.col("hub")) & size).select(*unordered).distinct()
-    links = scratch.write(confirmed(scratch.write(stars, "star-pairs"), sets, p.percent), "star-links")
+    # A member has a pair per band at most, a hub one per member: only hubs' sets are copied.
+    stars = member.join(hub, "key").filter((F.col("id") != F.col("hub")) & size).select(F.col("id").alias("a"), F.col("hub").alias("b"), "copies").distinct()
+    one, two = (sets.select(F.col("id").alias(k), F.col("shingles").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+    hubs = two.join(hub.select(F.col("hub").alias("b"), "copies").distinct(), "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    met = stars.withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).drop("copies").join(one, "a").join(hubs, ["b", "copy"])
+    links = scratch.write(confirmed(met, p.percent), "star-links")
     roots = components(links, scratch, "stars")
 
     # What still lies in several components of a bucket.
@@ -221,7 +216,7 @@ def _linked(docs: DataFrame, member: DataFrame, scratch: Scratch, p: NearDup) ->
     small = now.filter(F.col("c") <= p.small)
     other = small.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
     pairs = small.join(other, "key").filter((F.col("id") < F.col("hub")) & (F.col("root") != F.col("hub_root")) & size).select(*unordered).distinct()
-    more = scratch.write(confirmed(scratch.write(pairs, "small-pairs"), sets, p.percent), "pair-links")
+    more = scratch.write(confirmed(pairs.join(one, "a").join(two, "b"), p.percent), "pair-links")
     blocks = F.greatest(F.ceil(F.col("c") / p.block), F.ceil(F.col("total") / p.block_shingles))
     large = now.filter(F.col("c") > p.small).withColumn("block", F.pmod(F.xxhash64("id"), blocks)).join(sets, "id")
     entry = F.collect_list(F.struct("id", "root", "shingles"))
