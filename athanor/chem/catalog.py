@@ -170,18 +170,19 @@ def _trapping(group: str, thiol: bool) -> tuple[Pattern, ...]:
     arms = [
         atom("epoxide_ch", "[#6H1:1]1[#8:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
         atom("epoxide_ch2", "[#6H2:1]1[#8:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
-        atom("epoxide_c", "[#6H0:1]1[#8:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
-        atom("halide", f"[#6X4:1]-[{X}:2]", f"cut 1 2; {g}", adds="*H"),
-        atom("alkene", "[#6X3;!a:1]=[#6X3;!a:2]", f"bond 1 2 -; {g}", adds="*H"),
-        atom("michael", "[#6X3;!a:1]=[#6X3;!a:2]-[#6X3:3]=[#8,#7:4]", f"bond 1 2 -; {g}", adds="*H"),
-        atom("carbonyl", "[#6X3:1]=[#8:2]", f"bond 1 2 -; {g}", adds="*H"),
+        atom("epoxide_c", "[#6H0:1]([!#1:4])1[#8:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
+        atom("halide", "[#6:1][#9,#17,#35,#53:2]", f"cut 1 2; {g}", adds="*H"),
+        atom("thiol", "[#16h1:1]", g, adds="*", removes="H"),
+        atom("alkene", "[#6H2:1]=[#6:2]", f"bond 1 2 -; {g}", adds="*H"),
+        atom("michael", "[#6H1:1]=[#6:2][#6:3]=[#8,#7:4]", f"bond 1 2 -; bond 2 3 =; bond 3 4 -; {g}", adds="*H"),
+        atom("carbonyl", "[#6;H1,H2:1]=[#8:2]", f"bond 1 2 -; {g}", adds="*H"),
         atom("aziridine_ch", "[#6H1:1]1[#7:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
         atom("aziridine_ch2", "[#6H2:1]1[#7:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
-        atom("aziridine_c", "[#6H0:1]1[#7:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
-        atom("mesylate", "[#6X4:1]-[#8:2]-[#16](=[#8])(=[#8])", f"cut 1 2; {g}", adds="*H"),
-        atom("isocyanate", "[#6X2:1](=[#8,#16:2])=[#7:3]", f"bond 1 3 -; {g}", adds="*H"),
+        atom("aziridine_c", "[#6H0:1]([!#1:4])1[#7:2][#6:3]1", f"cut 1 2; {g}", adds="*H"),
+        atom("mesylate", "[#6:1][#8:2]S(=O)(=O)", f"cut 1 2; {g}", adds="*H"),
+        atom("isocyanate", "[#7:1]=[#6:2]=[#8,#16:3]", f"bond 1 2 -; {g.replace('1', '2', 1)}", adds="*H"),
     ]
-    return (*arms, atom("thiol", "[#16H1:1]", g, adds="*", removes="H")) if thiol else tuple(arms)
+    return tuple(p for p in arms if thiol or p.name != "thiol")
 
 
 @cache
@@ -222,8 +223,8 @@ def rules() -> dict[str, Rule]:
         Rule(
             "NitroaromaticReduction",
             (
-                arrow("nitro_charged", "[#8-:1]-[#7+:2]([#6R:4])=[#8:3]", "cut 1 2; charge 1 +; charge 2 -", adds="HH", removes="+-"),
-                arrow("nitro_neutral", "[#8:1]=[#7+0:2]([#6R:4])=[#8:3]", "cut 1 2", adds="HH"),
+                arrow("nitro_charged", "[#8-1:1]-[#7+1:2]([#6R:4])=[#8:3]", "cut 1 2; charge 1 +; charge 2 -", adds="HH", removes="+-"),
+                arrow("nitro_neutral", "[#8:1]-[#7:2]([#6R:4])=[#8:3]", "cut 1 2; neutral 1; neutral 2", adds="HH"),
             ),
             examples=("O=[N+]([O-])c1ccccc1",),
         ),
@@ -278,7 +279,7 @@ def rules() -> dict[str, Rule]:
             "Tautomerization",
             (
                 end("tautomer_h", "[#6,#7,#8:1]-,:[#6H3,#6H2,#6H1,#7H2,#7H1,#8H1:2]", "unsaturate", (1, 2), (2,), removes="H"),
-                end("path_partner", "[*:1]", "saturate", (1,), (1,), adds="H"),
+                end("path_partner", "[*:1]", "far", (1,), (1,), adds="H"),
             ),
             examples=("CC(C)=O",),
         ),

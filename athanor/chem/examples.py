@@ -47,5 +47,74 @@ HARD = (
     ("tetramethoxynaphthalene", "COc1cc(OC)c2c(OC)cc(OC)cc2c1", "O=C1C=C(O)C(=O)c2c(O)cc(O)cc12"),
 )
 
+_GS = "SCC(NC(=O)CCC(N)C(=O)O)C(=O)NCC(=O)O"
+
+#: All products of a leaf rule on a molecule, one text per outcome with its parts joined by ".".
+EXACT = (
+    ("Hydroxylation", "CCO", ("CC(O)O", "OCCO")),
+    ("Hydroxylation", "c1ccccc1", ("Oc1ccccc1",)),
+    ("Hydroxylation", "CC(C)C", ("CC(C)(C)O", "CC(C)CO")),
+    ("Dehydrogenation", "CCO", ("C=CO", "CC=O")),
+    ("Dehydrogenation", "CCC", ("C=CC",)),
+    ("Dehydrogenation", "Oc1ccc(O)cc1", ("O=C1C=CC(=O)C=C1",)),
+    ("QuinoneFormation", "c1ccccc1", ("O=C1C=CC(=O)C=C1", "O=C1C(=O)C=CC=C1")),
+    ("QuinoneFormation", "Oc1ccccc1", ("O=C1C=CC(=O)C=C1", "O=C1C(=O)C=CC=C1", "O=C1C=CC(=O)C(O)=C1", "O=C1C(=O)C=CC(O)=C1", "O=C1C(=O)C=CC=C1O")),
+    ("Dealkylation", "CCO", ("C.OC=O", "C.OCO", "C=O.CO", "CO.CO")),
+    ("Dealkylation", "COC", ("CO.OC=O", "C=O.CO", "CO.CO")),
+    ("NDealkylation", "CN(C)C", ("CNC.OC=O", "C=O.CNC", "CNC.CO")),
+    ("NDealkylation", "CCN", ("CC(=O)O.N", "CC=O.N", "CCO.N")),
+    ("AzoSplitting", "c1ccccc1N=Nc1ccccc1", ("Nc1ccccc1.Nc1ccccc1",)),
+    ("AzoSplitting", "N=Nc1ccccc1", ("N.Nc1ccccc1",)),
+    ("BenzodioxoleReduction", "c1ccc2c(c1)OCO2", ("C.Oc1ccccc1O",)),
+    ("NitroaromaticReduction", "[O-][N+](=O)c1ccccc1", ("O.O=Nc1ccccc1",)),
+    ("ThiopheneSulfurOxidation", "c1ccsc1", ("[O-][S+]1C=CC=C1",)),
+    ("Dephosphorylation", "COP(=O)(O)O", ("CO.O=P(O)O",)),
+    ("EpoxideOpening", "C1OC1", ("CCO", "OCCO")),
+    ("EpoxideOpening", "CC1CO1", ("CC(C)O", "CCCO", "CC(O)CO")),
+    ("Hydrolysis", "CC(=O)OC", ("CC(=O)O.CO", "CC=O.CO")),
+    ("Hydrolysis", "CC(=O)NC", ("CC(=O)O.CN", "CC=O.CN")),
+    ("Dehydration", "CCO", ("C=C.O", "CC.O")),
+    ("Hydrogenation", "C=C", ("CC",)),
+    ("Hydrogenation", "C#C", ("C=C",)),
+    ("Tautomerization", "O=C1CCCCC1", ("OC1=CCCCC1",)),
+    ("NitrogenReduction", "CCNO", ("CCN.O",)),
+    ("NitrogenReduction", "[O-][N+](=O)c1ccccc1", ("Nc1ccccc1.O.O", "O.O=Nc1ccccc1")),
+    ("OxygenReduction", "CC=O", ("CCO",)),
+    ("OxygenReduction", "CC(=O)OC", ("COC(C)O",)),
+    ("ReductiveDehalogenation", "CCCl", ("C=C.Cl", "CC.Cl")),
+    ("ReductiveDehalogenation", "Clc1ccccc1", ("Cl.c1ccccc1",)),
+    ("SulfurReduction", "CS(=O)C", ("CSC.O", "C.CS=O")),
+    ("SulfurReduction", "CSSC", ("CS.CS", "C.CSS")),
+    ("Epoxidation", "C=C", ("C1CO1",)),
+    ("Epoxidation", "c1ccccc1", ("C1=CC=CC2OC12",)),
+    ("EpoxideHydration", "C=C", ("OCCO",)),
+    ("EpoxideHydration", "c1ccccc1", ("OC1C=CC=CC1O",)),
+    ("SulfurOxidation", "CSC", ("CS(C)=O", "CS(C)O", "C[S+](C)[O-]")),
+    ("NitrogenOxidation", "CCN", ("CCN=O", "CCNO")),
+    ("NitrogenOxidation", "CN(C)C", ("C[N+](C)(C)[O-]",)),
+    ("NitrogenOxidation", "c1ccncc1", ("[O-][n+]1ccccc1",)),
+    ("OxidativeDehalogenation", "CCCl", ("CC(=O)O.Cl", "CCO.Cl")),
+    ("OxidativeDehalogenation", "Clc1ccccc1", ("Cl.Oc1ccccc1", "Oc1ccccc1Cl")),
+    ("Acetylation", "CCO", ("CCOC(C)=O",)),
+    ("Acetylation", "Nc1ccccc1", ("CC(=O)Nc1ccccc1",)),
+    ("Sulfation", "CCO", ("CCOS(=O)(=O)O",)),
+    ("Glucuronidation", "CCO", ("CCOC1OC(C(=O)O)C(O)C(O)C1O",)),
+    ("Glutathionation", "C=C", ("CC" + _GS,)),
+    ("Glutathionation", "C1OC1", ("OCC" + _GS,)),
+    ("GlutathionationNoThiol", "C1OC1", ("OCC" + _GS,)),
+    ("GSH", "CCS", ("CCS" + _GS,)),
+    ("Protein", "C1OC1", ("OCCSCC(N)C(=O)O",)),
+    ("Protein", "CCS", ("CCSSCC(N)C(=O)O",)),
+    ("DNA", "C=C", ("CCn1cnc2c1nc(N)[nH]c2=O",)),
+    ("Cyanide", "C1OC1", ("N#CCCO",)),
+    ("Cyanide", "CC=O", ("CC(O)C#N",)),
+    ("Cyanide", "CCCl", ("CCC#N.Cl",)),
+    ("Cyanide", "Clc1ccccc1", ("Cl.N#Cc1ccccc1",)),
+    ("Cyanide", "CC=CC=O", ("CC(C#N)C=CO", "CC=CC(O)C#N")),
+    ("Cyanide", "CN=C=O", ("CNC(=O)C#N",)),
+    ("Cyanide", "CCOS(C)(=O)=O", ("CCC#N.CS(=O)(=O)O",)),
+    ("Cyanide", "CC1CN1", ("CC(CN)C#N", "CC(N)CC#N")),
+)
+
 #: (molecule, query, raw matches, sites, sizes of the sites' orbits)
 SITES = (("CCC", "[#6H2,#6H3:1]", 3, 2, "1,2"), ("c1ccccc1", "[c:1]", 6, 1, "6"))

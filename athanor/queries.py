@@ -296,7 +296,19 @@ def counters_rollup(spark, sf):
 
 
 def chem_products(spark, sf):
-    """The worked examples whose product the rule gives, found by canonical text."""
+    """Every outcome of the worked molecules under their rules: as the examples write it, or as it was made where they don't
+    have it.  A rule that makes more, or less, gives other rows."""
+    rows = [(r, m, [".".join(canonical_smiles(x) for x in p.split(".")) for p in every], list(every)) for r, m, every in examples.EXACT]
+    table = spark.createDataFrame(rows, "rule string, smiles string, known array<string>, written array<string>")
+    made = metabolize.emit(table, catalog="All").filter("leaf = rule")
+    outcome = F.concat_ws(".", F.array_sort("products"))
+    sorted_known = F.transform("known", lambda x: F.concat_ws(".", F.array_sort(F.split(x, r"\."))))
+    at = F.array_position(sorted_known, outcome).cast("int")
+    return made.select("rule", F.col("smiles").alias("reactant"), F.when(at > 0, F.get("written", at - 1)).otherwise(outcome).alias("product")).distinct()
+
+
+def chem_examples(spark, sf):
+    """The worked examples whose product the rule gives, among others."""
     rows = [(k, *r, canonical_smiles(r[2])) for k, r in enumerate(examples.PRODUCTS)]
     table = spark.createDataFrame(rows, "case int, rule string, smiles string, product string, want string")
     made = metabolize.emit(table, catalog=sorted({r[0] for r in examples.PRODUCTS})).filter("leaf = rule")
@@ -322,7 +334,7 @@ QUERIES = {
         bag_formula, bag_delta, bag_l1, bag_heavy_l1, bag_apply_delta, weighted_mass, mz_within, unique_sites, emission_dedup, fold_or, layer_stats, pair_compose, bfs_levels, bfs_target_gate,
         net_parents, net_children, net_counts, net_degrees, net_prune, net_reaches, net_closest, net_step_path, net_simple_paths, transition_edges, plan_closure, plan_reduction, plan_linearizations,
         maybe_allows, residual_class, score_log_neg_pc, field_cost, order_key_topk, diversity_rank, sssom_resolve, counters_rollup,
-        chem_products, chem_paths, chem_first_products,
+        chem_products, chem_examples, chem_paths, chem_first_products,
     )
 }
 
@@ -385,7 +397,8 @@ SELECT n_regionkey, (factorial((1 + k + leaves)::INT) / ((1 + k + leaves) * hook
     "sssom_resolve": """WITH c AS (SELECT page_id, url, CASE WHEN starts_with(url, 'https://') THEN 'ex:' || substr(url, 9) WHEN starts_with(url, 'http://') THEN 'plain:' || substr(url, 8) ELSE url END AS curie FROM pages),
 s AS (SELECT *, list_filter(string_split(regexp_replace(curie, '^[A-Za-z0-9_.-]+:/*', ''), '/'), lambda x: x <> '') AS steps FROM c)
 SELECT page_id, curie, url AS iri, len(steps)::BIGINT AS n_segments, coalesce(steps[1], '') AS root FROM s""",
-    "chem_products": f"SELECT * FROM (VALUES {_quoted(examples.PRODUCTS)}) v(rule, reactant, product)",
+    "chem_products": f"SELECT * FROM (VALUES {_quoted([(r, m, p) for r, m, every in examples.EXACT for p in every])}) v(rule, reactant, product)",
+    "chem_examples": f"SELECT * FROM (VALUES {_quoted(examples.PRODUCTS)}) v(rule, reactant, product)",
     "chem_paths": f"SELECT * FROM (VALUES {_quoted([c[:1] for s in (examples.MID, examples.LARGER, examples.HARD) for c in s])}) v(name)",
     "chem_first_products": "SELECT * FROM (VALUES ('CC', 1, 2), ('CCC', 2, 2), ('c1ccccc1', 1, 6)) v(smiles, n_products, largest_orbit)",
     "counters_rollup": """SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_click, count(*) FILTER (WHERE event_type = 'view') AS n_view,
