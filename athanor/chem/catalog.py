@@ -375,6 +375,7 @@ def catalogs() -> dict[str, Catalog]:
     reduction = _set("Reduction", "Hydrogenation", "Dehydration", "NitrogenReduction", "SulfurReduction", "OxygenReduction", "ReductiveDehalogenation")
     core = Catalog("PhaseOneCore", (stable, unstable, dehydrogenation, hydrolysis, reduction))
     r = rules()
+    conjugation = _set("Conjugation", "Acetylation", "Glucuronidation", "Glutathionation", "Sulfation")
     phase_one = core.compose(r["QuinoneFormation"], r["EpoxideHydration"], name="PhaseOne")
     return {
         c.name: c
@@ -384,6 +385,12 @@ def catalogs() -> dict[str, Catalog]:
             replace(phase_one, name="ProductGraph"),
             _set("Reactivity", "GSH", "Protein", "DNA", "Cyanide"),
             _set("All", *r),
+            # The older named sets; conjugation has the four adducts, bioactivation the routes to reactive products.
+            replace(core, name="PhaseOneRS"),
+            Catalog("PhaseOneQF", (r["QuinoneFormation"], replace(core, name="PhaseOneRS"))),
+            conjugation, replace(conjugation, name="CJ"), _set("TT", "Tautomerization"), _set("TSO", "ThiopheneSulfurOxidation"),
+            _set("Bioactivation", "QuinoneFormation", "Epoxidation", "ThiopheneSulfurOxidation", "NitroaromaticReduction"),
+            Catalog("Full", (stable, unstable, dehydrogenation, replace(hydrolysis, members=(*hydrolysis.members, r["AzoSplitting"])), replace(reduction, members=(*reduction.members, r["BenzodioxoleReduction"])), conjugation, r["QuinoneFormation"], r["Tautomerization"])),
         )
     }
 
@@ -393,6 +400,35 @@ def resolve(name: str) -> Rule | Catalog:
     return rules().get(name) or catalogs()[name]
 
 
+def o_dealkylation() -> Rule:
+    """Loss of a methyl group from oxygen, as formic acid, alone."""
+    return Rule("Dealkylation", (arrow("O-Me", "[#6H3:1][#8H0:2]", "cut 1 2; add 1 =O; add 1 O", adds="OO", leave=1),), examples=("COc1ccccc1",))
+
+
+#: The five classes of phase I by the catalogs that hold them, with their colours.
+COLOURS = {
+    "StableOxygenation": ("SO", "#D55E00"),
+    "UnstableOxygenation": ("UO", "#E69F00"),
+    "Dehydrogenation": ("DH", "#009E73"),
+    "Hydrolysis": ("HD", "#56B4E9"),
+    "Reduction": ("RD", "#CC79A7"),
+}
+
+
+def colour_labels(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The classes on an emission's path of names, leaf first; a leaf that has a class's name counts by its catalog."""
+    return tuple(COLOURS[name][0] for name in path[1:] if name in COLOURS)
+
+
+def rule_from_rows(name: str, rows: list[dict]) -> Rule:
+    """A rule of the user's own from rows (name, query, edit and further fields of a pattern), as a table or JSON holds them."""
+    patterns = []
+    for row in rows:
+        more = {k: tuple(v) if isinstance(v, list) else v for k, v in row.items() if v is not None}
+        patterns.append(Pattern(**more))
+    return Rule(name, tuple(patterns))
+
+
 def bound(rule: str, pattern: str) -> Rule:
     """The rule with one of its patterns alone (an end of a pair meets only ends of that pattern)."""
     whole = rules()[rule]

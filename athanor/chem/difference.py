@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from ..plans.algebra import Maybe, Side
 from .molecule import Mol, ParseError, aromatic_bonds, canonical, parse, stable_key, symmetry_classes
 from .reactions import metabolize
 
@@ -155,6 +156,20 @@ class Fold:
     fragments: tuple[str, ...]
     arms: list[tuple[str, str, tuple[int, ...]]]
 
+    def maybe_for(self, arm: int, kept: str) -> Maybe | None:
+        """What stays optional when the walk goes on with one fragment: the others, at this arm's site; None if there is no
+        such arm or fragment."""
+        if not 0 <= arm < len(self.arms) or kept not in self.fragments:
+            return None
+        others = list(self.fragments)
+        others.remove(kept)
+        return Maybe(tuple(Side(self.arms[arm][2]) for _ in others))
+
+    def choose(self, arm: int, kept: str) -> tuple[tuple[str, str, tuple[int, ...]], Maybe] | None:
+        """The arm with what then stays optional."""
+        maybe = self.maybe_for(arm, kept)
+        return None if maybe is None else (self.arms[arm], maybe)
+
 
 def cleavage_layer(text: str, catalog="PhaseOne") -> list[Fold]:
     """One step of cleaving edits, equal outcomes together, in the order found."""
@@ -183,3 +198,28 @@ def cleavage_graph(text: str, catalog="PhaseOne", max_nodes: int = 50, max_depth
                     depth[x] = depth[t] + 1
                     queue.append(x)
     return depth, folds
+
+
+@dataclass(frozen=True)
+class Seed:
+    """A fragment to begin a search from: how it was cut free, and what it still lacks."""
+
+    text: str
+    depth: int
+    cost: int
+    hops: tuple[tuple[str, str], ...]
+
+
+def first_seeds(reactant: str, target: str, catalog="PhaseOne", max_depth: int = 2, max_nodes: int = 50) -> list[Seed]:
+    """The fragments that cleaving alone gives, the molecule itself among them, by their remaining difference to the target."""
+    goal, start = parse(target), canonical(parse(reactant))
+    hops: dict[str, tuple[tuple[str, str], ...]] = {start: ()}
+    queue = [start]
+    for text in queue:
+        if len(hops[text]) < max_depth:
+            for fold in cleavage_layer(text, catalog):
+                for part in dict.fromkeys(fold.fragments):
+                    if part not in hops and len(hops) < max_nodes:
+                        hops[part] = (*hops[text], fold.arms[0][:2])
+                        queue.append(part)
+    return sorted((Seed(t, len(h), atom_difference(parse(t), goal).cost, h) for t, h in hops.items()), key=lambda s: (s.cost, s.depth, s.text))
