@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,11 @@ from .chem import examples
 from .chem.molecule import canonical_smiles
 from .chem.search import Search
 from .functions import bags, curies, mass, scores
-from .operators import graph, joins, metabolize, sites
+from .operators import catalogs, graph, joins, metabolize, sites
 from .plans import relations
 from .plans.algebra import count_linear_extensions
+from .session import shared_folder
+from .sources import readers
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SKIPPED = ("h",)
@@ -328,13 +332,118 @@ def chem_first_products(spark, sf):
     return metabolize.metabolize(df, catalog="Hydroxylation").groupBy("smiles").agg(F.count(F.lit(1)).alias("n_products"), F.max(F.size("orbit")).cast("bigint").alias("largest_orbit"))
 
 
+def _molecules(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "smiles string")
+
+
+def _joined(column: str):
+    return F.concat_ws(" ", F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], e["value"].cast("string"))))
+
+
+def table_molecules(spark, sf):
+    """Formula, charge, atoms and symmetry of read molecules; what can't be read is an error row."""
+    found = metabolize.parse_molecules(_molecules(spark, "CCO", "c1ccccc1", "C[N+](C)(C)C", "bad(", "[13CH4]"))
+    return found.select("smiles", _joined("formula").alias("formula"), "charge", "heavy_atoms", "n_symmetry_classes", F.round("mass", 3).alias("mass"), F.col("parse_error").isNotNull().alias("failed"))
+
+
+def table_applicable(spark, sf):
+    """Patterns of a rule whose elements a molecule has."""
+    known = metabolize.parse_molecules(_molecules(spark, "CCO", "CC", "CCN"))
+    return metabolize.applicable(known, metabolize.pattern_table(spark, "Sulfation")).select("smiles", "leaf", "pattern")
+
+
+def table_sites(spark, sf):
+    """Candidates before any edit."""
+    found = metabolize.find_sites(_molecules(spark, "CCO", "c1ccccc1"), catalog="Hydroxylation")
+    return found.select("smiles", "leaf", "pattern", F.concat_ws(",", F.transform("site", lambda x: x.cast("string"))).alias("site"), F.size("orbit").alias("orbit"), _joined("delta").alias("delta"))
+
+
+def table_filtered(spark, sf):
+    """Products at kept sites of kept rules."""
+    found = metabolize.metabolize(_molecules(spark, "CCO", "CCC"), catalog="PhaseOne", rules=F.col("leaf") == "Hydroxylation", sites=F.array_contains("site", F.lit(0)))
+    return found.select("smiles", "leaf", "pattern", F.size("products").alias("parts"))
+
+
+def table_graph(spark, sf):
+    """Nodes by level of the graph that two steps of a rule make."""
+    nodes, _ = metabolize.expand_graph(_molecules(spark, "CC", "c1ccccc1"), "Hydroxylation", 2)
+    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_graph_edges(spark, sf):
+    _, edges = metabolize.expand_graph(_molecules(spark, "CC", "c1ccccc1"), "Hydroxylation", 2)
+    return edges.groupBy("leaf", "pattern", "cleaves").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_masses(spark, sf):
+    """Searches to a mass, one of them unreadable."""
+    asked = spark.createDataFrame([("ethanol", "CCO", 62.0368), ("benzene", "c1ccccc1", 94.0419), ("none", "CC", 500.0), ("bad", "C(", 1.0)], "query_id string, reactant string, mz double")
+    found, counters = metabolize.find_masses(asked, 0.002, config=Search(max_nodes=50))
+    exact = found.filter("exact").groupBy("query_id").agg(F.first("rules").alias("rules"))
+    return counters.join(exact, "query_id", "left").select("query_id", F.concat_ws(">", "rules").alias("rules"), F.col("error").isNotNull().alias("failed"))
+
+
+def table_walks(spark, sf):
+    """Seeded walks: two of equal seeds are equal."""
+    asked = spark.createDataFrame([("a", "CCO", 5), ("b", "CCO", 5), ("c", "c1ccccc1", 9)], "query_id string, reactant string, seed long")
+    steps = metabolize.random_walks(asked, 3)
+    one, two = (steps.filter(F.col("query_id") == q).select("step", "rule", "product") for q in "ab")
+    return steps.groupBy("query_id").agg(F.count(F.lit(1)).alias("steps")).crossJoin(one.join(two, ["step", "rule", "product"]).agg(F.count(F.lit(1)).alias("equal")))  # one row
+
+
+def table_mismatches(spark, sf):
+    """Emissions whose change of formula is not the declared one."""
+    df, rules = _molecules(spark, "CCO", "CC(=O)OC", "c1ccccc1", "[O-][N+](=O)c1ccccc1"), ["Hydrolysis", "NitroaromaticReduction"]
+    sites_, made = metabolize.find_sites(df, catalog=rules), metabolize.emit(df, catalog=rules)
+    return catalogs.formula_mismatches(sites_, made).groupBy("leaf", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_resolved(spark, sf):
+    """Identifiers whose path leads to a rule, a catalog or a pattern."""
+    df = spark.createDataFrame([("x:Hydroxylation/h2",), ("x:PhaseOne/StableOxygenation",), ("x:Epoxidation",), ("x:Nothing/there",)], "id string")
+    return catalogs.resolve_identifiers(df, "id").select("id", "kind")
+
+
+def io_smiles(spark, sf):
+    """A list of molecules written and read back, a comment and an unreadable line among them."""
+    folder = f"{shared_folder(spark)}/io-{uuid.uuid4().hex[:12]}"
+    lines = metabolize.parse_molecules(_molecules(spark, "OCC", "c1ccccc1", "C1CC1")).unionByName(spark.createDataFrame([("C(", "C(")], "smiles string, csmi string"), allowMissingColumns=True)
+    readers.write_smiles(lines.coalesce(1), f"{folder}/list", name="smiles")
+    found = readers.read_smiles(spark, f"{folder}/list")
+    return found.select("name", F.col("parse_error").isNull().alias("read"), "heavy_atoms")
+
+
+def io_mapping(spark, sf):
+    """A mapping table with comment lines, written as text and read back."""
+    folder = f"{shared_folder(spark)}/io-{uuid.uuid4().hex[:12]}"
+    rows = ["#curie_map: x", "subject_id\tpredicate_id\tobject_id\tmapping_justification\tsubject_label\tobject_label\talways_with", "x:1\tp\ty:2\tj\ta\tb\t", "x:3\tq\ty:4\tj\tc\td\tx:1"]
+    spark.createDataFrame([("\n".join(rows),)], "value string").coalesce(1).write.text(f"{folder}/map")
+    return readers.read_mapping(spark, f"{folder}/map").select("subject_id", "predicate_id", "object_id", "always_with")
+
+
+def io_sections(spark, sf):
+    """Substrates by section."""
+    folder = f"{shared_folder(spark)}/io-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame([("[one]\nCC\nCCC\n[two]\nCO",)], "value string").coalesce(1).write.text(f"{folder}/sections")
+    return readers.read_sections(spark, f"{folder}/sections").filter("section is not null").select("section", F.col("ord").cast("int").alias("ord"), "smiles")
+
+
+def io_emissions(spark, sf):
+    """Emissions as JSON lines, read back with their nested fields."""
+    folder = f"{shared_folder(spark)}/io-{uuid.uuid4().hex[:12]}"
+    readers.write_emissions(metabolize.emit(_molecules(spark, "CCO", "C=C"), catalog=["Hydroxylation", "Epoxidation"]), f"{folder}/json")
+    found = spark.read.schema(f"smiles string, {metabolize.EMISSION}").json(f"{folder}/json")
+    return found.select("smiles", "leaf", "pattern", F.size("products").alias("parts"), _joined("delta").alias("delta"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bag_formula, bag_delta, bag_l1, bag_heavy_l1, bag_apply_delta, weighted_mass, mz_within, unique_sites, emission_dedup, fold_or, layer_stats, pair_compose, bfs_levels, bfs_target_gate,
         net_parents, net_children, net_counts, net_degrees, net_prune, net_reaches, net_closest, net_step_path, net_simple_paths, transition_edges, plan_closure, plan_reduction, plan_linearizations,
         maybe_allows, residual_class, score_log_neg_pc, field_cost, order_key_topk, diversity_rank, sssom_resolve, counters_rollup,
-        chem_products, chem_examples, chem_paths, chem_first_products,
+        chem_products, chem_examples, chem_paths, chem_first_products, table_molecules, table_applicable, table_sites, table_filtered, table_graph, table_graph_edges, table_masses, table_walks,
+        table_mismatches, table_resolved, io_smiles, io_mapping, io_sections, io_emissions,
     )
 }
 
@@ -400,6 +509,21 @@ SELECT page_id, curie, url AS iri, len(steps)::BIGINT AS n_segments, coalesce(st
     "chem_products": f"SELECT * FROM (VALUES {_quoted([(r, m, p) for r, m, every in examples.EXACT for p in every])}) v(rule, reactant, product)",
     "chem_examples": f"SELECT * FROM (VALUES {_quoted(examples.PRODUCTS)}) v(rule, reactant, product)",
     "chem_paths": f"SELECT * FROM (VALUES {_quoted([c[:1] for s in (examples.MID, examples.LARGER, examples.HARD) for c in s])}) v(name)",
+    "table_molecules": """SELECT * REPLACE (mass::DOUBLE AS mass) FROM (VALUES ('CCO', 'C2 H6 O1', 0, 3, 3, 46.042, false), ('c1ccccc1', 'C6 H6', 0, 6, 1, 78.047, false), ('C[N+](C)(C)C', '+1 C4 H12 N1', 1, 5, 2, 74.097, false),
+('bad(', '', NULL, NULL, NULL, NULL, true), ('[13CH4]', 'C1 H4', 0, 1, 1, 17.035, false)) v(smiles, formula, charge, heavy_atoms, n_symmetry_classes, mass, failed)""",
+    "table_applicable": "SELECT * FROM (VALUES ('CCO', 'Sulfation', 'alcohol'), ('CCO', 'Sulfation', 'epoxide_methyl_sulfone')) v(smiles, leaf, pattern)",
+    "table_sites": "SELECT * FROM (VALUES ('CCO', 'Hydroxylation', 'h2', '0', 1, 'O1'), ('CCO', 'Hydroxylation', 'h2', '1', 1, 'O1'), ('c1ccccc1', 'Hydroxylation', 'h', '0', 6, 'O1')) v(smiles, leaf, pattern, site, orbit, delta)",
+    "table_filtered": "SELECT * FROM (VALUES ('CCO', 'Hydroxylation', 'h2', 1), ('CCC', 'Hydroxylation', 'h2', 1)) v(smiles, leaf, pattern, parts)",
+    "table_graph": "SELECT * FROM (VALUES (0, 2), (1, 2), (2, 5)) v(level, n)",
+    "table_graph_edges": "SELECT * FROM (VALUES ('Hydroxylation', 'h', false, 4), ('Hydroxylation', 'h2', false, 3)) v(leaf, pattern, cleaves, n)",
+    "table_masses": "SELECT * FROM (VALUES ('ethanol', 'Hydroxylation', false), ('benzene', 'Hydroxylation', false), ('none', '', false), ('bad', '', true)) v(query_id, rules, failed)",
+    "table_walks": "SELECT * FROM (VALUES ('a', 3, 3), ('b', 3, 3), ('c', 3, 3)) v(query_id, steps, equal)",
+    "table_mismatches": "SELECT 'NitroaromaticReduction' AS leaf, 'nitro_neutral' AS pattern, 1::BIGINT AS n",
+    "table_resolved": "SELECT * FROM (VALUES ('x:Hydroxylation/h2', 'pattern'), ('x:PhaseOne/StableOxygenation', 'catalog'), ('x:Epoxidation', 'rule'), ('x:Nothing/there', NULL)) v(id, kind)",
+    "io_smiles": "SELECT * FROM (VALUES ('OCC', true, 3), ('c1ccccc1', true, 6), ('C1CC1', true, 3), ('C(', false, NULL)) v(name, read, heavy_atoms)",
+    "io_mapping": "SELECT * FROM (VALUES ('x:1', 'p', 'y:2', NULL), ('x:3', 'q', 'y:4', 'x:1')) v(subject_id, predicate_id, object_id, always_with)",
+    "io_sections": "SELECT * FROM (VALUES ('one', 0, 'CC'), ('one', 1, 'CCC'), ('two', 0, 'CO')) v(section, ord, smiles)",
+    "io_emissions": "SELECT * FROM (VALUES ('CCO', 'Hydroxylation', 'h2', 1, 'O1'), ('CCO', 'Hydroxylation', 'h2', 1, 'O1'), ('C=C', 'Hydroxylation', 'h2', 1, 'O1'), ('C=C', 'Epoxidation', 'epoxide', 1, 'O1')) v(smiles, leaf, pattern, parts, delta)",
     "chem_first_products": "SELECT * FROM (VALUES ('CC', 1, 2), ('CCC', 2, 2), ('c1ccccc1', 1, 6)) v(smiles, n_products, largest_orbit)",
     "counters_rollup": """SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_click, count(*) FILTER (WHERE event_type = 'view') AS n_view,
 count(*) FILTER (WHERE event_type = 'purchase') AS n_purchase, count(*) AS billed FROM events GROUP BY user_id""",
