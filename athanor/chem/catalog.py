@@ -2,8 +2,8 @@
 
 A pattern is a query and an edit program (see `query` and `edits`), or the description of one end of a pair.
 `site` names the map numbers that identify the place; `adds` and `removes` declare the change of formula for
-the bag algebra (H as hydrogens, + and - as charge units).  Queries state chemistry and are fixed values; each
-says in `meaning` what it is for.
+the bag algebra (H as hydrogens, + and - as charge units).  Names and queries are fixed values, written out as they
+are published; an edit program, the sites and the changes of formula are this catalog's own.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import cache
 
-X = "F,Cl,Br,I,At"
-
 
 @dataclass(frozen=True)
 class Pattern:
@@ -136,32 +134,46 @@ def end(name, query, what, roles, site, **more):
     return Pattern(name, query, site=site, kind="atom pair", end=what, roles=roles, **more)
 
 
-_DONOR = "#7D1H2,#7D2H1"
-_METHIDE = "#6D1H3,#6D2H2,#6D3H1"
-_HC = "#6H1,#6H2,#6H3"
+#: What the leaving carbon becomes: the edit, and what it adds.
+_LEAVES = {"carboxylic": ("cut 1 2; add 1 =O; add 1 O", "OO"), "carbonyl": ("cut 1 2; add 1 =O", "O"), "alcohol": ("cut 1 2; add 1 O", "OHH")}
 
 
-def _dealkylation(partner: str, name: str, extra: tuple[Pattern, ...] = ()) -> Rule:
-    """Cuts of a carbon from a heteroatom; the carbon leaves as acid, carbonyl or alcohol, by its hydrogens."""
-    out = []
-    forms = {"carboxylic": ("cut 1 2; add 1 =O; add 1 O", "OO"), "carbonyl": ("cut 1 2; add 1 =O", "O"), "alcohol": ("cut 1 2; add 1 O", "OHH")}
-    for which, h, kinds in (("methyl", 3, ("carboxylic", "carbonyl", "alcohol")), ("methylene", 2, ("carboxylic", "carbonyl", "alcohol")), ("methine", 1, ("carbonyl", "alcohol"))):
-        for kind in kinds:
-            out.append(arrow(f"{which}_{kind}", f"[#6H{h}:1][{partner}:2]", forms[kind][0], adds=forms[kind][1], leave=1 if which == "methyl" else None))
-    return Rule(name, (*out, *extra), examples=("CN(C)c1ccccc1",))
+def _leaving(name: str, query: str, **more) -> Pattern:
+    """A cut of the matched bond; the name's last word says what becomes of the carbon."""
+    edit, adds = _LEAVES[name.rpartition("_")[2]]
+    return arrow(name, query, edit, adds=adds, leave=1 if name.startswith("methyl_") else None, **more)
 
 
-#: Leaving a carbon fully substituted, a carbon-carbon bond, or an aminal.
-_HEMIAMINAL = arrow("hemiaminal", "[#8H1:3]-[#6:1]-[#7,#8,#16:2]", "cut 1 2; bond 3 1 =")
-_QUATERNARY = (
-    arrow("quaternary_alcohol", "[#6H0:1][#8H0,#16:2]", "cut 1 2; add 1 O", adds="OHH"),
+_DEALKYLATION = (
+    _leaving("methyl_carboxylic", "[#6H3:1][#7,#8H0,#16:2]"),
+    _leaving("methyl_carbonyl", "[#6H3:1][#7,#8H0,#16:2]"),
+    _leaving("methyl_alcohol", "[#6H3:1][#7,#8H0,#16:2]"),
+    _leaving("methylene_carboxylic", "[#6H2:1][#7,#8H0,#16:2]"),
+    _leaving("methylene_carbonyl", "[#6H2:1][#7,#8H0,#16:2]"),
+    _leaving("methylene_alcohol", "[#6H2:1][#7,#8H0,#16:2]"),
+    _leaving("methine_carbonyl", "[#6H1:1][#7,#8H0,#16:2]"),
+    _leaving("methine_alcohol", "[#6H1:1][#7,#8H0,#16:2]"),
+    _leaving("quaternary_alcohol", "[#6H0:1][#8H0,#16:2]"),
     arrow("quaternary_alcohol_n", "[#6H0:1][#7;!+:2]", "cut 1 2; add 1 O", adds="OHH"),
     arrow("quaternary_alcohol_nitro", "[#6H0:1][#7+:2]", "cut 1 2; add 1 O; charge 2 -", adds="OH", removes="+"),
-    arrow("cc_quaternary_alcohol", "[#6H0:1][#6:2]", "cut 1 2; add 1 O", adds="OHH"),
-    arrow("cc_alcohol", f"[{_HC}:1][#6:2]", "cut 1 2; add 1 O", adds="OHH"),
-    arrow("cc_carbonyl", f"[{_HC}:1][#6:2]", "cut 1 2; add 1 =O", adds="O"),
+    _leaving("cc_quaternary_alcohol", "[#6H0:1][#6:2]"),
+    _leaving("cc_alcohol", "[#6h1,#6h2,#6h3:1][#6:2]"),
+    _leaving("cc_carbonyl", "[#6h1,#6h2,#6h3:1][#6:2]"),
+    arrow("hemiaminal", "[#8H1:3]-[#6:1]-[#7,#8,#16:2]", "cut 1 2; bond 3 1 ="),
+)
+_N_DEALKYLATION = (
+    _leaving("methyl_carboxylic", "[#6H3:1][#7:2]"),
+    _leaving("methyl_carbonyl", "[#6H3:1][#7:2]"),
+    _leaving("methyl_alcohol", "[#6H3:1][#7:2]"),
+    _leaving("methylene_carboxylic", "[#6H2:1][#7:2]"),
+    _leaving("methylene_carbonyl", "[#6H2:1][#7:2]"),
+    _leaving("methylene_alcohol", "[#6H2:1][#7:2]"),
+    _leaving("methine_carbonyl", "[#6H1:1][#7:2]"),
+    _leaving("methine_alcohol", "[#6H1:1][#7:2]"),
+    _leaving("quaternary_alcohol", "[#6H0:1][#7;!+:2]"),
+    arrow("quaternary_alcohol_nitro", "[#6H0:1][#7+:2]", "cut 1 2; add 1 O; charge 2 -", adds="OH", removes="+"),
+    arrow("hemiaminal", "[#8H1:3]-[#6:1]-[#7:2]", "cut 1 2; bond 3 1 ="),
 )
-_N_QUATERNARY = (_QUATERNARY[1], _QUATERNARY[2])
 
 
 def _trapping(group: str, thiol: bool) -> tuple[Pattern, ...]:
@@ -189,35 +201,35 @@ def _trapping(group: str, thiol: bool) -> tuple[Pattern, ...]:
 def rules() -> dict[str, Rule]:
     """The leaf rules by name."""
     leaf = [
-        Rule("Hydroxylation", (atom("h", "[#6H1:1]", "add 1 O", adds="O"), atom("h2", "[#6H2,#6H3:1]", "add 1 O", adds="O")), examples=("CC", "c1ccccc1")),
+        Rule("Hydroxylation", (atom("h", "[#6h1:1]", "add 1 O", adds="O"), atom("h2", "[#6h2,#6h3:1]", "add 1 O", adds="O")), examples=("CC", "c1ccccc1")),
         Rule(
             "Dehydrogenation",
             (
                 pair("sulfoxide", "[#16v4:1]-[#8H1:2]", "bond 1 2 ="),
-                pair("alcohol", f"[{_HC}:1]-[#8H1:2]", "bond 1 2 =", removes="HH"),
-                pair("amine", f"[{_HC}:1]-[{_DONOR}:2]", "bond 1 2 =", removes="HH"),
-                pair("alkyl", f"[{_HC}:1]-[{_METHIDE}:2]", "bond 1 2 =", removes="HH"),
-                end("phenol_end", "[#6:1]-[#8H1:2]", "single_to_double", (1, 2), (2,), removes="H"),
-                end("amine_end", f"[#6:1]-[{_DONOR}:2]", "single_to_double", (1, 2), (2,), removes="H"),
-                end("methide_end", f"[#6:1]-[{_METHIDE}:2]", "single_to_double", (1, 2), (1,), removes="H"),
+                pair("alcohol", "[#6h1,#6h2,#6h3:1]-[#8H1:2]", "bond 1 2 =", removes="HH"),
+                pair("amine", "[#6h1,#6h2,#6h3:1]-[#7D1H2,#7D2H1:2]", "bond 1 2 =", removes="HH"),
+                pair("alkyl", "[#6h1,#6h2,#6h3:1]-[#6D1H3,#6D2H2,#6D3H1:2]", "bond 1 2 =", removes="HH"),
+                end("phenol_end", "[#6:1]-[#8H:2]", "single_to_double", (1, 2), (2,), removes="H"),
+                end("amine_end", "[#6:1]-[#7D1H2,#7D2H1:2]", "single_to_double", (1, 2), (2,), removes="H"),
+                end("methide_end", "[#6:1]-[#6D1H3,#6D2H2,#6D3H1:2]", "single_to_double", (1, 2), (1,), removes="H"),
             ),
             examples=("CCO", "CCC"),
         ),
         Rule(
             "QuinoneFormation",
             (
-                end("single_to_double", f"[#6R:1][#8H1,{_DONOR}:2]", "single_to_double", (1, 2), (1,), removes="H", exclusive=True),
-                end("methide_end", f"[#6R:1][{_METHIDE}:2]", "single_to_double", (1, 2), (1,), removes="H"),
+                end("single_to_double", "[#6R:1][#8H,#7D1H2,#7D2H1:2]", "single_to_double", (1, 2), (1,), removes="H", exclusive=True),
+                end("methide_end", "[#6R:1][#6D1H3,#6D2H2,#6D3H1:2]", "single_to_double", (1, 2), (1,), removes="H"),
                 end("add_carbonyl_o", "[#6D2H1;R:1]", "add_carbonyl_o", (1,), (1,), adds="O", removes="H"),
-                end("replace_halogen", "[#6H0;R:1]-[F,Cl,Br,I:2]", "replace_halogen", (1, 2), (1,), adds="O", exclusive=True),
-                end("iminium", "[#6H0;R:1][#7D3:2]", "iminium", (1, 2), (1,), adds="+", exclusive=True),
+                end("replace_halogen", "[#6H0R:1]-[F,Cl,Br,I:2]", "replace_halogen", (1, 2), (1,), adds="O", exclusive=True),
+                end("iminium", "[#6H0R:1][#7D3:2]", "iminium", (1, 2), (1,), adds="+", exclusive=True),
                 end("dealkylate", "[#6R:1]~[#7,#8:2]~[#6X3,#6X4:3]", "dealkylate", (1, 2, 3), (1,), adds="H", exclusive=True),
                 end("dealkylate_cumulated", "[#6R:1]~[#7,#8:2]=[#6X2:3]=[#7,#8,#16]", "dealkylate", (1, 2, 3), (1,), adds="HHH", exclusive=True),
             ),
             examples=("Oc1ccc(O)cc1",),
         ),
-        _dealkylation("#7,#8H0,#16", "Dealkylation", (*_QUATERNARY, _HEMIAMINAL)),
-        _dealkylation("#7", "NDealkylation", (*_N_QUATERNARY, replace(_HEMIAMINAL, query="[#8H1:3]-[#6:1]-[#7:2]"))),
+        Rule("Dealkylation", _DEALKYLATION, examples=("CN(C)c1ccccc1",)),
+        Rule("NDealkylation", _N_DEALKYLATION, examples=("CN(C)c1ccccc1",)),
         Rule("AzoSplitting", (bond("azo", "[#7:1]=,:[#7:2]", "cut 1 2", adds="HHHH"),), examples=("c1ccccc1N=Nc1ccccc1",)),
         Rule("BenzodioxoleReduction", (arrow("dioxole_methylene", "[#6R:1]-[#8R:2]-[#6H2R:3]-[#8R:4]-[#6R:5]", "cut 2 3; cut 4 3", adds="HHHH"),), examples=("C1Oc2ccccc2O1",)),
         Rule(
@@ -264,9 +276,9 @@ def rules() -> dict[str, Rule]:
         Rule(
             "NitrogenReduction",
             (
-                atom("nitro_charged", "[#8:3]=[#7+:1]-[#8-:2]", "cut 1 2; charge 1 -; charge 2 +", adds="HH", removes="+-"),
-                atom("nitro_anion", "[#8:3]=[#7;!+:1]-[#8-:2]", "cut 1 2; charge 2 +", adds="HH", removes="-"),
-                atom("nitro_neutral", "[#8:3]=[#7;!+:1]-[#8;!-:2]", "cut 1 2", adds="HH"),
+                atom("nitro_charged", "[#8:3]=[#7+1:1]-[#8-1:2]", "cut 1 2; charge 1 -; charge 2 +", adds="HH", removes="+-"),
+                atom("nitro_anion", "[#8:3]=[#7:1]-[#8-1:2]", "cut 1 2; neutral 1; neutral 2", adds="HH", removes="-"),
+                atom("nitro_neutral", "[#8:3]=[#7:1]-[#8:2]", "cut 1 2; neutral 1; neutral 2", adds="HH"),
                 atom("nitro_to_amine", "[#7:1](=[#8:2])-[#8:3]", "cut 1 2; cut 1 3; neutral 1; neutral 3", adds="HHHHHH", removes="+-"),
                 atom("nitro_both", "[#8:3]=[#7:1]-[#8:2]", "cut 1 2; cut 1 3; neutral 1; neutral 2", adds="HHHHHH", removes="+-"),
                 atom("hydroxylamine", "[#7:1]-[#8H1:2]", "cut 1 2", adds="HH"),
@@ -278,7 +290,7 @@ def rules() -> dict[str, Rule]:
         Rule(
             "Tautomerization",
             (
-                end("tautomer_h", "[#6,#7,#8:1]-,:[#6H3,#6H2,#6H1,#7H2,#7H1,#8H1:2]", "unsaturate", (1, 2), (2,), removes="H"),
+                end("tautomer_h", "[#6,#7,#8:1]-,:[#6h3,#6h2,#6h1,#7h2,#7h1,#8H:2]", "unsaturate", (1, 2), (2,), removes="H"),
                 end("path_partner", "[*:1]", "far", (1,), (1,), adds="H"),
             ),
             examples=("CC(C)=O",),
@@ -293,7 +305,7 @@ def rules() -> dict[str, Rule]:
             ),
             examples=("CC=O",),
         ),
-        Rule("ReductiveDehalogenation", (atom("cleave", f"[{X}:1]-[#6:2]", "cut 1 2", adds="HH"), atom("alkene", f"[{X}:1]-[#6:2]-[#6;!a:3]", "cut 1 2; bond 2 3 =")), examples=("CCCl",)),
+        Rule("ReductiveDehalogenation", (atom("cleave", "[#9,#17,#35,#53,#85:1]-[#6:2]", "cut 1 2", adds="HH"), atom("alkene", "[#9,#17,#35,#53,#85:1]-[#6:2]-[#6;!a:3]", "cut 1 2; bond 2 3 =")), examples=("CCCl",)),
         Rule(
             "SulfurReduction",
             (atom("sulfoxide", "[#16:1]=[#8:2]", "cut 1 2", adds="HH"), atom("disulfide", "[#16:1]-[#16:2]", "cut 1 2", adds="HH"), atom("thioether", "[#16:1]-[#6,#8:2]", "cut 1 2", adds="HH")),
@@ -313,7 +325,7 @@ def rules() -> dict[str, Rule]:
         Rule(
             "NitrogenOxidation",
             (
-                atom("hydroxylamine", "[#7v3H1,#7v3H2:1]", "add 1 O", adds="O"),
+                atom("hydroxylamine", "[#7v3h1,#7v3h2:1]", "add 1 O", adds="O"),
                 atom("nitroso", "[#7v3H2:1]", "add 1 =O", adds="O", removes="HH"),
                 atom("n_oxide", "[#7v3H0,#7X2H0:1]", "add 1 O-; charge 1 +; bare 1", adds="O+-"),
             ),
@@ -322,16 +334,16 @@ def rules() -> dict[str, Rule]:
         Rule(
             "OxidativeDehalogenation",
             (
-                atom("alcohol", f"[{X}:1]-[#6:2]", "cut 1 2; add 2 O", adds="OHH"),
-                atom("carbonyl", f"[{X}:1]-[#6H1:2]", "cut 1 2; add 2 =O", adds="O"),
-                atom("carboxylic", f"[{X}:1]-[#6H2:2]", "cut 1 2; add 2 O; add 2 =O", adds="OO"),
-                atom("rearrange", f"[{X}:1]-[#6:2][#6H1:3]", "cut 1 2; add 2 O; bond 3 1 -", adds="O"),
-                atom("gem_carboxylic", f"[{X}:1]-[#6:2]-[{X}:3]", "cut 1 2; cut 2 3; add 2 O; add 2 =O", adds="OOHH"),
-                atom("gem_hydrate", f"[{X}:1]-[#6:2]-[{X}:3]", "cut 1 2; cut 2 3; add 2 O; add 2 O", adds="OOHHHH"),
+                atom("alcohol", "[#9,#17,#35,#53,#85:1]-[#6:2]", "cut 1 2; add 2 O", adds="OHH"),
+                atom("carbonyl", "[#9,#17,#35,#53,#85:1]-[#6h1:2]", "cut 1 2; add 2 =O", adds="O"),
+                atom("carboxylic", "[#9,#17,#35,#53,#85:1]-[#6H2:2]", "cut 1 2; add 2 O; add 2 =O", adds="OO"),
+                atom("rearrange", "[#9,#17,#35,#53,#85:1]-[#6:2][#6H1:3]", "cut 1 2; add 2 O; bond 3 1 -", adds="O"),
+                atom("gem_carboxylic", "[#9,#17,#35,#53,#85:1]-[#6:2]-[#9,#17,#35,#53,#85:3]", "cut 1 2; cut 2 3; add 2 O; add 2 =O", adds="OOHH"),
+                atom("gem_hydrate", "[#9,#17,#35,#53,#85:1]-[#6:2]-[#9,#17,#35,#53,#85:3]", "cut 1 2; cut 2 3; add 2 O; add 2 O", adds="OOHHHH"),
             ),
             examples=("CCCl",),
         ),
-        Rule("Acetylation", (atom("acetyl", "[#7H1,#7H2,#8H1,#16H1:1]", "group 1 acetyl", adds="*", removes="H"),), "Ac", examples=("CCO",)),
+        Rule("Acetylation", (atom("acetyl", "[#7h1,#7h2,#8h1,#16h1:1]", "group 1 acetyl", adds="*", removes="H"),), "Ac", examples=("CCO",)),
         Rule(
             "Sulfation",
             (
@@ -343,7 +355,7 @@ def rules() -> dict[str, Rule]:
         ),
         Rule(
             "Glucuronidation",
-            (atom("alcohol", "[#8H1:1][#6:2]", "group 1 glucuronyl", adds="*", removes="H"), atom("carboxylate", "[#8-:1][#6:2]=[#8:3]", "charge 1 +; group 1 glucuronyl", adds="*", removes="-")),
+            (atom("alcohol", "[#8H1:1][#6:2]", "group 1 glucuronyl", adds="*", removes="H"), atom("carboxylate", "[#8H1,#8-:1][#6:2](=[#8:3])[#6:4]", "neutral 1; group 1 glucuronyl", adds="*", removes="H")),
             "Glc",
             examples=("CCO",),
         ),
