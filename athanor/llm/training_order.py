@@ -10,7 +10,8 @@ Sequences are written once, compressed, so that they can be counted before they
 the shards follow from that table.
 
 Cases: null and empty texts hold the end id alone; the last sequence of a partition is padded; repeated rows
-are written as often as they occur; an empty table gives no shard and no row.
+are written as often as they occur, null ids are carried as null; an empty table gives no shard and no row; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -63,6 +64,8 @@ def feistel(x: np.ndarray, count: int, key: int, rounds: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: More scan partitions than this are joined by a shuffle with the numbers of their first sequences.
+BROADCAST_PARTS = 2_000_000
 #: Sequences that are compressed together in the intermediate table.
 UNIT = 16
 
@@ -124,18 +127,20 @@ def write_training_order(df: DataFrame, folder: str | None = None, id_col: str =
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     table = scratch.write(_sequences(docs, path, o, kind), "sequences")
-    # One row per scan partition: the driver plans a task for each of them anyway.
-    counted = dict(table.groupBy("part").agg(F.sum(F.size("n"))).collect())
-    first = dict(zip(sorted(counted), np.cumsum([0, *(counted[k] for k in sorted(counted))]).tolist()))
-    count = sum(counted.values())
+    # One row per scan partition, of which the driver plans as many tasks anyway.
+    counted = table.groupBy("part").agg(F.sum(F.size("n")).alias("sequences"))
+    parts, count = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("sequences"), F.lit(0))).first()
+    before = F.sum("sequences").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counted.select("part", F.coalesce(before, F.lit(0)).alias("first"))
+    table = table.join(F.broadcast(offsets) if parts <= BROADCAST_PARTS else offsets, "part")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
             for k in range(batch.num_rows):
-                part, at, n, crc, *meta, ids = (c[k].as_py() for c in batch.columns)
+                _, at, n, crc, *meta, ids, first = (c[k].as_py() for c in batch.columns)
                 raw = zstandard.ZstdDecompressor().decompress(ids)
-                slots = feistel(np.arange(first[part] + at, first[part] + at + len(n)), count, o.key, o.rounds)
+                slots = feistel(np.arange(first + at, first + at + len(n)), count, o.key, o.rounds)
                 step = o.length * np.dtype(wide).itemsize
                 packed = [squeeze.compress(raw[s * step : (s + 1) * step]) for s in range(len(n))]
                 yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // o.shard_slots), *(pa.array(x, t.value_type) for x, t in zip((n, crc, *meta), batch.schema.types[2:7])), pa.array(packed, pa.binary())], [*names, "ids"])
