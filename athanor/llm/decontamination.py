@@ -56,7 +56,7 @@ class Leaks:
     short_steps: int = 14
     short_samples: int = 6
     tiny: int = 16
-    block_bytes: int = 2 << 20
+    block_bytes: int = 4 << 20
     #: Bytes of text whose windows are embedded at once.
     slice_bytes: int = 1 << 20
 
@@ -163,7 +163,7 @@ class Buckets:
         keys = keys[rep, word]
         order = np.argsort(keys, kind="stable")
         self.hashes = keys[order]
-        self.piece, self.shift = piece[word][order].astype(np.int32), (at - begins[piece])[word][order].astype(np.int32)
+        self.piece, self.shift = piece[word][order].astype(np.int32), (at - begins[piece])[word][order].astype(np.int16)
         self.bits = max(20, len(keys).bit_length() + 2)
         self.gate = np.zeros(1 << self.bits, bool)
         self.gate[(self.hashes >> U64(64 - self.bits)).astype(np.int64)] = True

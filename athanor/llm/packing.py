@@ -6,8 +6,8 @@ on the curve share sequences, and each range is cut into sequences of `length` i
 documents.  Only the last sequence of a range can need padding.
 
 Cases: null and empty texts hold the end id alone; equal texts have one key and ties are ordered by id, so a
-hot text spreads over many ranges; repeated rows are packed as often as they occur; an empty table gives
-no piece; a very long document runs on over as many sequences as it needs.
+hot text spreads over many ranges; repeated rows are packed as often as they occur, null ids are carried as null; an
+empty table gives no piece; a very long document runs on over as many sequences as it needs; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -28,13 +28,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_open: list[Scratch] = []
+
+
+def drop_scratch() -> None:
+    """Remove the intermediate tables of all calls so far.  Results that were not written anywhere can't be read afterwards; a
+    long session calls this when it has written what it wants to keep.  At the interpreter's end it happens anyway."""
+    while _open:
+        _open.pop().drop()
+
+
 class Scratch:
     """Tables of one operator call, under a folder of their own in the shared one."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` as Parquet and return the table read back."""
@@ -53,6 +63,9 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+atexit.register(drop_scratch)
+
+
 def release(spark: SparkSession) -> None:
     """Let shuffle files of finished steps go now: Spark removes them once its driver has collected what refers
     to them, which on a driver with much memory may be long after."""

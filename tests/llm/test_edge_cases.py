@@ -74,7 +74,7 @@ def test_empty_table(spark, none, name):
     assert (PER_ROW | OTHERS)[name](spark, none).collect() == []
 
 
-@pytest.mark.parametrize("name", ["leaks", "without_leaks", "without_toxic", "kept", "patches"])
+@pytest.mark.parametrize("name", sorted(OTHERS))
 def test_others_run(spark, docs, name):
     OTHERS[name](spark, docs).collect()
 
@@ -102,3 +102,30 @@ def test_clashing_names_are_replaced(spark, docs):
     assert out.columns.count("size") == 1 and dict(out.dtypes)["slot"] == "bigint"
     assert dict(scan_secrets(docs).dtypes)["spans"].startswith("array")
     assert out.filter(F.col("size") != F.coalesce(F.octet_length("text"), F.lit(0)) + 1).count() == 0
+
+
+def test_packing_and_order_of_odd_rows(spark, docs):
+    """Null ids, repeated rows and clashing names: every row's ids come out, as often as it occurs."""
+    pieces = pack_documents(docs, length=64).collect()
+    assert sum(r.start == 0 for r in pieces) == len(ROWS) and sum(r.start == 0 and r.doc_id is None for r in pieces) == 1
+    assert sum(r.start == 0 and r.doc_id == 5 for r in pieces) == 2
+    rows = write_training_order(docs).collect()
+    begun = [i for r in rows for i, start in zip(r.doc_ids, r.doc_starts) if start == 0]
+    assert sorted(map(str, begun)) == sorted(str(r[0]) for r in ROWS)
+
+
+def test_scratch_can_be_dropped(spark, tmp_path):
+    from athanor.llm.scratch import Scratch, drop_scratch
+
+    table = Scratch(spark, "test").write(spark.range(3), "t")
+    assert table.count() == 3
+    path = table.inputFiles()[0].removeprefix("file://")
+    drop_scratch()
+    import os
+
+    assert not os.path.exists(path)
+
+
+def test_near_duplicates_want_integer_ids(spark):
+    with pytest.raises(TypeError):
+        near_duplicate_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
