@@ -7,9 +7,10 @@ that was seen and the bucket of its frequency.  They are learned by expectation-
 of the learning documents is deleted from the counts and its n-grams are predicted from the rest.  The final counts are
 those of all learning documents.
 
-Layout.  Texts are read in chunks of a few million tokens.  A chunk lists its distinct words and n-grams
-as sorted hashes with their counts, cut into at most `fan` ranges of the hash space; a range meets those of all other
-chunks, and a chunk gets back the totals of what other chunks hold too (what it alone holds it knows).
+Layout.  Texts are written once as chunks of a million tokens, numbered within the chunk.  A chunk lists its distinct words
+and n-grams as sorted hashes with their counts, cut into at most `fan` ranges of the hash space, which are exchanged and not
+written; a range meets those of all other chunks, and a chunk gets back the totals of what other chunks hold too (what it
+alone holds it knows).
 Both ways carry distinct n-grams of chunks, not occurrences, and every task handles a chunk or a range of
 bounded size.  A corpus that needs more ranges takes more levels: as many chunks as there are ranges are merged in each
 range, which makes a larger chunk of about the same size for a part of the hash space, and that is cut again.  So rows
@@ -24,9 +25,7 @@ their names, are not looked at.
 
 from __future__ import annotations
 
-import contextlib
 import math
-import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -49,7 +48,7 @@ PAIR = U64(0xC2B2AE3D27D4EB4F)
 class Interpolation:
     """Folds by crc32 of the id as text: `score_fold` is not learned from, `deleted_fold` is held out for EM."""
 
-    order: int = 2
+    order: int = 3
     folds: int = 5
     score_fold: int = 1
     deleted_fold: int = 2
@@ -152,10 +151,14 @@ def _ranged(chunk: int, lists: list[tuple[np.ndarray, np.ndarray]], first: int,
             yield chunk, first + b, blobs
 
 
-def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
-    """Rows of kind d (a chunk's documents) and e (one hash range of a chunk's words and n-grams)."""
+CHUNK = pa.schema([("chunk", pa.int64()), ("p", pa.list_(pa.binary()))])
+ENTRY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("p", pa.list_(pa.binary()))])
 
-    def emit(chunk: int, tokens: list, lengths: list, folds: list, ids: list) -> Iterator[pa.RecordBatch]:
+
+def _chunks(df: DataFrame, p: Interpolation) -> DataFrame:
+    """Rows (chunk, p) of the documents (id, fold, text): ids, folds, lengths, tokens by number, and the vocabulary."""
+
+    def emit(chunk: int, tokens: list, lengths: list, folds: list, ids: list) -> pa.RecordBatch:
         whole = np.concatenate(tokens)
         tokens.clear()
         vocabulary, local, seen = np.unique(whole, return_inverse=True, return_counts=True)
@@ -163,16 +166,10 @@ def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
         order = np.argsort(-seen, kind="stable")  # frequent words get small numbers, which compress
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        local, sizes, fold = rank[local], np.concatenate(lengths), np.concatenate(folds)
         vocabulary = vocabulary[order]
         back = np.argsort(vocabulary)
-        documents = [_pack_column(pa.concat_arrays(ids)), _pack(fold), _pack(sizes.astype(np.uint32)), _pack(local.astype(np.uint32)), _pack_sorted(vocabulary[back]), _pack(back.astype(np.uint32))]
-        word_counts, grams = _entries(local, vocabulary, sizes, fold, p)
-        lists = [(vocabulary[back], word_counts[:, back]), *((x, c) for x, _, c in grams)]
-        del grams, local
-        for kind, rows in (("d", [(chunk, 0, documents)]), ("e", _ranged(chunk, lists, 0, ranges, ranges, p))):
-            for row in rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (kind, *row)))], schema)
+        row = [_pack_column(pa.concat_arrays(ids)), _pack(np.concatenate(folds)), _pack(np.concatenate(lengths).astype(np.uint32)), _pack(rank[local].astype(np.uint32)), _pack_sorted(vocabulary[back]), _pack(back.astype(np.uint32))]
+        return pa.RecordBatch.from_pylist([{"chunk": chunk, "p": row}], CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, 0
@@ -189,17 +186,56 @@ def _chunks(df: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
                 ids.append(batch.column(0).slice(i, j - i))
                 held += len(tokens[-1])
                 if held >= p.chunk_tokens:
-                    yield from emit(chunk, tokens, lengths, folds, ids)
+                    yield emit(chunk, tokens, lengths, folds, ids)
                     chunk, held = chunk + 1, 0
                     tokens, lengths, folds, ids = [], [], [], []
                     trim()
         if ids:
-            yield from emit(chunk, tokens, lengths, folds, ids)
+            yield emit(chunk, tokens, lengths, folds, ids)
         tokens, lengths, folds, ids = [], [], [], []
         trim()
 
-    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("p", pa.list_(pa.binary()))])
-    return df.mapInArrow(run, "kind string, chunk long, bucket long, p array<binary>")
+    return df.mapInArrow(run, "chunk long, p array<binary>")
+
+
+@dataclass
+class Opened:
+    """A chunk as it was written, with its entries."""
+
+    ids: pa.Array
+    folds: np.ndarray
+    lengths: np.ndarray
+    vocabulary: np.ndarray  # sorted
+    back: np.ndarray  # the numbers of the words in that order
+    local: np.ndarray  # tokens by number
+    word_counts: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _opened(row: list[bytes], p: Interpolation) -> Opened:
+    ids, folds, sizes, local, vocabulary, back = row
+    lengths, local, back = _unpack(sizes, np.uint32).astype(np.int64), _unpack(local, np.uint32), _unpack(back, np.uint32)
+    in_order, folds = _unpack_sorted(vocabulary), _unpack(folds, np.uint8)
+    by_number = np.empty_like(in_order)
+    by_number[back] = in_order
+    return Opened(_unpack_column(ids), folds, lengths, in_order, back, local, *_entries(local, by_number, lengths, folds, p))
+
+
+def _chunk_entries(chunks: DataFrame, p: Interpolation, ranges: int) -> DataFrame:
+    """Rows (chunk, bucket, p): each chunk's distinct words and n-grams by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c = _opened(row.as_py(), p)
+                lists = [(c.vocabulary, c.word_counts[:, c.back]), *((hashes, counts) for hashes, _, counts in c.grams)]
+                del c
+                for made in _ranged(number, lists, 0, ranges, ranges, p):
+                    yield pa.RecordBatch.from_pylist([dict(zip(ENTRY.names, made))], ENTRY)
+                del lists
+                trim()
+
+    return chunks.mapInArrow(run, E_SCHEMA)
 
 
 TOTALS = ("tokens", "kinds", "tokens_left", "kinds_left")
@@ -345,31 +381,26 @@ class Resolved:
 
 def _resolved(documents: pa.Table, totals: pa.Table, p: Interpolation, ranges: int, left: bool) -> Resolved:
     """A chunk's tokens with the counts of all learning texts or, with `left`, of those but the deleted fold."""
-    ids, folds, sizes, local, vocabulary, back = (x.as_py() for x in documents["p"][0])
-    lengths, local, back = _unpack(sizes, np.uint32).astype(np.int64), _unpack(local, np.uint32), _unpack(back, np.uint32)
-    in_order, folds = _unpack_sorted(vocabulary), _unpack(folds, np.uint8)
-    words_ = np.empty_like(in_order)
-    words_[back] = in_order
-    word_counts, grams = _entries(local, words_, lengths, folds, p)
-    counts = [word_counts.astype(np.int64), *(c.astype(np.int64) for _, _, c in grams)]
-    hashes, places = [in_order, *(x for x, _, _ in grams)], [local, *(x for _, x, _ in grams)]
-    del word_counts, grams, words_, vocabulary
+    o = _opened(documents["p"][0].as_py(), p)
+    counts = [o.word_counts.astype(np.int64), *(c.astype(np.int64) for _, _, c in o.grams)]
+    hashes, places = [o.vocabulary, *(x for x, _, _ in o.grams)], [o.local, *(x for _, x, _ in o.grams)]
+    o.grams = []
     cuts = [_cuts(x, 0, ranges, ranges, p.hash_bits if k else 64) for k, x in enumerate(hashes)]
     for b, row in zip(totals["bucket"].to_pylist(), totals["p"]):
         blobs = row.as_py()
         for k, (c, held) in enumerate(zip(cuts, counts)):
-            _apply(held, blobs[3 * k : 3 * k + 3], c[b], c[b + 1], None if k else back)
-    first, end = np.cumsum(lengths) - lengths, int(back[np.searchsorted(in_order, END)])
-    del hashes, in_order, back
+            _apply(held, blobs[3 * k : 3 * k + 3], c[b], c[b + 1], None if k else o.back)
+    first, end = np.cumsum(o.lengths) - o.lengths, int(o.back[np.searchsorted(o.vocabulary, END)])
+    del hashes
     wanted = [c[0] - c[1] if left else c[0] for c in counts]
     del counts
-    out = np.empty((2 * p.order - 1, len(local)), np.int64)
+    out = np.empty((2 * p.order - 1, len(o.local)), np.int64)
     for k, order in enumerate(range(p.order - 1, 0, -1)):
         out[2 * k] = wanted[order][places[order]]
         out[2 * k + 1, 1:] = wanted[order - 1][places[order - 1][:-1]]
         out[2 * k + 1, first] = wanted[0][end]  # every text begins after an end
     out[-1] = wanted[0][places[0]]
-    return Resolved(_unpack_column(ids), folds, lengths, out)
+    return Resolved(o.ids, o.folds, o.lengths, out)
 
 
 #: Tokens whose probabilities are computed at once.
@@ -409,34 +440,6 @@ def learn_weights(events: DataFrame, tokens: int, kinds: int, p: Interpolation)
     return weights
 
 
-#: Settings of a write of large rows: both kinds of rows at once, instead of sorting them; whole texts go in.
-WRITING = {"spark.sql.maxConcurrentOutputFileWriters": "2", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-_lock, _held = threading.Lock(), {}
-
-
-@contextlib.contextmanager
-def _writing(spark: SparkSession) -> Iterator[None]:
-    """The session with those settings; calls that overlap share them, and the last one puts back what was there."""
-    key = id(spark)
-    with _lock:
-        users, old = _held.get(key, (0, None))
-        if not users:
-            old = {k: spark.conf.get(k) for k in WRITING}
-            for k, v in WRITING.items():
-                spark.conf.set(k, v)
-        _held[key] = users + 1, old
-    try:
-        yield
-    finally:
-        with _lock:
-            users, old = _held.pop(key)
-            if users > 1:
-                _held[key] = users - 1, old
-            else:
-                for k, v in old.items():
-                    spark.conf.set(k, v)
-
-
 def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Interpolation = Interpolation()) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark = df.sparkSession
@@ -450,16 +453,12 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         return spark.createDataFrame([], schema)
     fans = p.fans(size)
     ranges = fans[0]
-    with _writing(spark):
-        _chunks(docs, p, ranges).write.partitionBy("kind").option("compression", "uncompressed").parquet(scratch.path("chunks"))
-    read = lambda kind: spark.read.schema(E_SCHEMA).parquet(f"{scratch.path('chunks')}/kind={kind}")
-    back, totals = _resolved_entries(read("e"), math.ceil(size / 6 / p.chunk_tokens), fans, p, scratch)
-    scratch.drop("chunks/kind=e")
+    chunk = scratch.write(_chunks(docs, p), "chunks", compression="uncompressed")
+    back, totals = _resolved_entries(_chunk_entries(chunk, p, ranges), math.ceil(size / 6 / p.chunk_tokens), fans, p, scratch)
     for k in range(len(fans), 1, -1):
         scratch.drop(f"merged-{k}")
         scratch.drop(f"back-{k - 1}" if k > 2 else "totals-1")
     release(spark)
-    chunk = read("d").select("chunk", "p")
     columns = _event_columns(p)
 
     def events(documents: pa.Table, own: pa.Table) -> pa.Table:

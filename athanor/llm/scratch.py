@@ -46,11 +46,11 @@ class Scratch:
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         _open.append(self)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Write `df` as Parquet and return the table read back."""
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def path(self, name: str) -> str:

@@ -9,10 +9,11 @@ from dataclasses import replace
 
 import pytest
 
+import athanor.llm.language_model as module
 from athanor.llm.language_model import Interpolation, interpolated_scores
 from athanor.llm.scratch import Scratch
 
-P = Interpolation(chunk_tokens=60, range_entries=40, rounds=4)
+P = Interpolation(order=2, chunk_tokens=60, range_entries=40, rounds=4)
 TEXTS = ["the cat sat on the mat", "The Cat sat\ton a  mat", None, "", "a dog sat on the cat", "the dog", "übér the cat", "the the the the", "dog sat on the mat and the cat sat on it"] * 4
 
 
@@ -92,16 +93,19 @@ def test_rows_of_the_layout_grow_with_the_corpus(spark, monkeypatch):
     kept = Scratch.drop
     monkeypatch.setattr(Scratch, "drop", lambda self, name="": None)
     for times in (1, 4, 16):
+        sizes = []
+        found = module._chunk_entries
+        monkeypatch.setattr(module, "_chunk_entries", lambda *a: (out := found(*a), sizes.append(out.count()))[0])
         roots = []
         made = Scratch.__init__
         monkeypatch.setattr(Scratch, "__init__", lambda self, s, n: (made(self, s, n), roots.append(self.root))[0])
         texts = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(40))) for i in range(20 * times)]
         interpolated_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), p=p).count()
         monkeypatch.setattr(Scratch, "__init__", made)
+        monkeypatch.setattr(module, "_chunk_entries", found)
         size = sum(len(t) for _, t in texts)
         levels = len(p.fans(size))
-        names = ["chunks/kind=e", *(f"merged-{k}" for k in range(levels, 1, -1))]
-        rows[times] = [spark.read.parquet(f"{roots[0]}/{n}").count() for n in names]
+        rows[times] = sizes + [spark.read.parquet(f"{roots[0]}/merged-{k}").count() for k in range(levels, 1, -1)]
         assert all(x <= 1.7 * p.fan * (size / 6 / p.chunk_tokens + 2) for x in rows[times]), rows
     monkeypatch.setattr(Scratch, "drop", kept)
     assert len(rows[16]) > len(rows[1])
