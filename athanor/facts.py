@@ -15,7 +15,7 @@ from .chem.molecule import aromatic_bonds, canonical, canonical_smiles, count_ke
 from .chem.network import Network
 from .chem.query import View, parse_query
 from .chem.reactions import Reactant, apply_n, candidates, metabolize, unique_sites
-from .functions.mass import ADDUCTS
+from .functions.mass import ADDUCTS, ion
 from .plans.algebra import ApplyN, Maybe, Plan, Side, and_or_tree
 
 Cases = tuple[tuple[str, str], ...]
@@ -89,7 +89,7 @@ def _formula(case: str) -> str:
 
 def _mass(case: str) -> str:
     text, adduct = _split(case)
-    return f"{search.exact_mass(parse(text)) + ADDUCTS[adduct]:.3f}"
+    return f"{ion(search.exact_mass(parse(text)), adduct):.3f}"
 
 
 def _gate(case: str) -> str:
@@ -179,6 +179,23 @@ def _path(case: str) -> str:
     return ">".join(h.rule for h in found[0].hops) if found else "none"
 
 
+def _searched(case: str) -> str:
+    """A path under an option, or none."""
+    reactant, target, option = _split(case)
+    more = {
+        "score": lambda: {"score": guidance.Score.from_label("close-both")}, "log": lambda: {"score": guidance.Score()}, "diversity": lambda: {"diversity": 2}, "tautomers": lambda: {"tautomers": True},
+        "fragments": lambda: {"fragments": 2}, "plain": dict, "single": lambda: {"options": guidance.WalkOptions(single=True)}, "monotone": lambda: {"monotone": True},
+    }[option]()
+    found, _ = search.find_path(reactant, target, "Default", search.Search(max_nodes=300, **more))
+    return str(bool(found)).lower()
+
+
+def _shuffled(case: str) -> str:
+    one, two = (search.enumerate_products(case, "PhaseOne", 1, shuffle=s) for s in (3, 11))
+    plain = search.enumerate_products(case, "PhaseOne", 1)
+    return f"{sorted(one) == sorted(two) == sorted(plain)} {one != two} {len(search.enumerate_products(case, 'PhaseOne', 1, limit=2))}".lower()
+
+
 def _replayed(case: str) -> str:
     reactant, target = _split(case)
     hops = search.find_path(reactant, target, "Default", search.Search(max_nodes=300))[0][0].hops
@@ -434,12 +451,13 @@ FACTS: dict[str, tuple[Callable[[str], str], Cases]] = {
     "mol_matches": (_matches, (("[#6H2,#6H3:1] | CCC", "3"), (f"[c:1] | {BENZENE}", "6"), ("[#6:1]-[#8H1:2] | OCCO", "2"), ("[#6:1]=[#8:2] | CC(=O)OC", "1"), ("[#7:1] | CCO", "0"), ("[!#6:1] | CC(=O)N", "2"))),
     "mol_unique_sites": (_sites, (("Hydroxylation | h2 | CCC", "2,1"), (f"Hydroxylation | h | {BENZENE}", "6"), ("Hydroxylation | h2 | CCO", "1,1"), (f"Epoxidation | epoxide | {BENZENE}", "6"))),
     "mol_pi_components": (_pi, (("C=CC=C", "4"), ("C=CCC=C", "2,2"), (BENZENE, "6"), (f"{BENZENE}CCc1ccccc1", "6,6"), ("CCO", ""))),
+    "mol_forced_doubles": (lambda t: str(len(structure.forced_doubles(parse(t)))), (("C=CC=C", "2"), (BENZENE, "0"), ("C=Cc1ccccc1", "1"), (NAPHTHALENE, "0"), ("O=C1C=CC(=O)C=C1", "4"))),
     "mol_two_core": (_core, ((BENZENE, "6"), ("C=Cc1ccccc1", "6"), ("C=CC=C", "0"), (NAPHTHALENE, "10"))),
     "mol_reactant_parent": (_parent, ((f"{BENZENE} | [#6:1]=[#6:2] | 0,1", "2"), (f"{BENZENE} | [#6:1]=[#6:2] | 1,2", "2"), ("C=CC | [#6:1]=[#6:2] | 1,2", "none"))),
     "mol_settle_charges": (_settled, (("CC | 0 | 1 | 2", canonical_smiles("C=C")), ("C=C | 0 | 1 | 1", canonical_smiles("CC")), ("C=N | 0 | 1 | 1", canonical_smiles("C[NH-]")), ("C=[N+](C)C | 0 | 1 | 1", canonical_smiles("CN(C)C")))),
     "mol_gate": (_gate, (("CCO", "accepted"), ("CC=[NH+]C", "iminium"), ("C[O-]", "oxygen anion on carbon"), ("C[N-]C", "nitrogen anion"), ("C[N+](C)(C)[O-]", "accepted"))),
     "mol_formula": (_formula, (("CCO", "C2 H6 O1"), ("[O-][N+](=O)c1ccccc1", "+1 -1 C6 H5 N1 O2"), ("CC.O", "C2 H8 O1"), ("ClCCBr", "Br1 C2 Cl1 H4"))),
-    "mol_mass": (_mass, (("CCO | [M]", "46.042"), (f"{BENZENE} | [M]", "78.047"), ("OCC1OC(O)C(O)C(O)C1O | [M]", "180.063"), ("Cn1cnc2c1c(=O)n(C)c(=O)n2C | [M+H]+", "195.088"), ("CC(=O)Nc1ccc(O)cc1 | [M-H]-", "150.056"), ("CC(=O)Nc1ccc(O)cc1 | [M+Na]+", "174.053"))),
+    "mol_mass": (_mass, (("CCO | [M]", "46.042"), (f"{BENZENE} | [M]", "78.047"), ("OCC1OC(O)C(O)C(O)C1O | [M]", "180.063"), ("Cn1cnc2c1c(=O)n(C)c(=O)n2C | [M+H]+", "195.088"), ("CC(=O)Nc1ccc(O)cc1 | [M-H]-", "150.056"), ("CC(=O)Nc1ccc(O)cc1 | [M+Na]+", "174.053"), ("OCC1OC(O)C(O)C(O)C1O | [M+2H]2+", "91.039"))),
     "mol_star": (_star, (("Acetylation | CCO", f"{canonical_smiles('CCO*')} |$Ac$|"), ("Sulfation | CO", f"{canonical_smiles('CO*')} |$SO3H$|"))),
     "mol_tautomer": (_tautomer, (("OC1=CCCCC1", canonical_smiles("O=C1CCCCC1")), ("CC(O)=C", canonical_smiles("CC(C)=O")))),
     "catalog_leaves": (_leaves, (("StableOxygenation", "Hydroxylation,Epoxidation,NitrogenOxidation,SulfurOxidation"), ("UnstableOxygenation", "Dealkylation,OxidativeDehalogenation"), ("Reactivity", "GSH,Protein,DNA,Cyanide"), ("TT", "Tautomerization"), ("TSO", "ThiopheneSulfurOxidation"),
@@ -463,6 +481,8 @@ FACTS: dict[str, tuple[Callable[[str], str], Cases]] = {
     "fold_seeds": (_seeds, (("COc1ccccc1 | Oc1ccccc1", "1 0 true"), ("Oc1ccccc1 | Oc1ccccc1", "0 0 true"))),
     "search_paths": (_path, (("CC | CCO | PhaseOne", "Hydroxylation"), ("CCO | CC=O | PhaseOne", "Dehydrogenation"), ("CCC | C1OC1C | Dehydrogenation,Epoxidation", "Dehydrogenation>Epoxidation"), (f"{BENZENE} | C1=CC=CC(O)C1O | Epoxidation,EpoxideOpening", "Epoxidation>EpoxideOpening"),
         ("Oc1ccc(O)cc1 | O=C1C=CC(=O)C=C1 | QuinoneFormation", "QuinoneFormation"), (f"{BENZENE} | Oc1ccccc1 | Hydroxylation", "Hydroxylation"), ("CCO | CCCN | Hydroxylation", "none"))),
+    "search_options": (_searched, tuple((f"COc1ccccc1 | O=C1C=CC(=O)C=C1 | {o}", "true") for o in ("plain", "score", "log", "diversity", "fragments")) + (("COc1ccccc1 | Oc1ccccc1 | single", "false"), ("CC=O | C=CO | tautomers", "true"), ("CCO | CC=O | monotone", "true"))),
+    "search_shuffle": (_shuffled, (("CCCO", "true true 2"),)),
     "search_replay": (_replayed, (("CC | CCO", "true"), ("c1ccccc1 | O=C1C=CC(=O)C=C1", "true"))),
     "search_random": (_walked, (("CCO | 1", "3 true"), ("c1ccccc1 | 7", "3 true"))),
     "search_mass": (_weighed, (("CCO | 63.0441", "63.044"), ("c1ccccc1 | 95.0492", "95.049"), ("CCO | 500.0", "none"))),

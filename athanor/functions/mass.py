@@ -16,6 +16,15 @@ PROTON = 1.00727646688
 ELECTRON = 0.00054857990946
 #: Adduct -> what it adds to a neutral mass, for ions of one charge.
 ADDUCTS = {"[M]": 0.0, "[M+H]+": PROTON, "[M-H]-": -PROTON, "[M+Na]+": 22.9897692809 - ELECTRON, "[M+NH4]+": 14.0030740048 + 4 * 1.00782503207 - ELECTRON}
+#: Adduct -> (what it adds to a neutral mass, charge number), for ions of several charges.
+MULTIPLE = {"[M+2H]2+": (2 * PROTON, 2), "[M+3H]3+": (3 * PROTON, 3), "[M-2H]2-": (-2 * PROTON, 2), "[M+H+Na]2+": (PROTON + 22.9897692809 - ELECTRON, 2)}
+
+
+def ion(neutral: float, adduct: str) -> float:
+    """m/z of an ion, of one charge or of several."""
+    added, charges = MULTIPLE[adduct] if adduct in MULTIPLE else (ADDUCTS[adduct], 1)
+    return (neutral + added) / charges
+
 
 _MASSES = ELEMENT_MASS | ISOTOPE_MASS
 
@@ -28,7 +37,8 @@ def bag_mass(bag: Column, masses: dict[str, float] | None = None) -> Column:
 
 
 def ion_mz(neutral: Column, adduct: str) -> Column:
-    return neutral + F.lit(ADDUCTS[adduct])
+    added, charges = MULTIPLE[adduct] if adduct in MULTIPLE else (ADDUCTS[adduct], 1)
+    return (neutral + F.lit(added)) / F.lit(charges)
 
 
 def mz_error(a: Column, b: Column) -> Column:
