@@ -55,7 +55,7 @@ class Toxicity:
     min_match: int = 6
     toxic_sample: int = 2000
     ordinary_sample: int = 8000
-    sample_bytes: int = 64 << 20
+    sample_bytes: int = 32 << 20
     #: Examples of each kind, at most, for the choice.
     tuning: tuple[int, int] = (600, 1200)
     #: Windows of ordinary text to train on.
@@ -167,9 +167,18 @@ class Scorer:
         return plain - toxic, counts
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        gains, counts = self.gains(texts)
-        over = [np.add.reduceat((gains >= g).astype(np.int64), np.cumsum(counts) - counts) for g in self.p.gains] if texts else [counts] * len(self.p.gains)
-        return np.stack((np.ones(len(texts)), *map(np.log1p, over), *(np.sqrt(x / counts) for x in over)), axis=1)
+        """Counts of the windows over each gain and their shares, about a MB of texts at a time."""
+        out, i = np.ones((len(texts), 1 + 2 * len(self.p.gains))), 0
+        while i < len(texts):
+            j, held = i + 1, len(texts[i])
+            while j < len(texts) and held + len(texts[j]) <= 1 << 20:
+                held += len(texts[j])
+                j += 1
+            gains, counts = self.gains(texts[i:j])
+            over = [np.add.reduceat((gains >= g).astype(np.int64), np.cumsum(counts) - counts) for g in self.p.gains]
+            out[i:j, 1:] = np.stack((*map(np.log1p, over), *(np.sqrt(x / counts) for x in over)), axis=1)
+            i = j
+        return out
 
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
@@ -177,16 +186,7 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out, lowered = np.empty(len(texts)), [_lowered(t) for t in texts]
-        i = 0
-        while i < len(texts):  # so many texts at once that the windows take some MB
-            j, held = i + 1, len(lowered[i])
-            while j < len(texts) and held + len(lowered[j]) <= 1 << 20:
-                held += len(lowered[j])
-                j += 1
-            out[i:j] = _logistic(self.features(lowered[i:j]) @ self.weights)
-            i = j
-        return out
+        return _logistic(self.features([_lowered(t) for t in texts]) @ self.weights)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
