@@ -18,7 +18,7 @@ from functools import cache
 class Pattern:
     name: str
     query: str
-    edit: str = ""  # an edit program; empty for an end of a pair
+    edit: str = ""  # an edit program, or ">>" and a product template (see `smirks`); empty for an end of a pair
     site: tuple[int, ...] = (1,)
     kind: str = "atom"  # atom, bond, directed bond, atom pair
     end: str = ""  # what happens at this end of a pair
@@ -30,7 +30,7 @@ class Pattern:
 
     @property
     def cleaves(self) -> bool:
-        return "cut" in self.edit or self.end in ("dealkylate", "replace_halogen")
+        return "cut" in self.edit or self.edit.startswith(">>") and "." in self.edit or self.end in ("dealkylate", "replace_halogen")
 
     def delta(self) -> dict[str, int]:
         """The declared change of formula."""
@@ -441,6 +441,11 @@ def rule_from_rows(name: str, rows: list[dict]) -> Rule:
     return Rule(name, tuple(patterns))
 
 
+def rule_from_smirks(name: str, **patterns: str) -> Rule:
+    """A rule of the user's own from SMIRKS texts by pattern name; the first map number is the site."""
+    return Rule(name, tuple(Pattern(n, text.split(">>")[0], ">>" + text.split(">>")[1]) for n, text in patterns.items()))
+
+
 def bound(rule: str, pattern: str) -> Rule:
     """The rule with one of its patterns alone (an end of a pair meets only ends of that pattern)."""
     whole = rules()[rule]
