@@ -22,6 +22,7 @@ repeated rows have equal scores; extra columns pass by unless they have a result
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -144,10 +145,11 @@ class Scorer:
     toxic: bytes = b""
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     constant: float | None = None
+    threads: int = 0  # more than one only while the driver fits
     _tools: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tools": None}
+        return self.__dict__ | {"_tools": None, "threads": 0}
 
     def _compressors(self) -> tuple:
         if self._tools is None:
@@ -163,7 +165,7 @@ class Scorer:
     def gains(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the windows' gains, the number of windows of each text)."""
         cut, counts = windows(texts, self.p.window_words)
-        plain, toxic = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(cut)), np.int64, len(cut)) for c in self._compressors())
+        plain, toxic = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(cut, threads=self.threads)), np.int64, len(cut)) for c in self._compressors())
         return plain - toxic, counts
 
     def features(self, texts: list[bytes]) -> np.ndarray:
@@ -215,21 +217,21 @@ def fit(texts: list[str | None], toxic: list[bool], p: Toxicity = Toxicity()) ->
     plain = ordinary_dictionary(good, p)
     if not plain:
         return Scorer(p, constant=len(bad) / len(lowered))
-    share = p.shares[0]
+    share, threads = p.shares[0], min(8, os.cpu_count() or 1)
     some, other = bad[: p.tuning[0]], good[: p.tuning[1]]
     if min(len(some), len(other)) >= 40:
         cuts = len(some) * 3 // 4, len(other) * 3 // 4
         seen, unseen = some[: cuts[0]] + other[: cuts[1]], some[cuts[0] :] + other[cuts[1] :]
         truths = np.array([1.0] * cuts[0] + [0.0] * cuts[1]), np.array([1.0] * (len(some) - cuts[0]) + [0.0] * (len(other) - cuts[1]))
-        typical = typical_words(some[: cuts[0]], other[: cuts[1]] + good[len(other) :], p)
+        typical = typical_words(some[: cuts[0]], other[: cuts[1]] + good[len(other) : 3 * len(other)], p)
         losses = []
         for s in p.shares:
-            one = Scorer(p, plain, toxic_dictionary(some[: cuts[0]], typical, s, p))
+            one = Scorer(p, plain, toxic_dictionary(some[: cuts[0]], typical, s, p), threads=threads)
             w = _calibrated(one.features(seen), truths[0])
             losses.append((_loss(_logistic(one.features(unseen) @ w), truths[1]), s))
         # Ratios grow with the examples, so what was significant among fewer of them is a share as well.
         share = max(min(losses)[1], p.significance / max(typical.values(), default=p.significance))
-    out = Scorer(p, plain, toxic_dictionary(bad, typical_words(bad, good, p), share, p))
+    out = Scorer(p, plain, toxic_dictionary(bad, typical_words(bad, good, p), share, p), threads=threads)
     out.weights = _calibrated(out.features(lowered), np.array(toxic, float))
     return out
 
