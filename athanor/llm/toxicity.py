@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on toxic text.  A text is cut into windows of
 a few words; a window's gain is the length it compresses to with the ordinary dictionary less that with the toxic one.
 Windows are counted whose gain reaches each of a few thresholds, and the counts and their shares make a score by a logistic
-calibration, which weighs the thresholds and sets the last one, 0.5.
+calibration, which weighs the thresholds and sets the last one, 0.5; the mean gain ranks texts below them.
 
 Two things keep chance out of the gains.  The text that the toxic dictionary is trained on is what toxic documents
 hold significantly more often than ordinary ones, word by word: whole toxic texts are mostly ordinary, and a trainer fills its
@@ -169,16 +169,17 @@ class Scorer:
         return plain - toxic, counts
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Counts of the windows over each gain and their shares, about a MB of texts at a time."""
-        out, i = np.ones((len(texts), 1 + 2 * len(self.p.gains))), 0
+        """Counts of the windows over each gain and their shares and the mean gain, about a MB of texts at a time."""
+        out, i = np.ones((len(texts), 2 + 2 * len(self.p.gains))), 0
         while i < len(texts):
             j, held = i + 1, len(texts[i])
             while j < len(texts) and held + len(texts[j]) <= 1 << 20:
                 held += len(texts[j])
                 j += 1
             gains, counts = self.gains(texts[i:j])
-            over = [np.add.reduceat((gains >= g).astype(np.int64), np.cumsum(counts) - counts) for g in self.p.gains]
-            out[i:j, 1:] = np.stack((*map(np.log1p, over), *(np.sqrt(x / counts) for x in over)), axis=1)
+            first = np.cumsum(counts) - counts
+            over = [np.add.reduceat((gains >= g).astype(np.int64), first) for g in self.p.gains]
+            out[i:j, 1:] = np.stack((*map(np.log1p, over), *(np.sqrt(x / counts) for x in over), np.add.reduceat(gains, first) / counts), axis=1)
             i = j
         return out
 
