@@ -90,6 +90,21 @@ SELECT d.doc_id, sha256({_normalised_sql('d.text')}) AS text_digest, k.license_i
 FROM documents d LEFT JOIN known k ON k.digest = sha256({_normalised_sql('d.text')}) LEFT JOIN hit h ON h.doc_id = d.doc_id
 """
 
+#: All pairs of sets that share a shingle, links by exact similarity, and the closure of links: for small tables.
+OP8_SQL = rf"""
+WITH RECURSIVE word AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+held AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM word),
+size AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+link AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id <= coalesce(y, d.doc_id) AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -102,4 +117,4 @@ QUERIES = {
     "op9_licences": op9_licences,
     "op10_sharding": op10_sharding,
 }
-ORACLES = {"op9_licences": OP9_SQL}
+ORACLES = {"op8_near_duplicates": OP8_SQL, "op9_licences": OP9_SQL}
