@@ -441,6 +441,13 @@ def rule_from_rows(name: str, rows: list[dict]) -> Rule:
     return Rule(name, tuple(patterns))
 
 
+def identifier(rule: str, pattern: str = "", prefix: str = "x") -> str:
+    """A rule's, catalog's or pattern's compact identifier; an unknown one is an error."""
+    if pattern and pattern not in rules()[rule]:
+        raise KeyError(pattern)
+    return f"{prefix}:{resolve(rule).name}" + (f"/{pattern}" if pattern else "")
+
+
 def rule_from_smirks(name: str, **patterns: str) -> Rule:
     """A rule of the user's own from SMIRKS texts by pattern name; the first map number is the site."""
     return Rule(name, tuple(Pattern(n, text.split(">>")[0], ">>" + text.split(">>")[1]) for n, text in patterns.items()))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .chem import catalog, difference, guidance, search, structure
-from .chem.edits import reject_reason
+from .chem.edits import accepts_loss_of_oxygen, has_ketene, reject_reason
 from .chem.molecule import aromatic_bonds, canonical, canonical_smiles, count_kekule, formula, kekule_forms, labelled, parse, stable_key, symmetry_classes
 from .chem.network import Network
 from .chem.query import View, parse_query
@@ -190,6 +190,43 @@ def _searched(case: str) -> str:
     return str(bool(found)).lower()
 
 
+def _pooled(case: str) -> str:
+    """A mass search that may apply two hydroxylations, or one, and nothing else."""
+    text, mz, n = _split(case)
+    found, _ = search.find_mass(text, float(mz), 0.002, "[M]", "PhaseOne", search.Search(max_nodes=100, pools=(ApplyN(("Hydroxylation",), int(n)),)))
+    return "+".join(h.rule for h in found[0].hops) if found else "none"
+
+
+def _identified(case: str) -> str:
+    rule, _, pattern = case.partition("/")
+    try:
+        return catalog.identifier(rule, pattern)
+    except KeyError:
+        return "none"
+
+
+def _carbonyl(case: str) -> str:
+    a, b, atom = _split(case)
+    one, two = parse(a), parse(b)
+    return str(guidance.needs_carbonyl(one, two, difference.common_substructure(one, two), int(atom))).lower()
+
+
+def _toward(case: str) -> str:
+    text, target, depth = _split(case)
+    wide, near = (len(search.product_graph(text, "PhaseOne", 500, int(depth), t)[0]) for t in (None, target))
+    return str(near < wide).lower()
+
+
+def _ketene(case: str) -> str:
+    before, *parts = _split(case)
+    return f"{any(has_ketene(parse(p)) for p in parts)} {accepts_loss_of_oxygen(parse(before), list(map(parse, parts)))}".lower()
+
+
+def _asked(case: str) -> str:
+    r = Reactant(case)
+    return f"{r.key == r.text} {r.formula == formula(parse(case))} {r.text is r.text}".lower()
+
+
 def _shuffled(case: str) -> str:
     one, two = (search.enumerate_products(case, "PhaseOne", 1, shuffle=s) for s in (3, 11))
     plain = search.enumerate_products(case, "PhaseOne", 1)
@@ -482,6 +519,13 @@ FACTS: dict[str, tuple[Callable[[str], str], Cases]] = {
     "search_paths": (_path, (("CC | CCO | PhaseOne", "Hydroxylation"), ("CCO | CC=O | PhaseOne", "Dehydrogenation"), ("CCC | C1OC1C | Dehydrogenation,Epoxidation", "Dehydrogenation>Epoxidation"), (f"{BENZENE} | C1=CC=CC(O)C1O | Epoxidation,EpoxideOpening", "Epoxidation>EpoxideOpening"),
         ("Oc1ccc(O)cc1 | O=C1C=CC(=O)C=C1 | QuinoneFormation", "QuinoneFormation"), (f"{BENZENE} | Oc1ccccc1 | Hydroxylation", "Hydroxylation"), ("CCO | CCCN | Hydroxylation", "none"))),
     "search_options": (_searched, tuple((f"COc1ccccc1 | O=C1C=CC(=O)C=C1 | {o}", "true") for o in ("plain", "score", "log", "diversity", "fragments")) + (("COc1ccccc1 | Oc1ccccc1 | single", "false"), ("CC=O | C=CO | tautomers", "true"), ("CCO | CC=O | monotone", "true"))),
+    "search_pools": (_pooled, (("CCO | 62.0368 | 1", "Hydroxylation"), ("CCO | 78.0317 | 2", "Hydroxylation+Hydroxylation"), ("CCO | 62.0368 | 2", "none"))),
+    "search_toward": (_toward, (("CCO | CC=O | 2", "true"), ("COc1ccccc1 | Oc1ccccc1 | 2", "true"))),
+    "search_heavy": (lambda c: str(guidance.not_farther(*map(int, c.split()))).lower(), (("3 4 4", "true"), ("3 2 4", "false"), ("5 4 4", "true"), ("4 4 4", "true"))),
+    "catalog_identifier": (_identified, (("Hydroxylation/h2", "x:Hydroxylation/h2"), ("PhaseOne", "x:PhaseOne"), ("Hydroxylation/none", "none"))),
+    "mol_ketene": (_ketene, (("O=C(O)c1ccccc1 | O | O=C=C1CCCCC1", "true false"), ("CC(=O)O | O | C=C=O", "true true"), ("CCO | O | C=C", "false true"))),
+    "mol_asked": (_asked, (("CCO", "true true true"), (BENZENE, "true true true"))),
+    "diff_carbonyl": (_carbonyl, (("CCC | CC(C)=O | 1", "true"), ("CCC | CC(C)O | 1", "false"), ("CC | CC=O | 0", "true"))),
     "search_shuffle": (_shuffled, (("CCCO", "true true 2"),)),
     "search_replay": (_replayed, (("CC | CCO", "true"), ("c1ccccc1 | O=C1C=CC(=O)C=C1", "true"))),
     "search_random": (_walked, (("CCO | 1", "3 true"), ("c1ccccc1 | 7", "3 true"))),
