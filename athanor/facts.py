@@ -15,6 +15,7 @@ from .chem.molecule import aromatic_bonds, canonical, canonical_smiles, count_ke
 from .chem.network import Network
 from .chem.query import View, parse_query
 from .chem.reactions import Reactant, apply_n, candidates, metabolize, unique_sites
+from .chem.stereo import product_texts_with_stereo, stereo_smiles
 from .functions.mass import ADDUCTS, ion
 from .plans.algebra import ApplyN, Maybe, Plan, Side, and_or_tree
 
@@ -227,6 +228,18 @@ def _asked(case: str) -> str:
     return f"{r.key == r.text} {r.formula == formula(parse(case))} {r.text is r.text}".lower()
 
 
+def _stereo(case: str) -> str:
+    a, b = _split(case)
+    return str(stereo_smiles(a) == stereo_smiles(b)).lower()
+
+
+def _kept_stereo(case: str) -> str:
+    """How many products of a step have marks, of how many."""
+    text, rule = _split(case)
+    made = product_texts_with_stereo(text, rule)
+    return f"{sum('@' in t or '/' in t for _, t in made)} {len(made)}"
+
+
 def _shuffled(case: str) -> str:
     one, two = (search.enumerate_products(case, "PhaseOne", 1, shuffle=s) for s in (3, 11))
     plain = search.enumerate_products(case, "PhaseOne", 1)
@@ -523,6 +536,10 @@ FACTS: dict[str, tuple[Callable[[str], str], Cases]] = {
     "search_toward": (_toward, (("CCO | CC=O | 2", "true"), ("COc1ccccc1 | Oc1ccccc1 | 2", "true"))),
     "search_heavy": (lambda c: str(guidance.not_farther(*map(int, c.split()))).lower(), (("3 4 4", "true"), ("3 2 4", "false"), ("5 4 4", "true"), ("4 4 4", "true"))),
     "catalog_identifier": (_identified, (("Hydroxylation/h2", "x:Hydroxylation/h2"), ("PhaseOne", "x:PhaseOne"), ("Hydroxylation/none", "none"))),
+    "mol_stereo": (_stereo, (("N[C@@H](C)C(=O)O | C[C@H](N)C(=O)O", "true"), ("N[C@@H](C)C(=O)O | N[C@H](C)C(=O)O", "false"), ("N[C@@H](C)C(=O)O | OC(=O)[C@@H](N)C", "true"), ("F/C=C/F | F\\C=C\\F", "true"), ("F/C=C/F | F/C=C\\F", "false"),
+        ("F/C=C/F | C(\\F)=C/F", "true"), ("C[C@H](C)O | CC(C)O", "true"), ("F/C(F)=C/F | FC(F)=CF", "true"), ("C[C@H]1CC[C@@H](C)CC1 | C[C@@H]1CC[C@H](C)CC1", "true"), ("C[C@H]1CC[C@@H](C)CC1 | C[C@H]1CC[C@H](C)CC1", "false"),
+        ("O[C@H](C(=O)O)[C@@H](O)C(=O)O | O[C@@H](C(=O)O)[C@H](O)C(=O)O", "true"), ("O[C@H](C(=O)O)[C@H](O)C(=O)O | O[C@@H](C(=O)O)[C@@H](O)C(=O)O", "false"), ("[H][C@](F)(Cl)Br | F[C@@]([H])(Cl)Br", "true"), ("C/C=C/C=C\\C | C/C=C\\C=C\\C", "true"))),
+    "mol_stereo_products": (_kept_stereo, (("C[C@H](O)CC | Hydroxylation", "3 4"), ("C/C=C/CO | Hydroxylation", "4 4"), ("CCO | Hydroxylation", "0 2"))),
     "mol_ketene": (_ketene, (("O=C(O)c1ccccc1 | O | O=C=C1CCCCC1", "true false"), ("CC(=O)O | O | C=C=O", "true true"), ("CCO | O | C=C", "false true"))),
     "mol_asked": (_asked, (("CCO", "true true true"), (BENZENE, "true true true"))),
     "diff_carbonyl": (_carbonyl, (("CCC | CC(C)=O | 1", "true"), ("CCC | CC(C)O | 1", "false"), ("CC | CC=O | 0", "true"))),

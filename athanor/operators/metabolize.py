@@ -19,6 +19,7 @@ from ..chem.catalog import as_catalog
 from ..chem.molecule import SYMBOLS, ParseError, canonical, formula, parse, stable_key, symmetry_classes
 from ..chem.query import parse_query
 from ..chem.reactions import Reactant, candidates, emissions
+from ..chem.stereo import stereo_smiles
 from ..session import cut
 from .sites import dedup_emissions
 
@@ -69,6 +70,19 @@ def parse_molecules(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     return _rows_udf(df, smiles, MOLECULE, one)
 
 
+def with_stereo(df: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """`df` with stereo_smiles, canonical text with the marks of tetrahedral centres and double bonds; null where the text can't
+    be read."""
+
+    def one(text: str | None):
+        try:
+            return [(stereo_smiles(text or ""),)]
+        except (ParseError, RecursionError):
+            return [(None,)]
+
+    return _rows_udf(df, smiles, "stereo_smiles string", one)
+
+
 def pattern_table(spark: SparkSession, catalog="PhaseOne") -> DataFrame:
     """The catalog as rows: ordinal, leaf, rule_path (leaf first), pattern, query, kind, site_map, adds, removes, elements."""
     rows = []
