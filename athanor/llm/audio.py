@@ -6,7 +6,8 @@ patches of one fixed shape (frames x mel bands, the last one padded with the flo
 Arrow fixed-shape tensors; `tensor_table` gives the typed Arrow table.
 
 A clip is worked on in blocks of whole patches, resampling included: a first pass finds the frames' energies and from them
-the segments, a second one makes the patches.  Besides the clip's own bytes only a block and an energy per frame are held.
+the segments, a second one makes the patches.  Besides the clip's bytes (as text, payload and file) only a block and an
+energy per frame are held.
 
 Cases: null text counts as empty; an empty clip is one block of padding; equal clips give equal values, since
 each is computed alone; repeated rows give repeated rows; an empty table gives an empty result; other columns, whatever

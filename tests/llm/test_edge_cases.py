@@ -129,3 +129,9 @@ def test_scratch_can_be_dropped(spark, tmp_path):
 def test_near_duplicates_want_integer_ids(spark):
     with pytest.raises(TypeError):
         near_duplicate_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_rows_without_an_id_are_decontaminated(spark, docs):
+    more = docs.unionByName(spark.createDataFrame([_row(None, "and same words here again and again too")], SCHEMA))
+    left = without_leaks(more, _benchmark(spark))
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in ROWS if r[0] not in (4, 5, 6)) and left.columns == more.columns
