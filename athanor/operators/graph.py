@@ -49,17 +49,21 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, rule: str = "rule", pattern:
 
 def prune_to_targets(nodes: DataFrame, edges: DataFrame, keep: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Nodes that stay when sinks outside `keep` (column node: root and targets) are removed again and again.
-    Cycles stay, since none of their nodes is a sink."""
-    alive = cut(nodes.select("node").distinct())
-    count = alive.count()
+    Cycles stay, since none of their nodes is a sink.  A round looks only at the parents of what the last one removed."""
+    edges, kept = edges.select("src", "dst"), keep.select("node").distinct()
+    every = nodes.select("node").distinct()
+    gone = fresh = cut(every.join(edges.select(F.col("src").alias("node")), "node", "left_anti").join(kept, "node", "left_anti"))
     for _ in range(max_rounds):
-        left = edges.join(alive.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
-        alive = cut(alive.join(left.unionByName(keep.select("node")).distinct(), "node", "left_semi"))
-        now = alive.count()
-        if now == count:
+        parents = edges.join(fresh.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        parents = cut(parents.join(kept, "node", "left_anti").join(gone, "node", "left_anti"))
+        if parents.isEmpty():
             break
-        count = now
-    return alive
+        alive = edges.join(parents.withColumnRenamed("node", "src"), "src", "left_semi").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        fresh = cut(parents.join(alive.select(F.col("src").alias("node")), "node", "left_anti"))
+        if fresh.isEmpty():
+            break
+        gone = gone.unionByName(fresh)
+    return every.join(gone, "node", "left_anti")
 
 
 def shortest_hops(edges: DataFrame, target: DataFrame, max_depth: int) -> DataFrame:
