@@ -5,7 +5,7 @@ import textwrap
 import duckdb
 from pyspark.sql import functions as F
 
-from athanor.llm.licence_texts import BSD_2, BSD_3, ISC, MIT, ZLIB
+from athanor.llm.licence_texts import BOOST, BSD_2, BSD_3, ISC, MIT, MIT_0, UNLICENSE, ZLIB
 from athanor.llm.licences import digest, scan_licences
 from athanor.llm.queries import ORACLES
 
@@ -28,7 +28,7 @@ def test_published_texts_are_known(spark):
 def test_known_texts_are_found_at_any_width_and_below_any_statement(spark):
     texts, want = [], []
     heads = ("", "Copyright (c) 2019 A. Holder\n", "Copyright 2019 Andrew Inman\nAll rights reserved.\n", "Copyright Jane Doe\n(c) 2020 The Others\n", "© Someone\nAll Rights Reserved\n")
-    for i, t in (("MIT", MIT), ("ISC", ISC), ("BSD-2-Clause", BSD_2), ("BSD-3-Clause", BSD_3), ("Zlib", ZLIB)):
+    for i, t in (("MIT", MIT), ("ISC", ISC), ("BSD-2-Clause", BSD_2), ("BSD-3-Clause", BSD_3), ("Zlib", ZLIB), ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST), ("MIT-0", MIT_0)):
         for width in range(30, 121):
             body = "\n\n".join(textwrap.fill(x, width) for x in t.split("\n\n"))
             head = heads[width % len(heads)]
