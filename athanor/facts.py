@@ -18,6 +18,7 @@ from .chem.reactions import Reactant, apply_n, candidates, metabolize, unique_si
 from .chem.stereo import product_texts_with_stereo, stereo_smiles
 from .functions.mass import ADDUCTS, ion
 from .plans.algebra import ApplyN, Maybe, Plan, Side, and_or_tree
+from .sources import export
 
 Cases = tuple[tuple[str, str], ...]
 
@@ -240,6 +241,17 @@ def _kept_stereo(case: str) -> str:
     return f"{sum('@' in t or '/' in t for _, t in made)} {len(made)}"
 
 
+def _exported(case: str) -> str:
+    found, count = search.find_path("CC", "CCO", "PhaseOne")
+    raw = json.loads(export.to_json(found, count))
+    first = raw["outcomes"][0]
+    return str({
+        "outcome": lambda: first["exact"] and [h["rule"] for h in first["hops"]] == ["Hydroxylation"] and first["orders"] == 1, "plan": lambda: Plan.from_json(json.dumps(first["plan"])) == found[0].plan,
+        "counters": lambda: raw["counters"]["billed"] == count.nodes + count.edits, "molecule": lambda: export.molecule_dict(parse("CCO")) == {"smiles": canonical_smiles("CCO"), "key": canonical_smiles("CCO"), "formula": {"C": 2, "H": 6, "O": 1}, "heavy_atoms": 3},
+        "emission": lambda: [export.emission_dict(e)["pattern"] for e in metabolize("C=C", "Epoxidation")] == ["epoxide"], "html": lambda: export.outcomes_html(found).count("<tr>") == 2 and "&gt;" not in export.outcomes_html(found),
+    }[case]()).lower()
+
+
 def _shuffled(case: str) -> str:
     one, two = (search.enumerate_products(case, "PhaseOne", 1, shuffle=s) for s in (3, 11))
     plain = search.enumerate_products(case, "PhaseOne", 1)
@@ -533,6 +545,7 @@ FACTS: dict[str, tuple[Callable[[str], str], Cases]] = {
         ("Oc1ccc(O)cc1 | O=C1C=CC(=O)C=C1 | QuinoneFormation", "QuinoneFormation"), (f"{BENZENE} | Oc1ccccc1 | Hydroxylation", "Hydroxylation"), ("CCO | CCCN | Hydroxylation", "none"))),
     "search_options": (_searched, tuple((f"COc1ccccc1 | O=C1C=CC(=O)C=C1 | {o}", "true") for o in ("plain", "score", "log", "diversity", "fragments")) + (("COc1ccccc1 | Oc1ccccc1 | single", "false"), ("CC=O | C=CO | tautomers", "true"), ("CCO | CC=O | monotone", "true"))),
     "search_pools": (_pooled, (("CCO | 62.0368 | 1", "Hydroxylation"), ("CCO | 78.0317 | 2", "Hydroxylation+Hydroxylation"), ("CCO | 62.0368 | 2", "none"))),
+    "io_export": (_exported, tuple((c, "true") for c in ("outcome", "plan", "counters", "molecule", "emission", "html"))),
     "search_toward": (_toward, (("CCO | CC=O | 2", "true"), ("COc1ccccc1 | Oc1ccccc1 | 2", "true"))),
     "search_heavy": (lambda c: str(guidance.not_farther(*map(int, c.split()))).lower(), (("3 4 4", "true"), ("3 2 4", "false"), ("5 4 4", "true"), ("4 4 4", "true"))),
     "catalog_identifier": (_identified, (("Hydroxylation/h2", "x:Hydroxylation/h2"), ("PhaseOne", "x:PhaseOne"), ("Hydroxylation/none", "none"))),
