@@ -15,7 +15,7 @@ and need one vote; pieces under `tiny` bytes are cut into one part more than the
 keeps, and all parts are sought at once by an Aho-Corasick automaton, which misses nothing.  A piece so short that the
 limit is no edit must stand between white space.
 
-A-Z count as a-z.  Cases: null and empty texts and items without words match nothing; repeated rows and equal
+A-Z count as a-z, and white space around an item doesn't count.  Cases: null and empty texts and items without words match nothing; repeated rows and equal
 items are reported each; texts are embedded in slices of fixed size, however long they are; benchmark items are read in
 blocks of bounded bytes, whose index of some 60 bytes a byte a worker builds once, and a larger benchmark costs more
 passes; an empty table gives an empty result; other columns of both tables, whatever their names, are not looked at.
@@ -67,6 +67,7 @@ class Leaks:
 
 
 GRAM = 4
+BLANK = b" \t\n\x0b\x0c\r"
 
 
 def edit_search(pattern: bytes, text: bytes) -> tuple[int, int]:
@@ -154,10 +155,10 @@ class Buckets:
         data = np.frombuffer(b"".join(texts) + bytes(walks.reach), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
         begins = ends - [len(x) for x in texts]
-        at = word_starts(data[: int(ends[-1])] if texts else data[:0], begins)
+        at = word_starts(data[: int(ends[-1])], begins)
         piece = np.searchsorted(ends, at, side="right")
         keys, last = walks.keys(data, at)
-        inside = last < ends[piece] if texts else last < 0
+        inside = last < ends[piece]  # a key that read past its piece says nothing
         self.windows = np.bincount(piece[inside.any(axis=0)], minlength=len(texts))
         rep, word = np.nonzero(inside)
         keys = keys[rep, word]
@@ -190,10 +191,10 @@ class Index:
         self.p = p
         pieces: list[tuple[int, bytes]] = []
         for k, (_, text) in enumerate(items):
-            raw = lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes()
+            raw = lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes().strip(BLANK)
             step = p.segment * 2 // 3
             parts = [raw] if len(raw) <= p.segment else [raw[i : i + step] for i in range(0, len(raw) - p.segment // 3, step)]
-            pieces += [(k, x) for x in parts if x.strip(b" \t\n\x0b\x0c\r")]
+            pieces += [(k, x) for x in parts if x.strip(BLANK)]
         self.ids = [i for i, _ in items]
         r = p.repetitions
         kinds = (lambda n: n >= p.short, lambda n: p.tiny <= n < p.short)
@@ -279,7 +280,7 @@ class Index:
 
 def _blank(data: np.ndarray, at: int, begin: int, end: int) -> bool:
     """Whether byte `at` is white space or outside the text."""
-    return not begin <= at < end or data[at] in b" \t\n\x0b\x0c\r"
+    return not begin <= at < end or data[at] in BLANK
 
 
 #: The last index that this worker built, by the name of its block.
