@@ -346,6 +346,13 @@ def table_molecules(spark, sf):
     return found.select("smiles", _joined("formula").alias("formula"), "charge", "heavy_atoms", "n_symmetry_classes", F.round("mass", 3).alias("mass"), F.col("parse_error").isNotNull().alias("failed"))
 
 
+def table_bag_mass(spark, sf):
+    """Masses of formulas, null where a part has none, and m/z of two ions."""
+    known = metabolize.parse_molecules(_molecules(spark, "CCO", "c1ccccc1", "C[N+](C)(C)C", "[13CH4]", "OCC1OC(O)C(O)C(O)C1O"))
+    neutral = mass.bag_mass(F.col("formula"))
+    return known.select("smiles", F.round(neutral, 3).alias("mass"), F.round(mass.ion_mz(neutral, "[M+H]+"), 3).alias("one"), F.round(mass.ion_mz(neutral, "[M+2H]2+"), 3).alias("two"))
+
+
 def table_applicable(spark, sf):
     """Patterns of a rule whose elements a molecule has."""
     known = metabolize.parse_molecules(_molecules(spark, "CCO", "CC", "CCN"))
@@ -442,7 +449,7 @@ QUERIES = {
         bag_formula, bag_delta, bag_l1, bag_heavy_l1, bag_apply_delta, weighted_mass, mz_within, unique_sites, emission_dedup, fold_or, layer_stats, pair_compose, bfs_levels, bfs_target_gate,
         net_parents, net_children, net_counts, net_degrees, net_prune, net_reaches, net_closest, net_step_path, net_simple_paths, transition_edges, plan_closure, plan_reduction, plan_linearizations,
         maybe_allows, residual_class, score_log_neg_pc, field_cost, order_key_topk, diversity_rank, sssom_resolve, counters_rollup,
-        chem_products, chem_examples, chem_paths, chem_first_products, table_molecules, table_applicable, table_sites, table_filtered, table_graph, table_graph_edges, table_masses, table_walks,
+        chem_products, chem_examples, chem_paths, chem_first_products, table_molecules, table_bag_mass, table_applicable, table_sites, table_filtered, table_graph, table_graph_edges, table_masses, table_walks,
         table_mismatches, table_resolved, io_smiles, io_mapping, io_sections, io_emissions,
     )
 }
@@ -511,6 +518,8 @@ SELECT page_id, curie, url AS iri, len(steps)::BIGINT AS n_segments, coalesce(st
     "chem_paths": f"SELECT * FROM (VALUES {_quoted([c[:1] for s in (examples.MID, examples.LARGER, examples.HARD) for c in s])}) v(name)",
     "table_molecules": """SELECT * REPLACE (mass::DOUBLE AS mass) FROM (VALUES ('CCO', 'C2 H6 O1', 0, 3, 3, 46.042, false), ('c1ccccc1', 'C6 H6', 0, 6, 1, 78.047, false), ('C[N+](C)(C)C', '+1 C4 H12 N1', 1, 5, 2, 74.097, false),
 ('bad(', '', NULL, NULL, NULL, NULL, true), ('[13CH4]', 'C1 H4', 0, 1, 1, 17.035, false)) v(smiles, formula, charge, heavy_atoms, n_symmetry_classes, mass, failed)""",
+    "table_bag_mass": """SELECT smiles, mass::DOUBLE AS mass, one::DOUBLE AS one, two::DOUBLE AS two FROM (VALUES ('CCO', 46.042, 47.049, 24.028), ('c1ccccc1', 78.047, 79.054, 40.031),
+('C[N+](C)(C)C', NULL, NULL, NULL), ('[13CH4]', 16.031, 17.039, 9.023), ('OCC1OC(O)C(O)C(O)C1O', 180.063, 181.071, 91.039)) v(smiles, mass, one, two)""",
     "table_applicable": "SELECT * FROM (VALUES ('CCO', 'Sulfation', 'alcohol'), ('CCO', 'Sulfation', 'epoxide_methyl_sulfone')) v(smiles, leaf, pattern)",
     "table_sites": "SELECT * FROM (VALUES ('CCO', 'Hydroxylation', 'h2', '0', 1, 'O1'), ('CCO', 'Hydroxylation', 'h2', '1', 1, 'O1'), ('c1ccccc1', 'Hydroxylation', 'h', '0', 6, 'O1')) v(smiles, leaf, pattern, site, orbit, delta)",
     "table_filtered": "SELECT * FROM (VALUES ('CCO', 'Hydroxylation', 'h2', 1), ('CCC', 'Hydroxylation', 'h2', 1)) v(smiles, leaf, pattern, parts)",
