@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .kernels import U64, lowered, text_buffers, word_starts
+from .kernels import U64, lowered, text_buffers, trim, word_starts
 
 
 @dataclass(frozen=True)
@@ -325,6 +325,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 columns = [pa.array(list(x), pa.int64()) for x in zip(*((points(r, a), points(r, b), d) for r, _, a, b, d in found))] or [pa.array([], pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], item_type), *columns], [id_col, item_col, "start", "end", "distance"])
+                trim()
 
         parts.append(docs.mapInArrow(run, schema))
     out = parts[0] if parts else df.sparkSession.createDataFrame([], schema)
@@ -345,6 +346,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                 clean = np.ones(batch.num_rows, bool)
                 clean[[x[0] for x in index.matches(*text_buffers(batch.column(where)))]] = False
                 yield batch.filter(pa.array(clean))
+                trim()
 
         df = df.mapInArrow(run, df.schema)
     return df

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .kernels import trim
 from .scratch import Scratch
 
 DIMS, BITS = 4, 15
@@ -89,6 +90,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, en
                     ],
                     ["id", "key", "n", "ids"],
                 )
+            trim()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, key long, n long, ids binary")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .kernels import word_starts
+from .kernels import trim, word_starts
 
 
 @dataclass(frozen=True)
@@ -265,6 +265,7 @@ def scored(df: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: boo
         for batch in batches:
             scores = pa.array(own.scores(batch.column(where).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), scores], [*(names[i] for i in out), "score"])
+            trim()
 
     schema = StructType([*(kept.schema.fields[i] for i in out), StructField("score", DoubleType())])
     return kept.mapInArrow(run, schema)
