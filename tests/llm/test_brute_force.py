@@ -18,7 +18,7 @@ from athanor.llm.near_duplicates import NearDup, near_duplicate_classes
 from athanor.llm.scratch import Scratch
 from athanor.llm.secrets import ACCOUNT, ADDRESS, RANDOM, SECTION, _looks_random, linked_spans, redact_secrets, scan_secrets, secret_digests, strong_spans
 from athanor.llm.sharding import histogram_shards
-from athanor.llm.toxicity import toxicity_scores
+from athanor.llm.toxicity import toxicity_scores, windows
 
 
 def _words(rng, n, base="abcdefgh"):
@@ -382,6 +382,16 @@ def test_segments_need_the_upper_threshold():
     assert segments(energy, 3, 1.5) == [(6, 9)]
 
 
+def test_windows_are_those_of_the_words():
+    rng = random.Random(17)
+    texts = [b"", b"  ", b"one", "é ü ß\tö".encode(), b"a b c d e f"] + [_words(rng, rng.randint(0, 20)).encode() for _ in range(50)]
+    cut, counts = windows(texts, 3)
+    want = [[w[i : i + 3] for i in range(0, max(len(w), 1), 3)] for w in (t.split() for t in texts)]
+    doubled = lambda t: bytes(c for c in t for _ in range(2))
+    assert counts.tolist() == [len(x) for x in want]
+    assert [bytes(x.tobytes()) for x in cut] == [doubled(b" " + b" ".join(w) + b" ") for x in want for w in x]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     bad = ["vile", "stinker", "wretch", "numbskull"]
